@@ -3,14 +3,72 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import bpe, license_scan, secret_scan, token_counts, unit_dedup, warc
+from . import toxicity as tox
 from .common import table
 from .decontaminate import contamination
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tox.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(table(spark, sf_dir, "documents")).drop("rid", "all_spans")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op4_decontaminate": op4_decontaminate}
-ORACLES: dict[str, str] = {}
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses(table(spark, sf_dir, "documents"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.recount_derived(table(spark, sf_dir, "documents"))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = unit_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.drop("rid").withColumn("kept_doc_ids", F.col("kept_doc_ids"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_secrets, op4_decontaminate, op6_licenses, op7_token_counts, op8_bpe, op9_unit_dedup, op10_warc)}
+
+ORACLES: dict[str, str] = {
+    "op10_warc": """
+        with p as (select page_id, coalesce(html, '') as h from pages),
+        d as (select page_id, octet_length(encode(h)) as payload_bytes, sha256(h) as payload_digest from p),
+        f as (select *, min(page_id) over (partition by payload_digest) as first from d)
+        select page_id, payload_bytes::bigint as payload_bytes, payload_digest,
+               case when payload_bytes >= 100 and page_id > first then 'revisit' else 'response' end as record_type,
+               case when payload_bytes >= 100 and page_id > first then first end as refers_to
+        from f
+    """,
+    "op4_decontaminate": r"""
+        with d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') as w from documents),
+        b as (select item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') as w from benchmark),
+        bs as (select item_id, w, least(13, len(w)) as n, unnest(range(1, greatest(len(w) - 12, 1) + 1)) as i from b where len(w) > 0),
+        bw as (select distinct item_id, n, array_to_string(w[i:i + n - 1], ' ') as g from bs),
+        ds as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d),
+        sizes as (select distinct n from bw),
+        dw as (select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') as g from ds, sizes where i + n - 1 <= len(w)),
+        m as (select doc_id, i, dw.n, item_id from dw join bw on dw.n = bw.n and dw.g = bw.g),
+        h as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from m) group by 1),
+        t as (select doc_id, count(distinct item_id) as n_items, sha256(string_agg(distinct item_id::varchar, ',' order by item_id::varchar)) as s from m group by 1)
+        select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+               coalesce(s, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+        from d left join h using (doc_id) left join t using (doc_id)
+    """,
+}
