@@ -1 +1,22 @@
 """Point-in-time market-bar analytics and corpus operators on PySpark."""
+
+import os
+import tempfile
+import zipfile
+
+
+def ship(spark) -> None:
+    """Give the session's Python workers this package, once per session."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tidebar_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(), "tidebar.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for d, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(d, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._tidebar_shipped = True
