@@ -1,8 +1,62 @@
-"""Corpus cleaning in stages; each stage's result is written and read again as the next one's documents."""
+"""Corpus cleaning in stages; each stage's result is written and read again as the next one's documents.
 
-STAGES: list = []
+Toxic documents go; of each class of near copies the least doc_id stays; contaminated documents go; live-looking secrets are masked; what is
+left is encoded. A row with a null doc_id stays throughout.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidebar import ship
+from tidebar.llm import bpe, decontaminate, order_minhash, secret_scan, toxicity
+from tidebar.llm.common import durable, table
+
+
+def drop_toxic(spark, docs, sf_dir):
+    ship(spark)
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark, docs, sf_dir):
+    ship(spark)
+    kept = order_minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    # rows that repeat a kept doc_id are copies too: one stays
+    stay = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return stay.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(stay.where("doc_id is null"))
+
+
+def drop_contaminated(spark, docs, sf_dir):
+    ship(spark)
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    bad = found.where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
+    return docs.join(bad, F.col("doc_id") == F.col("bad_id"), "left_anti")
+
+
+def mask_secrets(spark, docs, sf_dir):
+    ship(spark)
+    return secret_scan.redact(docs)
+
+
+def encode(spark, docs, sf_dir):
+    ship(spark)
+    return bpe.encode_documents(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("minhash_near_dedup", drop_near_copies),
+    ("benchmark_decontamination", drop_contaminated),
+    ("secret_scan", mask_secrets),
+    ("byte_level_bpe", encode),
+]
+
+#: A fitted classifier and a tokenizer are not expressible in SQL.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
