@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, secret_scan, token_counts, unit_dedup, warc
+from . import bpe, embedding_dedup, license_scan, order_minhash, secret_scan, token_counts, unit_dedup, warc
 from . import toxicity as tox
 from .common import table
 from .decontaminate import contamination
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_links(table(spark, sf_dir, "embeddings"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tox.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -23,6 +27,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.licenses(table(spark, sf_dir, "documents"))
 
@@ -44,7 +52,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_secrets, op4_decontaminate, op6_licenses, op7_token_counts, op8_bpe, op9_unit_dedup, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_toxicity, op3_secrets, op4_decontaminate, op5_near_dedup, op6_licenses, op7_token_counts, op8_bpe, op9_unit_dedup, op10_warc)}
 
 ORACLES: dict[str, str] = {
     "op10_warc": """
