@@ -1,4 +1,111 @@
 """Registered bar queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .operators.asof import asof_attach
+from .operators.recurrences import with_recurrences
+from .operators.resample import resample
+from .operators.zones import zigzag_pivots, zone_events
+from .plans import bar_plans
+from .sources.bars import bars_from_events, bars_sql
+
+BASE, PARENT = 240, 1440
+
+
+def _plan(name: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(bar_plans.spark_sql(name), bars=bars_from_events(spark, sf_dir))
+
+    return run
+
+
+def s4_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars_from_events(spark, sf_dir)
+
+
+def f6_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(bars_from_events(spark, sf_dir, 60), 60, BASE)
+
+
+def f12_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slots of the hourly grid between a symbol's first and last bar that have no bar."""
+    bars = bars_from_events(spark, sf_dir, 60)
+    span = bars.groupBy("symbol").agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    grid = span.select("symbol", F.explode(F.sequence("a", "b", F.lit(3600).cast("long"))).alias("t"))
+    return grid.join(bars, ["symbol", "t"], "left_anti")
+
+
+def k1_k2_k3_recurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = with_recurrences(bars_from_events(spark, sf_dir))
+    return bars.select("symbol", "t", *[F.round(c, 5).alias(c) for c in ("ema9", "ema20", "ema200", "rsi14", "atr14")])
+
+
+def j3_asof_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = bars_from_events(spark, sf_dir)
+    parents = resample(bars, BASE, PARENT).select("symbol", (F.col("t") + 60 * PARENT).alias("parent_known"), F.col("c").alias("parent_close"))
+    left = bars.select("symbol", "t", (F.col("t") + 60 * BASE).alias("known"))
+    return asof_attach(left, parents, "known", "parent_known", ["parent_known", "parent_close"])
+
+
+def flagship_bar_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every bar's close, EMA20, RSI14, ATR14 and 24-bar volatility, with the gate of its last completed parents."""
+    bars = bars_from_events(spark, sf_dir)
+    s = Window.partitionBy("symbol").orderBy("t")
+    parents = resample(bars, BASE, PARENT)
+    c0, c1, c2 = (F.lag("c", k).over(s) for k in (0, 1, 2))
+    gate = F.when((c2 < c1) & (c1 < c0), "bull").when((c2 > c1) & (c1 > c0), "bear").otherwise("flat")
+    parents = parents.select("symbol", (F.col("t") + 60 * PARENT).alias("parent_known"), gate.alias("parent_gate"))
+    state = with_recurrences(bars).select("symbol", "t", (F.col("t") + 60 * BASE).alias("known"), "c", "ema20", "rsi14", "atr14")
+    move = F.col("c") / F.nullif(F.lag("c").over(s), F.lit(0.0)) - 1
+    state = state.withColumn("x", move)
+    w = s.rowsBetween(-23, 0)
+    state = state.withColumn("vol24", F.when(F.count("x").over(w) == 24, F.stddev_pop("x").over(w))).drop("x")
+    out = asof_attach(state, parents, "known", "parent_known", ["parent_known", "parent_gate"])
+    return out.select("symbol", "t", *[F.round(c, 5).alias(c) for c in ("c", "ema20", "rsi14", "atr14", "vol24")], "parent_known", "parent_gate")
+
+
+def p2_zigzag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zigzag_pivots(bars_from_events(spark, sf_dir)).withColumn("price", F.round("price", 6))
+
+
+def p11_zone_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zones of the window pivots, from the close of the confirming bar on."""
+    bars = bars_from_events(spark, sf_dir)
+    pivots = spark.sql(bar_plans.spark_sql("p1_window_pivots"), bars=bars)
+    role = F.when(F.col("kind") == "high", "resistance").otherwise("support")
+    zones = pivots.select("symbol", F.concat_ws(":", F.col("t").cast("string"), "kind").alias("zone_id"), (F.col("price") * 0.997).alias("lower"), (F.col("price") * 1.003).alias("upper"), role.alias("role"), F.col("known_close").alias("known_t"))
+    return zone_events(bars, zones)
+
+
+_OWN = (s4_bars, f6_resample, f12_gaps, k1_k2_k3_recurrences, j3_asof_parent, flagship_bar_state, p2_zigzag, p11_zone_lifecycle)
+QUERIES = {f.__name__: f for f in _OWN} | {name: _plan(name) for name in bar_plans.PLANS}
+
+_A = {s: f"({2 / (s + 1)!r})::double" for s in (9, 20, 200)}
+_RECURSIVE = f"""with recursive b as materialized (select *, row_number() over s as n, c - lag(c) over s as d,
+        case when lag(c) over s is null then h - l else greatest(h - l, abs(h - lag(c) over s), abs(l - lag(c) over s)) end as tr
+        from ({bars_sql()}) window s as (partition by symbol order by t)),
+    seed as (select symbol, avg(greatest(d, 0)) filter (n between 2 and 15) as g, avg(greatest(-d, 0)) filter (n between 2 and 15) as q, avg(tr) filter (n <= 14) as a from b group by 1),
+    e as (select b.symbol, t, n, c, c as ema9, c as ema20, c as ema200, null::double as g, null::double as q, null::double as a from b where n = 1
+        union all select b.symbol, b.t, b.n, b.c, {", ".join(f"{_A[s]} * b.c + (1 - {_A[s]}) * e.ema{s}" for s in _A)},
+          case when b.n < 15 then null when b.n = 15 then seed.g else (e.g * 13 + greatest(b.d, 0)) / 14 end,
+          case when b.n < 15 then null when b.n = 15 then seed.q else (e.q * 13 + greatest(-b.d, 0)) / 14 end,
+          case when b.n < 14 then null when b.n = 14 then seed.a else (e.a * 13 + b.tr) / 14 end
+        from e join b on b.symbol = e.symbol and b.n = e.n + 1 join seed on seed.symbol = b.symbol),
+    k as (select symbol, t, c, n, ema9, ema20, ema200, case when n >= 15 then case when q = 0 then 100.0::double else 100 - 100 / (1 + g / q) end end as rsi14, case when n >= 14 then a end as atr14 from e)
+"""
+_PARENTS = f"select symbol, t // 86400 * 86400 as t, first(c order by t desc) as c from ({bars_sql()}) group by 1, t // 86400 having count(*) >= 6"
+
+ORACLES = {name: bar_plans.duck_sql(name, bars_sql()) for name in bar_plans.PLANS} | {
+    "s4_bars": bars_sql(),
+    "f6_resample": f"select symbol, t // 14400 * 14400 as t, first(o order by t) as o, max(h) as h, min(l) as l, last(c order by t) as c, sum(v) as v from ({bars_sql(60)}) group by symbol, t // 14400 having count(*) >= 4",
+    "f12_gaps": f"with b as ({bars_sql(60)}), g as (select symbol, unnest(range(min(t), max(t) + 1, 3600)) as t from b group by symbol) select g.symbol, g.t from g anti join b on b.symbol = g.symbol and b.t = g.t",
+    "k1_k2_k3_recurrences": _RECURSIVE + "select symbol, t, " + ", ".join(f"round({c}, 5) as {c}" for c in ("ema9", "ema20", "ema200", "rsi14", "atr14")) + " from k",
+    "j3_asof_parent": f"select b.symbol, b.t, b.t + 14400 as known, p.t + 86400 as parent_known, p.c as parent_close from ({bars_sql()}) b asof left join ({_PARENTS}) p on p.symbol = b.symbol and b.t + 14400 >= p.t + 86400",
+    "flagship_bar_state": _RECURSIVE + f""", v as (select *, stddev_pop(x) over w as sd, count(x) over w as m from (select *, c / nullif(lag(c) over (partition by symbol order by t), 0) - 1 as x from k) window w as (partition by symbol order by t rows between 23 preceding and current row)),
+        p as (select symbol, t + 86400 as pk, case when p2 < p1 and p1 < c then 'bull' when p2 > p1 and p1 > c then 'bear' else 'flat' end as gate from (select *, lag(c) over (partition by symbol order by t) as p1, lag(c, 2) over (partition by symbol order by t) as p2 from ({_PARENTS})))
+        select v.symbol, v.t, round(c, 5) as c, round(ema20, 5) as ema20, round(rsi14, 5) as rsi14, round(atr14, 5) as atr14, case when m = 24 then round(sd, 5) end as vol24, pk as parent_known, gate as parent_gate
+        from v asof left join p on p.symbol = v.symbol and v.t + 14400 >= p.pk""",
+}
