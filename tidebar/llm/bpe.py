@@ -77,7 +77,9 @@ def _boundaries(overlap: int):
         for pdf in batches:
             left, right = [], []
             for text, start in zip(pdf["part"], pdf["start"], strict=True):
+                # after a run of white space the last pre-token depends on what follows, so only a change to white space counts
                 at = [m.start() for m in _pattern().finditer(text)][:-1]
+                at = [x for x in at if x and text[x].isspace() and not text[x - 1].isspace()]
                 left.append([start + x for x in at if 0 < x < overlap])
                 right.append([start + x for x in at if x >= len(text) - overlap])
             yield pdf.assign(left=left, right=right)
