@@ -69,7 +69,7 @@ def licenses(documents: DataFrame) -> DataFrame:
     post = F.create_map(*[x for w in anchors for x in (F.lit(w), F.array(*[F.struct(F.lit(no).alias("no"), F.lit(at).alias("at")) for no, at in postings[w]]))])
     table = F.array(*[F.struct(F.array(*map(F.lit, ws)).alias("words"), F.lit(f" {must} ").alias("must"), F.lit(label).alias("label"), F.lit(base).alias("base")) for label, ws, must, base in entries])
     kept = F.array_union(F.slice(F.filter(listed, lambda a: F.array_contains("words", a)), 1, RAREST), F.array(*map(F.lit, sorted(always))))
-    spots = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: F.array_contains("kept", s["w"]))
+    spots = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: F.array_contains(listed, s["w"]))
     starts = F.array_distinct(F.flatten(F.transform("spots", lambda s: F.transform(F.element_at(post, s["w"]), lambda p: F.struct(p["no"].alias("no"), (s["i"] - p["at"]).alias("start"))))))
 
     def placed(c):
@@ -83,6 +83,8 @@ def licenses(documents: DataFrame) -> DataFrame:
     df = words.withColumn("some", F.arrays_overlap("words", listed))
     df = df.withColumn("kept", F.when(F.col("some"), kept))
     df = df.withColumn("spots", F.when(F.col("some"), spots))
+    # named twice, so that the optimizer keeps it a column and does not move it into the lambda
+    df = df.withColumn("spots", F.when(F.size("kept") > 0, F.filter("spots", lambda s: F.array_contains("kept", s["w"]))))
     df = df.withColumn("starts", F.when(F.col("some"), starts))
     df = df.withColumn("found", F.transform("starts", placed))
     df = df.withColumn("found", F.filter("found", lambda f: f["must"] & (f["share"] >= F.when(f["base"], 1.0).otherwise(SHARE))))
