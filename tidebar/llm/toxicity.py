@@ -12,11 +12,12 @@ row all scores are 0; repeated rows each get a row; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,79 +36,97 @@ def learning_rows(documents: DataFrame, labels: DataFrame, positives: int, unlab
     toxic = known.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives)
     other = known.where("toxic is null or toxic <> 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(unlabelled)
     chosen = toxic.union(other).repartition("doc_id")
-    # word sets only, and not the texts, go to the driver
+    # hashes of word sets, and no texts, go to the driver
     rows = documents.where(~held_out()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return rows.mapInPandas(_word_sets, "toxic int, words array<string>").collect()
+    return rows.mapInPandas(_word_sets, "toxic int, words binary").collect()
+
+
+def _hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word)
 
 
 def _word_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"toxic": pdf["toxic"].fillna(0).astype(int), "words": [sorted(set(words_of(t))) for t in pdf["text"]]})
+        sets = [np.array(sorted({_hash(w) for w in words_of(t)}), dtype=np.uint64).tobytes() for t in pdf["text"]]
+        yield pd.DataFrame({"toxic": pdf["toxic"].fillna(0).astype(int), "words": sets})
 
 
-def fit(rows: list[tuple[int, list[str]]], **options) -> tuple[dict[str, float], float]:
-    """The weights of all rows; the bias is set where scores of rows that were not fitted on err least,
+def fit(rows: list[tuple[int, bytes]], **options) -> tuple[dict[int, float], float]:
+    """Weights by word hash, and the bias; the bias is set where scores of rows that were not fitted on err least,
     with the unlabelled rows' error corrected by the prior."""
     y = np.array([t for t, _ in rows], dtype=bool)
-    weights, bias = fit_once(rows, **options)
-    if y.sum() < 10 or y.all():
-        return weights, bias
-    crossed = np.zeros(len(y))
-    for fold in range(3):
-        own = np.arange(len(y)) % 3 == fold
-        part, _ = fit_once([r for r, o in zip(rows, own, strict=True) if not o], **options)
-        for k in np.flatnonzero(own):
-            crossed[k] = sum(part[w] for w in part.keys() & set(rows[k][1]))
-    prior, order = y.mean(), np.argsort(crossed)
-    missed = np.cumsum(y[order]) / y.sum()
-    flagged = 1 - np.arange(1, len(y) + 1) / len(y)
-    risk = prior * missed + np.maximum(0, flagged - prior * (1 - missed))
-    best = int(np.argmin(risk))
-    above = crossed[order[min(best + 1, len(y) - 1)]]
-    return weights, -float((crossed[order[best]] + above) / 2)
-
-
-def fit_once(rows: list[tuple[int, list[str]]], vocabulary: int = VOCABULARY, steps: int = 400, rate: float = 0.05, l2: float = 1e-3) -> tuple[dict[str, float], float]:
-    """Weights by word, and the bias. Full-batch Adam on the non-negative risk with the sigmoid's logistic loss."""
-    y = np.array([t for t, _ in rows], dtype=bool)
     if not y.any() or y.all():
         return {}, -30.0 if not y.any() else 0.0
-    counts = Counter(w for _, ws in rows for w in ws)
-    names = [w for w, n in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:vocabulary] if n >= max(3, len(rows) // 500)]
-    index = {w: i for i, w in enumerate(names)}
-    flat = [(k, index[w]) for k, (_, ws) in enumerate(rows) for w in ws if w in index]
-    r, c = (np.array(x, dtype=np.int64) for x in zip(*flat, strict=True)) if flat else (np.zeros(0, np.int64),) * 2
+    sets = [np.frombuffer(w, np.uint64) for _, w in rows]
+    row = np.repeat(np.arange(len(y)), [len(x) for x in sets])
+    names, column = np.unique(np.concatenate(sets), return_inverse=True)
+    weights, bias = fit_once(y, row, column, len(names), **options)
+    if y.sum() >= 10:
+        crossed = np.zeros(len(y))
+        for fold in range(3):
+            out = row % 3 == fold
+            own = np.arange(len(y)) % 3 == fold
+            number = np.cumsum(~own) - 1
+            part, _ = fit_once(y[~own], number[row[~out]], column[~out], len(names), **options)
+            crossed += np.bincount(row[out], part[column[out]], len(y))
+        prior, order = y.mean(), np.argsort(crossed, kind="stable")
+        missed = np.cumsum(y[order]) / y.sum()
+        flagged = 1 - np.arange(1, len(y) + 1) / len(y)
+        risk = prior * missed + np.maximum(0, flagged - prior * (1 - missed))
+        best = int(np.argmin(risk))
+        above = crossed[order[min(best + 1, len(y) - 1)]]
+        bias = -float((crossed[order[best]] + above) / 2)
+    return {int(names[k]): float(weights[k]) for k in np.flatnonzero(np.abs(weights) > 1e-4)}, float(bias)
+
+
+def fit_once(y, row, column, size: int, steps: int = 400, rate: float = 0.05, l2: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Full-batch Adam on the non-negative risk with the logistic loss. Of ``size`` words, the frequent enough have weights."""
+    counts = np.bincount(column, minlength=size)
+    chosen = np.flatnonzero(counts >= max(3, len(y) // 500))
+    chosen = chosen[np.argsort(-counts[chosen], kind="stable")][:VOCABULARY]
+    place = np.full(size, -1)
+    place[chosen] = np.arange(len(chosen))
+    r, c = row[place[column] >= 0], place[column]
+    c = c[c >= 0]
     # a word's pull is scaled by how rare it is, so that common words add little noise
-    scale = np.log(len(rows) / np.array([counts[w] for w in names] or [1.0])) / np.log(len(rows))
-    prior = y.mean()
-    pos, n_pos, n_all = y.astype(float), y.sum(), len(y)
-    w, b = np.zeros(len(names)), np.log(prior / (1 - prior))
+    scale = np.log(len(y) / np.maximum(counts[chosen], 1)) / np.log(max(len(y), 2))
+    prior, pos, n_pos, n_all = y.mean(), y.astype(float), y.sum(), len(y)
+    w, b = np.zeros(len(chosen)), np.log(prior / (1 - prior))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, steps + 1):
         z = b + np.bincount(r, (w * scale)[c], len(y))
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         loss_neg = np.logaddexp(0, z)
         negative = loss_neg.mean() - prior * loss_neg[y].mean()
-        # gradients by z: positives' risk, and the corrected risk of the negatives
+        # gradients by z: the positives' risk, and the corrected risk of the negatives
         g = prior * pos * (p - 1) / n_pos
         push = p / n_all - prior * pos * p / n_pos
         g = g + push if negative >= 0 else -push
-        gw = np.bincount(c, g[r], len(names)) * scale + l2 * w
+        gw = np.bincount(c, g[r], len(chosen)) * scale + l2 * w
         gb = g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         fix = np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
         w -= rate * fix * m / (np.sqrt(v) + 1e-8)
         b -= rate * fix * mb / (np.sqrt(vb) + 1e-8)
-    return {x: float(a) for x, a in zip(names, w * scale, strict=True) if abs(a) > 1e-4}, float(b)
+    weights = np.zeros(size)
+    weights[chosen] = w * scale
+    return weights, float(b)
 
 
 def _scorer(shared):
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights, bias = shared.value
+        known: dict[str, float] = {}
         for pdf in batches:
-            # in sorted order, so that equal texts get equal sums
-            z = np.array([bias + sum(weights[w] for w in sorted(weights.keys() & set(words_of(t)))) for t in pdf["text"]])
+            z = np.empty(len(pdf))
+            for k, text in enumerate(pdf["text"]):
+                own = set(words_of(text))
+                if len(known) > 300_000:  # bounds a worker's memory, not the result
+                    known.clear()
+                known |= {w: weights.get(_hash(w), 0.0) for w in own if w not in known}
+                # an exact sum, so that equal texts get equal scores
+                z[k] = bias + math.fsum(known[w] for w in own)
             yield pdf.drop(columns="text").assign(score=1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
     return score
