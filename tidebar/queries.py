@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators.asof import asof_attach
+from .operators.features import feature_history
 from .operators.recurrences import with_recurrences
 from .operators.resample import resample
+from .operators.store import new_rows, sync_counts
 from .operators.zones import zigzag_pivots, zone_events
 from .plans import bar_plans
 from .sources.bars import bars_from_events, bars_sql
@@ -80,7 +82,25 @@ def p11_zone_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zone_events(bars, zones)
 
 
-_OWN = (s4_bars, f6_resample, f12_gaps, k1_k2_k3_recurrences, j3_asof_parent, flagship_bar_state, p2_zigzag, p11_zone_lifecycle)
+def a6_feature_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = feature_history(bars_from_events(spark, sf_dir, 60), 60, (240, 1440))
+    return bars.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in bars.dtypes])
+
+
+def s3_immutable_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an insert of all bars adds to a store that holds those before the middle of the month."""
+    bars = bars_from_events(spark, sf_dir)
+    return new_rows(bars.where("t < 1705276800"), bars, ["symbol", "t"])
+
+
+def q5_sync_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored levels against new ones: a fifth of the bars' levels would move."""
+    bars = bars_from_events(spark, sf_dir).select("symbol", "t", F.col("h").alias("level"))
+    moved = bars.withColumn("level", F.when(F.expr("(t div 14400) % 5 = 0"), F.col("level") + 1).otherwise(F.col("level")))
+    return sync_counts(bars.where("t < 1705276800"), moved, ["symbol", "t"], "level")
+
+
+_OWN = (a6_feature_history, s3_immutable_insert, q5_sync_counts, s4_bars, f6_resample, f12_gaps, k1_k2_k3_recurrences, j3_asof_parent, flagship_bar_state, p2_zigzag, p11_zone_lifecycle)
 QUERIES = {f.__name__: f for f in _OWN} | {name: _plan(name) for name in bar_plans.PLANS}
 
 _A = {s: f"({2 / (s + 1)!r})::double" for s in (9, 20, 200)}
@@ -100,6 +120,8 @@ _PARENTS = f"select symbol, t // 86400 * 86400 as t, first(c order by t desc) as
 
 ORACLES = {name: bar_plans.duck_sql(name, bars_sql()) for name in bar_plans.PLANS} | {
     "s4_bars": bars_sql(),
+    "s3_immutable_insert": f"select * from ({bars_sql()}) where t >= 1705276800",
+    "q5_sync_counts": f"select count(*) filter (t >= 1705276800) as wrote, count(*) filter (t < 1705276800 and (t // 14400) % 5 <> 0) as kept, count(*) filter (t < 1705276800 and (t // 14400) % 5 = 0) as refused from ({bars_sql()})",
     "f6_resample": f"select symbol, t // 14400 * 14400 as t, first(o order by t) as o, max(h) as h, min(l) as l, last(c order by t) as c, sum(v) as v from ({bars_sql(60)}) group by symbol, t // 14400 having count(*) >= 4",
     "f12_gaps": f"with b as ({bars_sql(60)}), g as (select symbol, unnest(range(min(t), max(t) + 1, 3600)) as t from b group by symbol) select g.symbol, g.t from g anti join b on b.symbol = g.symbol and b.t = g.t",
     "k1_k2_k3_recurrences": _RECURSIVE + "select symbol, t, " + ", ".join(f"round({c}, 5) as {c}" for c in ("ema9", "ema20", "ema200", "rsi14", "atr14")) + " from k",
