@@ -71,6 +71,20 @@ PLANS = {
     "j8_unjournaled_origins": f"select a.symbol, a.t from (select symbol, t, n from ({_GRID}) g where n >= 21) a left join (select symbol, t from ({_GRID}) g where n % 3 = 0) j on a.symbol = j.symbol and a.t = j.t where j.t is null",
     "q2_latest_forecast": f"select symbol, t, round(d, 8) as drift from (select *, row_number() over (partition by symbol order by t desc) as k from ({_DRIFT}) q where t + 14400 <= 1705276800) z where k = 1",
     "e9_rollup_scores": f"select symbol, h, round(avg(abs(y - p)), 8) as mae from ({_SCORED}) q where origin = 1 group by rollup(symbol, h)",
+    "f18_freshness": "select symbol, case when 1706659200 - (max(t) + 14400) <= 720 then 'live' else 'stale' end as freshness from {bars} group by symbol",
+    "h1_continuation": f"select symbol, h1, h2, l1, l2, case when h1 > h2 and l1 > l2 then 'bull_continuation' when h1 < h2 and l1 < l2 then 'bear_continuation' else 'none' end as pattern from (select symbol, round(max(case when kind = 'high' and k = 1 then price end), 6) as h1, round(max(case when kind = 'high' and k = 2 then price end), 6) as h2, round(max(case when kind = 'low' and k = 1 then price end), 6) as l1, round(max(case when kind = 'low' and k = 2 then price end), 6) as l2 from (select *, row_number() over (partition by symbol, kind order by t desc) as k from ({_PIVOTS}) q) z group by symbol) y",
+    "h2_flag_impulse": f"select symbol, t as impulse_t, round(move, 6) as impulse from (select *, row_number() over (partition by symbol order by abs(move) desc, t) as k from (select symbol, t, price - lag(price) over (partition by symbol order by t, kind) as move from ({_PIVOTS}) q) z where move is not null) y where k = 1",
+    "h8_alternating_six": f"select symbol, count(*) as pivots, sum(case when kind <> pk or pk is null then 1 else 0 end) as alternating from (select symbol, kind, lag(kind) over (partition by symbol order by t, kind) as pk, row_number() over (partition by symbol order by t desc, kind desc) as k from ({_PIVOTS}) q) z where k <= 6 group by symbol",
+    "h6_level_resolution": "select symbol, t, case when nxt is null then 'open' when nxt > lvl then 'accepted' else 'failed_breakout' end as resolution from (select symbol, t, c, lvl, lag(c) over (partition by symbol order by t) as prev, lead(c) over (partition by symbol order by t) as nxt from (select symbol, t, c, avg(c) over (partition by symbol) as lvl from {bars}) a) b where prev <= lvl and c > lvl",
+    "j5_matured_scores": f"select symbol, h, count(*) as n, case when count(*) >= 8 then round(avg(abs(y - p)), 8) end as mae, case when count(*) >= 8 then round(sqrt(avg((y - p) * (y - p))), 8) end as rmse from ({_SCORED}) q where origin = 1 and t + (h + 1) * 14400 <= 1705968000 group by symbol, h",
+    "k20_simple_returns": f"select symbol, t, h, round(exp(d * h) - 1, 8) as simple_return from ({_DRIFT}) q cross join (select explode_(1, 10) as h) k where d is not null",
+    "m4_in_sample_drift": f"select symbol, t, case when count(r) over w = 20 then round(avg(r) over w, 8) end as drift from ({_RET}) q window w as (partition by symbol order by t rows between 19 preceding and current row)",
+    "m7_eligible_origins": f"select symbol, t, t + 11 * 14400 as matured from (select *, max(n) over (partition by symbol) as last_n from ({_GRID}) g) q where n >= 24 and n + 10 <= last_n",
+    "p12_band_position": f"select b.symbol, b.t, case when b.c > z.price * 1.003 then 'above' when b.c < z.price * 0.997 then 'below' else 'inside' end as place from {{bars}} b join (select * from (select *, row_number() over (partition by symbol order by t desc, kind) as k from ({_PIVOTS}) q) y where k = 1) z on b.symbol = z.symbol",
+    "q6_chart_rows": "select symbol, t, o, h, l, c, v from (select *, row_number() over (partition by symbol order by t desc) as k from {bars}) q where k <= 50",
+    "r6_parent_child": "select symbol, t, case when child = parent then 'aligned' when parent = 'flat' then 'parent_flat' else 'countertrend' end as reading from (select symbol, t, case when c > c6 then 'up' when c < c6 then 'down' else 'flat' end as child, case when c > c42 then 'up' when c < c42 then 'down' else 'flat' end as parent from (select symbol, t, c, lag(c, 6) over s as c6, lag(c, 42) over s as c42 from {bars} window s as (partition by symbol order by t)) a where c42 is not null) b",
+    "t4_structure_extreme": f"select b.symbol, round(coalesce(p.hi, b.hi), 6) as structure_high, round(coalesce(p.lo, b.lo), 6) as structure_low from (select symbol, max(h) as hi, min(l) as lo from {{bars}} group by symbol) b left join (select symbol, max(price) as hi, min(price) as lo from ({_PIVOTS}) q group by symbol) p on b.symbol = p.symbol",
+    "x4_return_regime": f"select other, t, case when bc > 0 and lag(bc, 24) over s > 0 then case when ln(bc / lag(bc, 24) over s) > 0.005 then 'bullish' when ln(bc / lag(bc, 24) over s) < -0.005 then 'bearish' else 'neutral' end else 'unknown' end as regime from ({_PAIRS}) q window s as (partition by other order by t)",
 }
 
 _SPARK = {"percentile_(": "percentile(", "sha2_(": "sha1(", "string_)": "string)", "explode_(": "explode(sequence("}
