@@ -55,6 +55,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_toxicity, op3_secrets, op4_decontaminate, op5_near_dedup, op6_licenses, op7_token_counts, op8_bpe, op9_unit_dedup, op10_warc)}
 
 ORACLES: dict[str, str] = {
+    "op1_embedding_dedup": """
+        with recursive v as (select vec_id, label, embedding::double[] as e from embeddings where embedding is not null and label is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        p as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.93),
+        r(n, c) as (select vec_id, vec_id from embeddings union select p.b, r.c from r join p on p.a = r.n),
+        m as (select n, min(c) as c from r group by 1), k as (select a, count(*) as n_links from p group by 1)
+        select n as vec_id, coalesce(n_links, 0)::bigint as n_links, c as component_id, n = c as kept from m left join k on k.a = m.n
+    """,
     "op10_warc": """
         with p as (select page_id, coalesce(html, '') as h from pages),
         d as (select page_id, octet_length(encode(h)) as payload_bytes, sha256(h) as payload_digest from p),
@@ -65,8 +72,8 @@ ORACLES: dict[str, str] = {
         from f
     """,
     "op4_decontaminate": r"""
-        with d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') as w from documents),
-        b as (select item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') as w from benchmark),
+        with d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
+        b as (select item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from benchmark),
         bs as (select item_id, w, least(13, len(w)) as n, unnest(range(1, greatest(len(w) - 12, 1) + 1)) as i from b where len(w) > 0),
         bw as (select distinct item_id, n, array_to_string(w[i:i + n - 1], ' ') as g from bs),
         ds as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d),
