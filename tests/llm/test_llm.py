@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidebar.llm import bpe, decontaminate, embedding_dedup, license_scan, order_minhash, secret_scan, token_counts, toxicity, unit_dedup, warc
 from tidebar.llm.common import words_of
@@ -175,3 +176,23 @@ def test_pipeline_stages_take_odd_rows(spark, stage):
     if stage < 4:
         assert out.columns == d.columns
     assert out.count() == (4 if stage == 1 else 7)
+
+
+@pytest.mark.parametrize("stage", range(4))
+def test_pipeline_stages_keep_clashing_columns(spark, stage):
+    import corpus_pipeline
+
+    names = ["rid", "cuts", "score", "whole", "kept_id", "bad_id", "words", "node"]
+    d = docs(spark, [*ODD, prose(1)]).select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(f"own {n}").alias(n) for n in names])
+    out = corpus_pipeline.STAGES[stage][1](spark, d, "/root/testdata/sf0.001")
+    assert out.columns == d.columns
+    rows = out.collect()
+    assert rows and all(r[n] == f"own {n}" for r in rows for n in names)
+
+
+def test_near_copies_stage_keeps_other_texts_of_an_id(spark):
+    import corpus_pipeline
+
+    d = docs(spark, [prose(1), prose(2)]).select("doc_id", "text", "lang", "source", "n_chars")
+    d = d.unionByName(d).unionByName(d.where("doc_id = 0").withColumn("text", F.lit(prose(3))))
+    assert corpus_pipeline.drop_near_copies(spark, d, "/root/testdata/sf0.001").count() == 3

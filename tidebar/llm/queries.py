@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import bpe, embedding_dedup, license_scan, order_minhash, secret_scan, token_counts, unit_dedup, warc
 from . import toxicity as tox
@@ -44,8 +43,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = unit_dedup.repeated_passages(table(spark, sf_dir, "documents"))
-    return found.drop("rid").withColumn("kept_doc_ids", F.col("kept_doc_ids"))
+    return unit_dedup.repeated_passages(table(spark, sf_dir, "documents")).drop("rid")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, small
+from .common import durable, small, unused
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -98,12 +98,16 @@ def _is(kind: str):
 
 def redact(documents: DataFrame, few: int = 2, mark: str = "[secret]") -> DataFrame:
     """documents with every live-looking span of its text replaced; n_chars follows the text."""
-    keyed = durable(documents.withColumn("rid", F.monotonically_increasing_id()))
-    spans = scan_rows(keyed, few)
-    return keyed.join(spans, "rid", "left").withColumn("text", F.coalesce(_masked(mark)("text", "cuts"), F.col("text"))).withColumn("n_chars", F.length("text").cast("long")).select(*documents.columns)
+    rid, cuts = unused(documents, "rid", "cuts")
+    keyed = durable(documents.withColumn(rid, F.monotonically_increasing_id()))
+    spans = live_spans(keyed.select(F.col(rid).alias("rid"), "doc_id", "source", "text"), few).toDF(rid, cuts)
+    masked = keyed.join(spans, rid, "left").withColumn("text", F.coalesce(_masked(mark)("text", cuts), F.col("text")))
+    if "n_chars" in documents.columns:
+        masked = masked.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
+    return masked.select(*documents.columns)
 
 
-def scan_rows(keyed: DataFrame, few: int) -> DataFrame:
+def live_spans(keyed: DataFrame, few: int) -> DataFrame:
     """rid and cuts (start, end of live-looking spans) of the rows that have any."""
     docs = keyed.select("rid", "doc_id", F.concat_ws("\x00", "source", "source").alias("source"), "text")
     found = durable(docs.mapInPandas(_scan, f"rid long, doc_id long, source string, found array<{SPAN}>"))

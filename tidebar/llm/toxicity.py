@@ -149,8 +149,10 @@ def keep_clean(documents: DataFrame, labels: DataFrame) -> DataFrame:
     fitted = model(documents, labels)
 
     def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for scored in _scorer(fitted)((pdf.assign(whole=pdf["text"]) for pdf in batches)):
-            yield scored[scored["score"] < 0.5].rename(columns={"whole": "text"})[names]
+        for pdf in batches:
+            # only the text goes to the scorer, so that extra columns of any name come back as they were
+            scored = next(score(iter([pdf[["text"]]])))
+            yield pdf[(scored["score"] < 0.5).to_numpy()]
 
-    names = documents.columns
+    score = _scorer(fitted)
     return documents.mapInPandas(kept, documents.schema)

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, unused
 
 UNIT = re.compile(r"\n+|(?<=[.!?])[^\S\n]+|[^\S\n]+(?=[A-ZÀ-ÖØ-Þ])")
 LEAST = 10
@@ -67,12 +67,13 @@ def _passages(docs: DataFrame, least: int) -> DataFrame:
 
 
 def remove_repeats(documents: DataFrame, least: int = LEAST) -> DataFrame:
-    """documents without the repeated passages; removed lists their original offsets."""
-    keyed = durable(documents.withColumn("_rid", F.monotonically_increasing_id()))
-    found = _passages(keyed.select(F.col("_rid").alias("rid"), "doc_id", "text"), least)
-    cuts = found.groupBy(F.col("rid").alias("_rid")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
-    rest = F.pandas_udf(_without, "string")("text", "removed")
-    return keyed.join(cuts, "_rid", "left").withColumn("text", rest).drop("_rid")
+    """documents without the repeated passages; removed (removed_ where there is such a column) lists their original offsets."""
+    rid, removed = unused(documents, "rid", "removed")
+    keyed = durable(documents.withColumn(rid, F.monotonically_increasing_id()))
+    found = _passages(keyed.select(F.col(rid).alias("rid"), "doc_id", "text"), least)
+    cuts = found.groupBy(F.col("rid").alias(rid)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(removed))
+    rest = F.pandas_udf(_without, "string")("text", removed)
+    return keyed.join(cuts, rid, "left").withColumn("text", rest).drop(rid)
 
 
 def _without(texts: pd.Series, cuts: pd.Series) -> pd.Series:
