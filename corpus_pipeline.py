@@ -6,8 +6,6 @@ left is encoded. A row with a null doc_id stays throughout.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tidebar import ship
 from tidebar.llm import bpe, decontaminate, order_minhash, secret_scan, toxicity
 from tidebar.llm.common import durable, table
@@ -20,17 +18,17 @@ def drop_toxic(spark, docs, sf_dir):
 
 def drop_near_copies(spark, docs, sf_dir):
     ship(spark)
-    kept = order_minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    # rows that repeat a kept doc_id are copies too: one stays
-    stay = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return stay.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(stay.where("doc_id is null"))
+    kept = order_minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    # of rows that repeat both doc_id and text one stays; the semi-join has dealt them by doc_id already
+    stay = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return stay.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def drop_contaminated(spark, docs, sf_dir):
     ship(spark)
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("bad_id"), "left_anti")
+    bad = found.where("contaminated and doc_id is not null").select("doc_id").distinct()
+    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
 
 
 def mask_secrets(spark, docs, sf_dir):
