@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, small, words_column
+from .common import BROADCAST_ROWS, durable, small, words_column
 
 K = 5
 
@@ -49,32 +49,34 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 13,
     A document word is hit if it stands in an occurrence of ``window`` consecutive words of
     an item, or of a whole item that is shorter.
     """
-    docs = documents.select("doc_id", words_column(F.col("text")).alias("words"))
+    # a row is known by its doc_id and the hash of its text, so that texts are read twice but only those with a hit move
+    key = ["doc_id", "text_hash"]
+    texts = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    docs = texts.select(*key, words_column(F.col("text")).alias("words"))
     items = durable(benchmark.select("item_id", words_column(F.col("text")).alias("words")).where(F.size("words") > 0))
+    base = durable(_with_least(docs, window).select(*key, F.col("n").cast("long").alias("n_words"), F.array_distinct("least").alias("values")))
 
     long_items = _with_least(items.where(F.size("words") >= window), window)
     prints = long_items.select(F.explode("least").alias("value")).distinct()
-    found = _with_least(docs, window).select("doc_id", F.explode(F.array_distinct("least")).alias("value"))
-    found = found.join(small(prints), "value", "left_semi").groupBy("doc_id").agg(F.collect_set("value").alias("hits"))
-
+    met = base.select(*key, F.explode("values").alias("value")).join(small(prints), "value", "left_semi")
+    met = met.select(*key, "value", F.lit(None).cast("struct<start:int,len:int>").alias("place"))
     short = items.where(F.size("words") < window)
     anchor = F.array_max(F.transform("words", lambda w, i: F.struct(F.length(w).alias("size"), w.alias("word"), i.alias("at"))))
     short = short.select(anchor.alias("a"), F.size("words").alias("len")).select("a.word", "a.at", "len").distinct()
-    starts = None
     if not short.isEmpty():
-        places = docs.select("doc_id", F.posexplode("words").alias("pos", "word")).join(small(short), "word")
-        starts = places.groupBy("doc_id").agg(F.collect_set(F.struct((F.col("pos") - F.col("at") + 1).alias("start"), F.col("len"))).alias("short"))
-
-    looked = documents.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").alias("doc"), words_column(F.col("text")).alias("words"))
-    looked = looked.join(found, F.col("doc").eqNullSafe(F.col("doc_id")), "left").drop("doc_id")
-    if starts is not None:
-        looked = looked.join(starts, F.col("doc").eqNullSafe(F.col("doc_id")), "left").drop("doc_id")
-    else:
-        looked = looked.withColumn("short", F.lit(None).cast("array<struct<start:int,len:int>>"))
-    looked = looked.withColumn("n", F.size("words"))
-    hit = F.col("hits").isNotNull() & (F.col("n") >= window)
-    looked = looked.withColumn("grams", F.when(hit, _grams(F.col("words"), F.col("n"))))
-    looked = looked.withColumn("least", F.when(hit, _least(F.col("grams"), window)))
+        places = docs.select(*key, F.posexplode("words").alias("pos", "word")).join(small(short), "word")
+        place = F.struct((F.col("pos") - F.col("at") + 1).alias("start"), F.col("len"))
+        met = met.unionByName(places.select(*key, F.lit(None).cast("long").alias("value"), place.alias("place")))
+    hit = durable(met.groupBy(*key).agg(F.collect_set("value").alias("hits"), F.collect_set("place").alias("short")))
+
+    weight = hit.agg(F.coalesce(F.sum(F.size("hits") + F.size("short") + 4), F.lit(0))).first()[0]
+    hit = hit.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), "hits", "short")
+    same = (F.col("text_hash") == F.col("hit_hash")) & F.col("doc_id").eqNullSafe(F.col("hit_id"))
+    looked = texts.join(F.broadcast(hit) if weight <= BROADCAST_ROWS else hit, same)
+    looked = looked.select(*key, words_column(F.col("text")).alias("words"), "hits", "short").withColumn("n", F.size("words"))
+    wanted_values = (F.col("n") >= window) & (F.size("hits") > 0)
+    looked = looked.withColumn("grams", F.when(wanted_values, _grams(F.col("words"), F.col("n"))))
+    looked = looked.withColumn("least", F.when(wanted_values, _least(F.col("grams"), window)))
     wide = F.filter(
         F.transform("least", lambda v, i: F.struct((i + 1).alias("start"), F.lit(window).alias("len"), v.alias("v"))),
         lambda s: F.array_contains(F.col("hits"), s["v"]),
@@ -82,24 +84,27 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 13,
     narrow = F.filter("short", lambda s: (s["start"] >= 1) & (s["start"] + s["len"] <= F.col("n") + 1))
     phrase = lambda s: F.struct(s["start"].alias("start"), s["len"].alias("len"), F.array_join(F.slice("words", s["start"], s["len"]), " ").alias("phrase"))
     empty = F.array().cast("array<struct<start:int,len:int,phrase:string>>")
-    looked = looked.withColumn("cand", F.concat(F.coalesce(F.transform(wide, phrase), empty), F.coalesce(F.transform(narrow, phrase), empty)))
-    looked = durable(looked.select("rid", F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_words"), "cand"))
+    cand = F.concat(F.coalesce(F.transform(wide, phrase), empty), F.coalesce(F.transform(narrow, phrase), empty))
+    looked = durable(looked.select(*key, F.explode(cand).alias("c")).select(*key, "c.*"))
 
     stretches = F.when(F.size("words") < window, F.array(F.array_join("words", " "))).otherwise(
         F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - (window - 1), F.lit(1))), lambda i: F.array_join(F.slice("words", i, window), " "))
     )
     wanted = items.select("item_id", F.explode(stretches).alias("phrase")).distinct()
-    met = looked.select("rid", F.explode("cand").alias("c")).select("rid", "c.*").join(small(wanted), "phrase")
-    met = met.groupBy("rid").agg(F.collect_set(F.struct("start", "len")).alias("at"), F.collect_set("item_id").alias("ids"))
+    found = looked.join(small(wanted), "phrase")
+    found = found.groupBy(*key).agg(F.collect_set(F.struct("start", "len")).alias("at"), F.collect_set("item_id").alias("ids"))
     covered = F.array_distinct(F.flatten(F.transform("at", lambda s: F.sequence(s["start"], s["start"] + s["len"] - 1))))
-    met = met.select(
-        "rid",
-        F.size(covered).cast("long").alias("hit"),
-        F.size("ids").cast("long").alias("items"),
-        F.sha2(F.array_join(F.array_sort(F.transform("ids", lambda x: x.cast("string"))), ","), 256).alias("sha"),
+    found = durable(
+        found.select(
+            F.col("doc_id").alias("hit_id"),
+            F.col("text_hash").alias("hit_hash"),
+            F.size(covered).cast("long").alias("hit"),
+            F.size("ids").cast("long").alias("items"),
+            F.sha2(F.array_join(F.array_sort(F.transform("ids", lambda x: x.cast("string"))), ","), 256).alias("sha"),
+        )
     )
     n_hit = F.coalesce("hit", F.lit(0).cast("long"))
-    return looked.drop("cand").join(met, "rid", "left").select(
+    return base.drop("values").join(small(found), same, "left").select(
         "doc_id",
         "n_words",
         n_hit.alias("n_hit"),
