@@ -1,7 +1,7 @@
 """Substring dedup by hashing normalised units.
 
 Lines are cut further into sentences: after closing punctuation, and before a word that begins with a capital. A unit's letters are
-lower-cased and its spaces folded. Digests are grouped globally; the occurrence of the
+lower-cased and its spaces folded. Digests are grouped globally, counted in parts before the shuffle; the occurrence of the
 least (doc_id, start) is kept. Neighbouring repeated units of a document form one passage; passages
 of at least ``least`` words are removed, with their offsets in the original text.
 
@@ -24,6 +24,8 @@ from .common import durable, unused
 
 UNIT = re.compile(r"\n+|(?<=[.!?])[^\S\n]+|[^\S\n]+(?=[A-ZÀ-ÖØ-Þ])")
 LEAST = 10
+#: Digests with more than one in so many of all units; there are fewer of them than this, so they are broadcast.
+HOT_SHARE = 20_000
 
 
 def units(text: str | None) -> list[tuple[int, int, int, int]]:
@@ -54,8 +56,11 @@ def repeated_passages(documents: DataFrame, least: int = LEAST) -> DataFrame:
 def _passages(docs: DataFrame, least: int) -> DataFrame:
     every = durable(docs.mapInPandas(_units, "rid long, doc_id long, no int, start int, end int, words int, digest long"))
     place = F.struct("doc_id", "rid", "start")
-    firsts = every.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    again = every.join(firsts, "digest").where(place > F.col("first"))
+    firsts = durable(every.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    heavy = F.col("n") * HOT_SHARE > every.count()
+    hot, rest = F.broadcast(firsts.where(heavy).drop("n")), firsts.where(~heavy).drop("n")
+    # units of the commonest digests stay where they are; only the others are dealt out by digest
+    again = every.join(hot, "digest").unionByName(every.join(hot, "digest", "left_anti").join(rest, "digest")).where(place > F.col("first"))
     by = Window.partitionBy("rid").orderBy("no")
     again = again.withColumn("run", F.col("no") - F.row_number().over(by))
     return (
