@@ -3,9 +3,9 @@
 Texts with equal words form one class at once and are represented by their least doc_id. Of each representative's shingles of
 five words, labelled with how often they occurred before, every sketch takes the LEAST minimal ones
 under its own hash and keeps them in text order. Representatives with an equal sketch
-meet in a bucket. Each is first held against the bucket's least member; what these links join is
-collapsed. Of buckets that still hold several classes, all pairs of
-different classes follow, so no link that shares a bucket is lost and a large group of
+meet in a bucket. Each is first held against the bucket's pivot, the member that meets the most others; what these links join is
+collapsed. Of buckets that still hold several classes, the pairs of
+different classes follow that sizes and parity bits do not rule out, so no link that shares a bucket is lost and a large group of
 copies costs one comparison for each member.
 
 A pair is linked if the Jaccard similarity of its sets of shingles is at least ``similarity`` and a
@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 from .common import durable, words_of
 from .components import components
 
-K, SKETCHES, LEAST, SIMILARITY, BINS = 5, 16, 3, 0.8, 128
+K, SKETCHES, LEAST, SIMILARITY = 5, 16, 3, 0.8
+#: Rounds of pivots before the rest is compared in pairs; 64-bit words of a text's parity bits.
+ROUNDS, WORDS = 2, 4
 _MULTIPLIERS = np.array([int.from_bytes(hashlib.sha256(b"sketch %d" % i).digest()[:8], "little") | 1 for i in range(SKETCHES)], dtype=np.uint64)
 _SEEN: dict[str, int] = {}
 
@@ -91,6 +93,13 @@ def sketches(h: np.ndarray) -> list[int]:
     return out.view(np.int64).tolist()
 
 
+def parity(h: np.ndarray) -> tuple[int, list[int]]:
+    """The number of different shingles, and for each of 64 * WORDS bins whether an odd number of them falls there."""
+    own = np.unique(h)
+    odd = np.bincount((own % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+    return len(own), np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     x, y = np.unique(shingles(a)), np.unique(shingles(b))
     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -137,8 +146,9 @@ def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for d, t in zip(pdf["doc_id"], pdf["text"], strict=True):
             ids = word_ids(t)
-            rows.append((d, hashlib.blake2b(ids.tobytes(), digest_size=16).digest(), sketches(shingles(ids))))
-        yield pd.DataFrame(rows, columns=["doc_id", "same", "sketch"])
+            h = shingles(ids)
+            rows.append((d, hashlib.blake2b(ids.tobytes(), digest_size=16).digest(), sketches(h), *parity(h)))
+        yield pd.DataFrame(rows, columns=["doc_id", "same", "sketch", "size", "bits"])
 
 
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,27 +172,51 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return durable(joined.select("a", "b", "aw", "bw").mapInPandas(_verified, "a long, b long"))
 
 
+def _may_link(x: str, y: str, least: float = SIMILARITY):
+    """A test on sizes and parity bits that no linked pair fails: as many bits as differ, so many shingles at least are in one set alone."""
+    sizes = F.least(f"{x}.size", f"{y}.size") >= least * F.greatest(f"{x}.size", f"{y}.size")
+    apart = sum((F.bit_count(F.col(f"{x}.bits")[i].bitwiseXOR(F.col(f"{y}.bits")[i])) for i in range(WORDS)), F.lit(0))
+    return sizes & (apart <= (F.col(f"{x}.size") + F.col(f"{y}.size")) * ((1 - least) / (1 + least)) + 1e-6)
+
+
+def _linked_edges(met: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) of which components follow; met has a row (bucket, id, n, size, bits) for each member of a shared bucket.
+
+    Round by round every member is held against the bucket's pivot, the member that meets the most others, and what is linked collapses. The
+    pivot then leaves the bucket. The pairs of different classes that are left after the rounds follow one by one.
+    """
+    weight = met.groupBy("id").agg(F.sum("n").alias("weight"))
+    left = durable(met.drop("n").join(weight, "id").withColumn("c", F.col("id")))
+    done = edges = None
+    for _ in range(ROUNDS):
+        pivot = left.groupBy("bucket").agg(F.max(F.struct("weight", -F.col("id"), "id", "c", "size", "bits")).alias("p")).select("bucket", "p")
+        held = durable(left.join(pivot, "bucket").where("id <> p.id"))
+        close = held.select(F.struct("id", "c", "size", "bits").alias("o"), "p").where("o.c <> p.c").where(_may_link("o", "p"))
+        pairs = close.select(F.least("o.id", "p.id").alias("a"), F.greatest("o.id", "p.id").alias("b")).distinct()
+        pairs = durable(pairs.join(done, ["a", "b"], "left_anti") if done else pairs)
+        found = _verify(pairs, texts)
+        done = done.unionByName(pairs) if done else pairs
+        edges = edges.unionByName(found) if edges else found
+        held = held.drop("p", "c").join(components(edges), F.col("id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "id")).drop("node", "component")
+        mixed = held.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
+        left = durable(held.join(mixed, "bucket", "left_semi"))
+        if left.isEmpty():
+            return edges
+    x, y = left.alias("x"), left.alias("y")
+    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") < F.col("y.c")) & _may_link("x", "y"))
+    rest = rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    return edges.unionByName(_verify(durable(rest.join(done, ["a", "b"], "left_anti")), texts))
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, class_id (the least doc_id of the class), kept (doc_id = class_id), for every row."""
     texts = documents.select(F.col("doc_id").alias("id"), "text").where("id is not null")
-    base = durable(documents.select("doc_id", "text").mapInPandas(_sketched, "doc_id long, same binary, sketch array<long>"))
+    base = durable(documents.select("doc_id", "text").mapInPandas(_sketched, "doc_id long, same binary, sketch array<long>, size int, bits array<long>"))
     first = base.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"))
-    firsts = durable(base.where("doc_id is not null").join(first, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"]).select("doc_id", F.explode("sketch").alias("bucket")))
-    shared = firsts.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    met = durable(firsts.join(shared, "bucket").select("bucket", "a", F.col("doc_id").alias("b")))
-    pairs = durable(met.where("a <> b").select("a", "b").distinct())
-    edges = _verify(pairs, texts)
-
-    groups = components(edges)
-    member = met.select("bucket", F.col("b").alias("id")).join(groups, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
-    mixed = member.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
-    left = durable(member.join(mixed, "bucket"))
-    x, y = left.alias("x"), left.alias("y")
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") < F.col("y.c"))).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    rest = durable(rest.join(pairs, ["a", "b"], "left_anti"))
-    edges = edges.unionByName(_verify(rest, texts)) if not rest.isEmpty() else edges
-
-    groups = components(edges)
+    reps = base.where("doc_id is not null").join(first, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"])
+    every = durable(reps.select(F.col("doc_id").alias("id"), "size", "bits", F.explode("sketch").alias("bucket")))
+    shared = every.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    groups = components(_linked_edges(every.join(shared, "bucket"), texts))
     classes = first.join(groups, F.col("rep") == F.col("node"), "left").select("same", F.coalesce("component", "rep").alias("class"))
     out = base.select("doc_id", "same").join(classes, "same", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.col("class"))
