@@ -4,6 +4,10 @@ Each plan reads {bars} (four-hour bars: symbol, t, o, h, l, c, v) and gives rows
 bars that closed by then, but for outcomes and labels. All windows are partitioned by symbol.
 """
 
+from __future__ import annotations
+
+from . import pattern_plans
+
 _RET = "select *, case when lag(c) over s > 0 and c > 0 then ln(c / lag(c) over s) end as r, row_number() over s as n from {bars} window s as (partition by symbol order by t)"
 _PIVOT = """select symbol, t, h, l, lead(t, 3) over s as known_t, count(*) over w as n,
     max(h) over (partition by symbol order by t rows between 3 preceding and 1 preceding) as hb, max(h) over (partition by symbol order by t rows between 1 following and 3 following) as ha,
@@ -86,6 +90,7 @@ PLANS = {
     "t4_structure_extreme": f"select b.symbol, round(coalesce(p.hi, b.hi), 6) as structure_high, round(coalesce(p.lo, b.lo), 6) as structure_low from (select symbol, max(h) as hi, min(l) as lo from {{bars}} group by symbol) b left join (select symbol, max(price) as hi, min(price) as lo from ({_PIVOTS}) q group by symbol) p on b.symbol = p.symbol",
     "x4_return_regime": f"select other, t, case when bc > 0 and lag(bc, 24) over s > 0 then case when ln(bc / lag(bc, 24) over s) > 0.005 then 'bullish' when ln(bc / lag(bc, 24) over s) < -0.005 then 'bearish' else 'neutral' end else 'unknown' end as regime from ({_PAIRS}) q window s as (partition by other order by t)",
 }
+PLANS |= pattern_plans.plans(_PIVOTS)
 
 _SPARK = {"percentile_(": "percentile(", "sha2_(": "sha1(", "string_)": "string)", "explode_(": "explode(sequence("}
 _DUCK = {"percentile_(": "quantile_cont(", "sha2_(": "sha1(", "string_)": "varchar)", "explode_(": "unnest(generate_series("}
