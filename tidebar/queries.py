@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators.asof import asof_attach
+from .operators.clusters import zone_clusters
 from .operators.features import feature_history
 from .operators.recurrences import with_recurrences
 from .operators.resample import resample
+from .operators.ridge import quantile_forecast, walk_forward
 from .operators.store import new_rows, sync_counts
 from .operators.zones import zigzag_pivots, zone_events
 from .plans import bar_plans
@@ -100,7 +102,25 @@ def q5_sync_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync_counts(bars.where("t < 1705276800"), moved, ["symbol", "t"], "level")
 
 
-_OWN = (a6_feature_history, s3_immutable_insert, q5_sync_counts, s4_bars, f6_resample, f12_gaps, k1_k2_k3_recurrences, j3_asof_parent, flagship_bar_state, p2_zigzag, p11_zone_lifecycle)
+def p4_zone_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = bars_from_events(spark, sf_dir)
+    closes = bars.groupBy("symbol").agg(F.max_by("c", "t").alias("c"))
+    return _rounded(zone_clusters(spark.sql(bar_plans.spark_sql("p1_window_pivots"), bars=bars), closes))
+
+
+def m8_quantile_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(quantile_forecast(bars_from_events(spark, sf_dir)))
+
+
+def m12_walk_forward_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(walk_forward(bars_from_events(spark, sf_dir)))
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+_OWN = (p4_zone_clusters, m8_quantile_forecast, m12_walk_forward_ridge, a6_feature_history, s3_immutable_insert, q5_sync_counts, s4_bars, f6_resample, f12_gaps, k1_k2_k3_recurrences, j3_asof_parent, flagship_bar_state, p2_zigzag, p11_zone_lifecycle)
 QUERIES = {f.__name__: f for f in _OWN} | {name: _plan(name) for name in bar_plans.PLANS}
 
 _A = {s: f"({2 / (s + 1)!r})::double" for s in (9, 20, 200)}
@@ -118,8 +138,35 @@ _RECURSIVE = f"""with recursive b as materialized (select *, row_number() over s
 """
 _PARENTS = f"select symbol, t // 86400 * 86400 as t, first(c order by t desc) as c from ({bars_sql()}) group by 1, t // 86400 having count(*) >= 6"
 
+#: The ridge's three weights by Cramer's rule, from sums n, s1, s2, s11, s12, s22 (squares with the penalty) and b0, b1, b2.
+_ROWS = f"""q as (select symbol, t, c, row_number() over s as n, case when c > 0 and lag(c) over s > 0 then ln(c / lag(c) over s) end as r1, case when c > 0 and lag(c, 3) over s > 0 then ln(c / lag(c, 3) over s) end as r3
+        from ({bars_sql()}) window s as (partition by symbol order by t)),
+    d as (select *, case when n >= 21 then coalesce(avg(r1) over (partition by symbol order by t rows between 18 preceding and current row), 0) else 0 end as drift, max(n) over (partition by symbol) as last from q),
+    g as (select d.*, h, case when d.c > 0 and f.c > 0 then ln(f.c / d.c) - d.drift * h end as y from d cross join (select unnest(range(1, 11)) as h) left join q f on f.symbol = d.symbol and f.n = d.n + h)"""
+_SUMS = lambda over: ", ".join(f"coalesce(sum({x}) {over}, 0)::double as {k}" for k, x in {"k": "u", "s1": "u * r1", "s2": "u * r3", "s11": "u * r1 * r1", "s12": "u * r1 * r3", "s22": "u * r3 * r3", "b0": "u * y", "b1": "u * r1 * y", "b2": "u * r3 * y"}.items())
+_SOLVED = """(b0 * (p1 * p2 - s12 * s12) - s1 * (b1 * p2 - s12 * b2) + s2 * (b1 * s12 - p1 * b2)) / det as w0,
+    (k * (b1 * p2 - s12 * b2) - b0 * (s1 * p2 - s12 * s2) + s2 * (s1 * b2 - b1 * s2)) / det as w1, (k * (p1 * b2 - b1 * s12) - s1 * (s1 * b2 - b1 * s2) + b0 * (s1 * s12 - p1 * s2)) / det as w2"""
+_DET = "select *, k * (p1 * p2 - s12 * s12) - s1 * (s1 * p2 - s12 * s2) + s2 * (s1 * s12 - p1 * s2) as det from (select *, s11 + 8 as p1, s22 + 8 as p2 from"
+
 ORACLES = {name: bar_plans.duck_sql(name, bars_sql()) for name in bar_plans.PLANS} | {
     "s4_bars": bars_sql(),
+    "m8_quantile_forecast": f"""with {_ROWS}, tr as (select *, 1 as u from g where n >= 24 and n <= last - 10 and y is not null and r1 is not null and r3 is not null),
+        w as (select symbol, h, {_SOLVED} from ({_DET} (select symbol, h, {_SUMS("")} from tr group by 1, 2 having count(*) >= 30))) ),
+        e as (select tr.symbol, tr.h, quantile_cont(y - w0 - w1 * r1 - w2 * r3, [0.1, 0.5, 0.9]) as e from tr join w using (symbol, h) group by 1, 2)
+        select symbol, h::int as h, round(drift * h + w0 + w1 * r1 + w2 * r3 + e[1], 6) as q10, round(drift * h + w0 + w1 * r1 + w2 * r3 + e[2], 6) as q50, round(drift * h + w0 + w1 * r1 + w2 * r3 + e[3], 6) as q90
+        from g join w using (symbol, h) join e using (symbol, h) where n = last""",
+    "m12_walk_forward_ridge": f"""with {_ROWS}, tr as (select *, case when y is not null and r1 is not null and r3 is not null then 1 end as u from g),
+        m as (select *, {_SUMS("over v")} from tr window v as (partition by symbol, h order by t rows between 400 preceding and 10 preceding)),
+        w as (select *, {_SOLVED} from ({_DET} (select * from m where n >= 120 and (n - 120) % 20 = 0 and u = 1 and k >= 30)))) 
+        select symbol, h::int as h, count(*) as n, round(avg(abs(y - w0 - w1 * r1 - w2 * r3)), 6) as ridge_mae, round(avg(abs(y)), 6) as drift_mae, round(avg(abs(y + drift * h)), 6) as zero_mae from w group by 1, 2""",
+    "p4_zone_clusters": f"""with recursive p as materialized (select symbol, price, kind, row_number() over (partition by symbol order by price, t, kind) as i from ({bar_plans.duck_sql("p1_window_pivots", bars_sql())}) x),
+        f as (select symbol, i, price, kind, 0::bigint as no, price as total, 1 as size from p where i = 1 union all
+            select p.symbol, p.i, p.price, p.kind, case when far then f.no + 1 else f.no end, case when far then p.price else f.total + p.price end, case when far then 1 else f.size + 1 end
+            from f join p on p.symbol = f.symbol and p.i = f.i + 1, lateral (select abs(p.price - f.total / f.size) / greatest(f.total / f.size, 1e-12) > 0.006 as far) z),
+        z as (select symbol, no, min(price) as lower, max(price) as upper, count(*) as touches, count(distinct kind) as kinds from f group by 1, 2),
+        n as (select symbol, last(c order by t) as c from ({bars_sql()}) b group by 1)
+        select symbol, round(lower, 6) as lower, round(upper, 6) as upper, touches, case when kinds > 1 and abs((lower + upper) / 2 - c) < 0.006 * c then 'mixed' when (lower + upper) / 2 < c then 'support' when (lower + upper) / 2 > c then 'resistance' else 'mixed' end as role,
+            round(least(1.0, 0.2 + 0.15 * touches)::double, 6) as strength from z join n using (symbol)""",
     "s3_immutable_insert": f"select * from ({bars_sql()}) where t >= 1705276800",
     "q5_sync_counts": f"select count(*) filter (t >= 1705276800) as wrote, count(*) filter (t < 1705276800 and (t // 14400) % 5 <> 0) as kept, count(*) filter (t < 1705276800 and (t // 14400) % 5 = 0) as refused from ({bars_sql()})",
     "f6_resample": f"select symbol, t // 14400 * 14400 as t, first(o order by t) as o, max(h) as h, min(l) as l, last(c order by t) as c, sum(v) as v from ({bars_sql(60)}) group by symbol, t // 14400 having count(*) >= 4",
