@@ -1,11 +1,12 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear classifier over the presence of words is fitted in numpy: confirmed toxic texts are the
-positives, the texts of the other learning rows count as unlabelled whatever their label. The risk of the negative class is corrected by the class prior and kept from
-going below zero. The prior is the share of confirmed rows among the learning rows.
+A linear classifier over the presence of words is fitted in numpy: confirmed toxic texts are the positives, and the unlabelled
+texts are drawn from all documents, whatever their labels or with none. The risk of the negative class is corrected by the class prior and kept from
+going below zero. The prior is counted over all learning rows of the labels, apart from the fit's own sample: the share of toxic
+rows among those with a toxicity label. Labels that name toxic rows alone say nothing of the share; it is then toxic rows over documents.
 
-The fit uses at most ``positives`` and ``unlabelled`` rows (documented bounds; by hash order); every
-row is scored on its whole text. Rows whose crc32(doc_id) mod 5 is 0 are never learnt from.
+The fit uses at most ``positives`` and ``unlabelled`` rows (documented bounds; by hash order), the prior and every
+threshold follow from all labels; every row is scored on its whole text. Rows whose crc32(doc_id) mod 5 is 0 are never learnt from.
 Defined results: null and empty texts get the score of a text without known words; without any positive
 row all scores are 0; repeated rows each get a row; other columns are ignored.
 """
@@ -13,6 +14,7 @@ row all scores are 0; repeated rows each get a row; other columns are ignored.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,12 +32,24 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
+def known_labels(labels: DataFrame) -> DataFrame:
+    """doc_id, toxic of the rows that may be learnt from; of repeated rows a confirmed one counts."""
+    return labels.where(~held_out()).groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
+
+
+def class_prior(documents: DataFrame, labels: DataFrame) -> float:
+    """The share of toxic texts, over all learning rows."""
+    toxic, clean = known_labels(labels).agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count_if(F.col("toxic") == 0)).first()
+    total = toxic + clean if clean else documents.where(~held_out()).count()
+    return toxic / max(total, 1)
+
+
 def learning_rows(documents: DataFrame, labels: DataFrame, positives: int, unlabelled: int) -> list:
-    """A bounded sample by hash order."""
-    known = labels.where(~held_out()).select(F.col("doc_id"), F.col("toxic")).dropDuplicates(["doc_id"])
-    toxic = known.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives)
-    other = known.where("toxic is null or toxic <> 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(unlabelled)
-    chosen = toxic.union(other).repartition("doc_id")
+    """A bounded sample by hash order: confirmed rows, and rows of all documents. A row can be in both."""
+    first = lambda ids, n: ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    toxic = first(known_labels(labels).where("toxic = 1").select("doc_id", F.lit(1).alias("toxic")), positives)
+    drawn = first(documents.where(~held_out() & F.col("doc_id").isNotNull()).select("doc_id").distinct(), unlabelled).withColumn("toxic", F.lit(0))
+    chosen = toxic.union(drawn).repartition("doc_id")
     # hashes of word sets, and no texts, go to the driver
     rows = documents.where(~held_out()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     return rows.mapInPandas(_word_sets, "toxic int, words binary").collect()
@@ -48,30 +62,35 @@ def _hash(word: str) -> int:
 def _word_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         sets = [np.array(sorted({_hash(w) for w in words_of(t)}), dtype=np.uint64).tobytes() for t in pdf["text"]]
-        yield pd.DataFrame({"toxic": pdf["toxic"].fillna(0).astype(int), "words": sets})
+        yield pd.DataFrame({"toxic": pdf["toxic"], "words": sets})
 
 
-def fit(rows: list[tuple[int, bytes]], **options) -> tuple[dict[int, float], float]:
+def fit(rows: list[tuple[int, bytes]], prior: float, **options) -> tuple[dict[int, float], float]:
     """Weights by word hash, and the bias; the bias is set where scores of rows that were not fitted on err least,
     with the unlabelled rows' error corrected by the prior."""
     y = np.array([t for t, _ in rows], dtype=bool)
     if not y.any() or y.all():
         return {}, -30.0 if not y.any() else 0.0
+    prior = float(np.clip(prior, 1e-6, 1 - 1e-6))
     sets = [np.frombuffer(w, np.uint64) for _, w in rows]
     row = np.repeat(np.arange(len(y)), [len(x) for x in sets])
     names, column = np.unique(np.concatenate(sets), return_inverse=True)
-    weights, bias = fit_once(y, row, column, len(names), **options)
+    weights, bias = fit_once(y, row, column, len(names), prior, **options)
     if y.sum() >= 10:
         crossed = np.zeros(len(y))
+        # by the words, so that a text that is both confirmed and drawn is in one fold
+        folds = np.array([zlib.crc32(w) % 3 for _, w in rows])
         for fold in range(3):
-            out = row % 3 == fold
-            own = np.arange(len(y)) % 3 == fold
+            own = folds == fold
+            out = own[row]
+            if not y[~own].any() or y[~own].all():
+                continue
             number = np.cumsum(~own) - 1
-            part, _ = fit_once(y[~own], number[row[~out]], column[~out], len(names), **options)
+            part, _ = fit_once(y[~own], number[row[~out]], column[~out], len(names), prior, **options)
             crossed += np.bincount(row[out], part[column[out]], len(y))
-        prior, order = y.mean(), np.argsort(crossed, kind="stable")
+        order = np.argsort(crossed, kind="stable")
         missed = np.cumsum(y[order]) / y.sum()
-        flagged = 1 - np.arange(1, len(y) + 1) / len(y)
+        flagged = 1 - np.cumsum(~y[order]) / (~y).sum()
         risk = prior * missed + np.maximum(0, flagged - prior * (1 - missed))
         best = int(np.argmin(risk))
         above = crossed[order[min(best + 1, len(y) - 1)]]
@@ -79,7 +98,13 @@ def fit(rows: list[tuple[int, bytes]], **options) -> tuple[dict[int, float], flo
     return {int(names[k]): float(weights[k]) for k in np.flatnonzero(np.abs(weights) > 1e-4)}, float(bias)
 
 
-def fit_once(y, row, column, size: int, steps: int = 400, rate: float = 0.05, l2: float = 1e-3) -> tuple[np.ndarray, float]:
+def corrected(z: np.ndarray, y: np.ndarray, prior: float) -> float:
+    """The negatives' risk: the unlabelled rows' less the positives' share of it. It is below zero where the fit goes too far."""
+    loss = np.logaddexp(0, z)
+    return float(loss[~y].mean() - prior * loss[y].mean())
+
+
+def fit_once(y, row, column, size: int, prior: float, steps: int = 400, rate: float = 0.05, l2: float = 1e-2) -> tuple[np.ndarray, float]:
     """Full-batch Adam on the non-negative risk with the logistic loss. Of ``size`` words, the frequent enough have weights."""
     counts = np.bincount(column, minlength=size)
     chosen = np.flatnonzero(counts >= max(3, len(y) // 500))
@@ -90,18 +115,16 @@ def fit_once(y, row, column, size: int, steps: int = 400, rate: float = 0.05, l2
     c = c[c >= 0]
     # a word's pull is scaled by how rare it is, so that common words add little noise
     scale = np.log(len(y) / np.maximum(counts[chosen], 1)) / np.log(max(len(y), 2))
-    prior, pos, n_pos, n_all = y.mean(), y.astype(float), y.sum(), len(y)
+    pos, n_pos, n_drawn = y.astype(float), y.sum(), (~y).sum()
     w, b = np.zeros(len(chosen)), np.log(prior / (1 - prior))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, steps + 1):
         z = b + np.bincount(r, (w * scale)[c], len(y))
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        loss_neg = np.logaddexp(0, z)
-        negative = loss_neg.mean() - prior * loss_neg[y].mean()
         # gradients by z: the positives' risk, and the corrected risk of the negatives
         g = prior * pos * (p - 1) / n_pos
-        push = p / n_all - prior * pos * p / n_pos
-        g = g + push if negative >= 0 else -push
+        push = (1 - pos) * p / n_drawn - prior * pos * p / n_pos
+        g = g + push if corrected(z, y, prior) >= 0 else -push
         gw = np.bincount(c, g[r], len(chosen)) * scale + l2 * w
         gb = g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
@@ -134,7 +157,7 @@ def _scorer(shared):
 
 def model(documents: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED):
     rows = learning_rows(documents, labels, positives, unlabelled)
-    return documents.sparkSession.sparkContext.broadcast(fit(sorted((r.toxic, r.words) for r in rows)))
+    return documents.sparkSession.sparkContext.broadcast(fit(sorted((r.toxic, r.words) for r in rows), class_prior(documents, labels)))
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> DataFrame:
