@@ -108,6 +108,18 @@ def p4_zone_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(zone_clusters(spark.sql(bar_plans.spark_sql("p1_window_pivots"), bars=bars), closes))
 
 
+def m15_walk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expanding training windows and their tests of 20 bars, as far as each symbol's bars go."""
+    return walk_windows(bars_from_events(spark, sf_dir))
+
+
+def walk_windows(bars: DataFrame) -> DataFrame:
+    counted = bars.groupBy("symbol").agg(F.count("*").alias("n")).where("n > 80")
+    folds = counted.select("symbol", "n", F.explode(F.sequence(F.lit(0), F.expr("int((n - 81) div 20)"))).alias("fold"))
+    end = 80 + 20 * F.col("fold")
+    return folds.select("symbol", "fold", end.alias("train_end"), end.alias("test_start"), F.least((end + 20).cast("long"), F.col("n")).alias("test_end"))
+
+
 def m8_quantile_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(quantile_forecast(bars_from_events(spark, sf_dir)))
 
@@ -121,7 +133,8 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 _OWN = (p4_zone_clusters, m8_quantile_forecast, m12_walk_forward_ridge, a6_feature_history, s3_immutable_insert, q5_sync_counts, s4_bars, f6_resample, f12_gaps, k1_k2_k3_recurrences, j3_asof_parent, flagship_bar_state, p2_zigzag, p11_zone_lifecycle)
-QUERIES = {f.__name__: f for f in _OWN} | {name: _plan(name) for name in bar_plans.PLANS}
+# m15's plan stops at ten folds; it stays as the SQL to compare with, which is whole up to 280 bars
+QUERIES = {name: _plan(name) for name in bar_plans.PLANS} | {f.__name__: f for f in (*_OWN, m15_walk_windows)}
 
 _A = {s: f"({2 / (s + 1)!r})::double" for s in (9, 20, 200)}
 _RECURSIVE = f"""with recursive b as materialized (select *, row_number() over s as n, c - lag(c) over s as d,
