@@ -1,10 +1,10 @@
 """Licence scan by a positional index of rare licence words, in DataFrame operations only.
 
-The document frequency of every licence word is counted over the whole corpus. Of each file's licence words the rarest are
-looked up in the templates' postings; postings that agree on where the template would start
+The document frequency of every licence word is counted over the whole corpus. Each template is indexed by its rarest words; all of a
+file's words that are in the index are looked up in the templates' postings; postings that agree on where the template would start
 name a candidate, and a candidate stands if its mandatory phrases are there and enough of its
-words stand at their places. The rarest word of each base phrase is always looked
-up, so no place of a base phrase is missed.
+words stand at their places. No word of the index is left out, so no place of a base phrase and no template that holds one of its
+own words in place is missed.
 
 Defined results: null texts are empty; repeated rows each get a row; other columns are ignored; an empty table gives an
 empty result. score is the best share of a template's words in place, 0 without a label.
@@ -31,7 +31,7 @@ TEMPLATES = {
     "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "distribute this software for any purpose"),
     "unlicense": ("this is free and unencumbered software released into the public domain", "unencumbered software"),
 }
-RAREST, SHARE = 12, 0.8
+SHARE = 0.8
 
 
 def _entries() -> list[tuple[str, list[str], str, bool]]:
@@ -56,11 +56,8 @@ def licenses(documents: DataFrame) -> DataFrame:
     rank = {w: k for k, w in enumerate(rare_first)}
     # each template is looked up by its rarest words; a base phrase by its rarest alone
     postings: dict[str, list[tuple[int, int]]] = {}
-    always = set()
     for no, (_, ws, _, base) in enumerate(entries):
         chosen = sorted(set(ws), key=rank.get)[: 1 if base else 3]
-        if base:
-            always.add(chosen[0])
         for at, w in enumerate(ws):
             if w in chosen:
                 postings.setdefault(w, []).append((no, at))
@@ -68,7 +65,6 @@ def licenses(documents: DataFrame) -> DataFrame:
     listed = F.array(*map(F.lit, anchors))
     post = F.create_map(*[x for w in anchors for x in (F.lit(w), F.array(*[F.struct(F.lit(no).alias("no"), F.lit(at).alias("at")) for no, at in postings[w]]))])
     table = F.array(*[F.struct(F.array(*map(F.lit, ws)).alias("words"), F.lit(f" {must} ").alias("must"), F.lit(label).alias("label"), F.lit(base).alias("base")) for label, ws, must, base in entries])
-    kept = F.array_union(F.slice(F.filter(listed, lambda a: F.array_contains("words", a)), 1, RAREST), F.array(*map(F.lit, sorted(always))))
     spots = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: F.array_contains(listed, s["w"]))
     starts = F.array_distinct(F.flatten(F.transform("spots", lambda s: F.transform(F.element_at(post, s["w"]), lambda p: F.struct(p["no"].alias("no"), (s["i"] - p["at"]).alias("start"))))))
 
@@ -81,10 +77,7 @@ def licenses(documents: DataFrame) -> DataFrame:
         return F.struct(entry["label"].alias("label"), entry["base"].alias("base"), c["start"].alias("start"), (same / F.size(entry["words"])).alias("share"), text.contains(entry["must"]).alias("must"))
 
     df = words.withColumn("some", F.arrays_overlap("words", listed))
-    df = df.withColumn("kept", F.when(F.col("some"), kept))
     df = df.withColumn("spots", F.when(F.col("some"), spots))
-    # named twice, so that the optimizer keeps it a column and does not move it into the lambda
-    df = df.withColumn("spots", F.when(F.size("kept") > 0, F.filter("spots", lambda s: F.array_contains("kept", s["w"]))))
     df = df.withColumn("starts", F.when(F.col("some"), starts))
     df = df.withColumn("found", F.transform("starts", placed))
     df = df.withColumn("found", F.filter("found", lambda f: f["must"] & (f["share"] >= F.when(f["base"], 1.0).otherwise(SHARE))))
