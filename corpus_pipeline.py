@@ -38,7 +38,7 @@ def mask_secrets(spark, docs, sf_dir):
 
 def encode(spark, docs, sf_dir):
     ship(spark)
-    return bpe.encode_documents(docs)
+    return bpe.with_digests(bpe.encoded_corpus(docs))
 
 
 STAGES = [

@@ -4,7 +4,7 @@ Texts of more than ``chunk`` characters are dealt out as overlapping chunks. Eac
 split into pre-tokens by itself; where neighbours have a boundary in common inside their
 overlap, they agree from there on, so the text is cut at the first such place. The
 pieces are encoded in parallel and their bytes put together by document. Chunks without a
-common boundary stay together as one piece.
+common boundary stay together as one piece. The rows hold the ids and the decoded bytes; counts and digests are derived from them.
 
 Defined results: null and empty texts have no tokens; repeated rows each get a row;
 other columns are ignored; an empty table gives an empty result.
@@ -13,7 +13,6 @@ other columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
-import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -57,15 +56,10 @@ def unpacked(path: str | None, ids: bytes) -> bytes:
 def _whole(path: str | None):
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids = [packed(path, t or "") for t in pdf["text"]]
-            yield pd.DataFrame(
-                {
-                    "doc_id": pdf["doc_id"],
-                    "n_tokens": [len(x) // 4 for x in ids],
-                    "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
-                    "decoded_sha256": [hashlib.sha256(unpacked(path, x)).hexdigest() for x in ids],
-                }
-            )
+            for at in range(0, len(pdf), 500):
+                part = pdf.iloc[at : at + 500]
+                ids = [packed(path, t or "") for t in part["text"]]
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "ids": ids, "decoded": [unpacked(path, x) for x in ids]}).astype({"doc_id": part["doc_id"].dtype})
 
     return encode
 
@@ -96,10 +90,10 @@ def _pieces(path: str | None):
     return encode
 
 
-def encode_documents(documents: DataFrame, path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row."""
+def encoded_corpus(documents: DataFrame, path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """doc_id, ids (little-endian unsigned 32-bit integers, one after another), decoded (the bytes that the ids stand for) for every row."""
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    out = "doc_id long, ids binary, decoded binary"
     whole = docs.where(F.length("text") <= chunk).mapInPandas(_whole(path), out)
 
     long = docs.where(F.length("text") > chunk).groupBy("doc_id", "text").agg(F.count("*").alias("times"))
@@ -120,12 +114,16 @@ def encode_documents(documents: DataFrame, path: str | None = None, chunk: int =
     pieces = pieces.mapInPandas(_pieces(path), "doc_id long, key string, times long, piece long, ids binary, bytes binary")
     joined = pieces.groupBy("doc_id", "key", "times").agg(F.array_sort(F.collect_list(F.struct("piece", "ids", "bytes"))).alias("p"))
     fold = lambda name: F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x[name]))
-    joined = joined.select("doc_id", "times", fold("ids").alias("ids"), fold("bytes").alias("bytes"))
-    joined = joined.select(
-        "doc_id",
-        F.expr("int(octet_length(ids) div 4)").cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("bytes", 256).alias("decoded_sha256"),
-        F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))).alias("x"),
-    ).drop("x")
+    joined = joined.select("doc_id", fold("ids").alias("ids"), fold("bytes").alias("decoded"), F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))).alias("x")).drop("x")
     return whole.unionByName(joined)
+
+
+def with_digests(corpus: DataFrame) -> DataFrame:
+    """n_tokens, ids_sha256 and decoded_sha256 beside an encoded corpus' own columns."""
+    count = F.expr("int(octet_length(ids) div 4)").cast("long")
+    return corpus.select("*", count.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def encode_documents(documents: DataFrame, path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row, of the encoded corpus."""
+    return with_digests(encoded_corpus(documents, path, chunk, overlap)).drop("ids", "decoded")

@@ -3,7 +3,7 @@
 Writing: every task streams its rows into one archive, a gzip member per record, payloads chunk by chunk. Archives get an attempt's own
 name, are renamed when complete, and only those that a finished task reported are read, so a task that
 runs again leaves nothing half done. Reading: archives are streamed into rows of record
-identifier and chunk number with the digest so far; no payload is held whole.
+identifier, chunk number and the chunk's bytes; sizes and digests are folded from these rows. No payload is held whole.
 
 The folder must be one that driver and executors share and that a path opens: the one of spark.checkpoint.dir by default.
 Equal payloads of at least ``least`` bytes: the smallest page_id is the response, the
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import durable, shared_dir
 
 CHUNK = 1 << 20
-RECORD = "record_no long, chunk_no int, page_id long, record_type string, refers_to long, full_bytes long, full_digest string, n_bytes long, digest string, last boolean"
+RECORD = "archive string, record_no long, chunk_no int, page_id long, record_type string, refers_to long, full_bytes long, full_digest string, chunk binary, last boolean"
 
 
 def _header(page_id, url: str, kind: str, refers, size: int, digest: str, length: int) -> bytes:
@@ -81,7 +81,7 @@ def records(path: str) -> Iterator[tuple]:
             buffer += more
         head, _, rest = bytes(buffer).partition(b"\r\n\r\n")
         fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:] if ": " in line)
-        buffer, left, digest, chunk, size = bytearray(rest), int(fields["Content-Length"]), hashlib.sha256(), 0, 0
+        buffer, left, chunk = bytearray(rest), int(fields["Content-Length"]), 0
         number = lambda k: int(x) if (x := fields.get(k, "").removeprefix("<urn:page:").rstrip(">")) else None
         while True:
             while not buffer and left:
@@ -89,9 +89,7 @@ def records(path: str) -> Iterator[tuple]:
             part = bytes(buffer[: min(left, CHUNK)])
             del buffer[: len(part)]
             left -= len(part)
-            size += len(part)
-            digest.update(part)
-            yield (no, chunk, number("WARC-Record-ID"), fields["WARC-Type"], number("WARC-Refers-To"), int(fields["WARC-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha256:"), size, digest.hexdigest(), not left)
+            yield (path, no, chunk, number("WARC-Record-ID"), fields["WARC-Type"], number("WARC-Refers-To"), int(fields["WARC-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha256:"), part, not left)
             chunk += 1
             if not left:
                 break
@@ -105,16 +103,37 @@ def _reader(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [x.split()[0] for x in RECORD.split(", ")]
     for pdf in batches:
         for path in pdf["archive"]:
-            rows = []
+            rows, held = [], 0
             for row in records(path):
                 rows.append(row)
-                if len(rows) == 2000:
+                held += len(row[-2])
+                if len(rows) == 2000 or held >= 8 * CHUNK:
                     yield pd.DataFrame(rows, columns=names)
-                    rows = []
+                    rows, held = [], 0
             if rows:
                 yield pd.DataFrame(rows, columns=names)
 
 
+def _folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each record; a record's chunks follow one another in a task, across its batches."""
+    size, digest = 0, hashlib.sha256()
+    for pdf in batches:
+        own = []
+        for chunk, last in zip(pdf["chunk"], pdf["last"], strict=True):
+            size += len(chunk)
+            digest.update(chunk)
+            if last:
+                own.append((size, digest.hexdigest()))
+                size, digest = 0, hashlib.sha256()
+        ends = pdf[pdf["last"].astype(bool)].drop(columns=["chunk", "last"])
+        yield ends.assign(n_bytes=[n for n, _ in own], digest=[d for _, d in own])
+
+
+def payloads(rows: DataFrame) -> DataFrame:
+    """Each record of a chunked record table, as read_archives gives it, with the size and digest of its chunks put together."""
+    return rows.mapInPandas(_folded, RECORD.removesuffix(", chunk binary, last boolean") + ", n_bytes long, digest string")
+
+
 def roles(pages: DataFrame, least: int = 100) -> DataFrame:
     """page_id and digest of the rows that are revisits, with refers_to; only digests move, never payloads."""
     prints = pages.select("page_id", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").alias("size")).where(F.col("size") >= least)
@@ -147,6 +166,6 @@ def archive_folder(spark: SparkSession) -> str:
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, as read back."""
     folder = folder or archive_folder(pages.sparkSession)
-    rows = read_archives(write_archives(pages, folder)).where("last")
+    rows = payloads(read_archives(write_archives(pages, folder)))
     own = F.col("record_type") == "response"
     return rows.select("page_id", F.when(own, F.col("n_bytes")).otherwise(F.col("full_bytes")).alias("payload_bytes"), F.when(own, F.col("digest")).otherwise(F.col("full_digest")).alias("payload_digest"), "record_type", "refers_to")
