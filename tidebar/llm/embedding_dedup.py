@@ -5,14 +5,14 @@ is filed under its cell. A vector visits cells in the order of the least distanc
 (by the planes between centres, both halves together) until the target recall: the bound
 is taken from a bounded sample, moved at random to just the threshold's cosine, so that ``recall`` of such
 partners are met. A pair is met if either side visits the other's cell, and every met pair is
-verified by its cosine in double precision.
+verified by its cosine in double precision. Vectors of each length have their own codebooks and bound, and meet
+their own length alone; lengths of at most ``SINGLE`` vectors have one cell, where all pairs meet.
 
 Large cells are dealt out as pairs of blocks; a block pair returns counts and the links of a
 spanning forest, never its pairs.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows without a label, link with
-nothing; vectors of another length than the most common of the sample link with nothing either; rows that
-repeat a vec_id count as one vector; other columns are ignored; an empty table gives an empty result.
+nothing; rows that repeat a vec_id count as one vector; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import durable
 from .components import components
 
-COSINE, SAMPLE, RECALL, BLOCK = 0.93, 4_000, 0.995, 256
+COSINE, SAMPLE, RECALL, BLOCK, SINGLE = 0.93, 4_000, 0.995, 256, 512
 
 
 def _centres(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -88,28 +88,34 @@ class Index:
         return self.cell(i[order // len(j)], j[order % len(j)]) if len(j) else order
 
 
+def _of(indexes: dict[int, Index], dim: int) -> Index:
+    """The length's index; one cell where it has too few vectors for one."""
+    if dim not in indexes:
+        indexes[dim] = Index(np.zeros((1, dim)), 1, COSINE, RECALL)
+    return indexes[dim]
+
+
 def _filed(shared):
     def run(batches):
-        index = shared.value
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.stack(pdf["v"].to_list()).astype(np.float64)
-            x /= np.linalg.norm(x, axis=1)[:, None]
-            h = index.home(x)
-            home, (b1, b2) = index.cell(*h), index.bounds(x)
-            rows = []
-            for k, (d, label) in enumerate(zip(pdf["id"], pdf["label"], strict=True)):
-                seen = index.visits(b1[k], b2[k])
-                rows.append((d, label, x[k].tobytes(), int(home[k]), [int(c) for c in seen if c != home[k]]))
-            yield pd.DataFrame(rows, columns=["id", "label", "v", "home", "visits"])
+        for batch in batches:
+            for dim, pdf in batch.groupby("dim"):
+                index = _of(shared.value, dim)
+                x = np.stack(pdf["v"].to_list()).astype(np.float64)
+                x /= np.linalg.norm(x, axis=1)[:, None]
+                h = index.home(x)
+                home, (b1, b2) = index.cell(*h), index.bounds(x)
+                rows = []
+                for k, (d, label) in enumerate(zip(pdf["id"], pdf["label"], strict=True)):
+                    seen = index.visits(b1[k], b2[k])
+                    rows.append((d, label, dim, x[k].tobytes(), int(home[k]), [int(c) for c in seen if c != home[k]]))
+                yield pd.DataFrame(rows, columns=["id", "label", "dim", "v", "home", "visits"])
 
     return run
 
 
 def _blocks(shared, cosine: float):
     def run(key, pdf):
-        index, cell = shared.value, key[1]
+        index, cell = _of(shared.value, key[1]), key[2]
         m, p = pdf[pdf["member"]], pdf[~pdf["member"]]
         if not len(m) or not len(p):
             return pd.DataFrame({"id": [], "n": [], "to": []})
@@ -150,28 +156,31 @@ def embedding_links(embeddings: DataFrame, cosine: float = COSINE, recall: float
     rows = embeddings.select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("v")).dropDuplicates(["id"])
     fine = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     valid = rows.where(F.col("label").isNotNull() & F.col("id").isNotNull() & F.coalesce(fine, F.lit(False)))
-    drawn = [r["v"] for r in valid.orderBy(F.xxhash64("id"), "id").select("v").limit(sample).collect()]
+    valid = valid.withColumn("dim", F.size("v"))
+    sizes = {r["dim"]: r["count"] for r in valid.groupBy("dim").count().collect()}
     all_ids = rows.select(F.col("id").alias("vec_id"))
-    if not drawn:
+    if not sizes:
         return all_ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    sizes = [len(v) for v in drawn]
-    dim = max(set(sizes), key=lambda s: (sizes.count(s), s))
-    x = np.array([v for v in drawn if len(v) == dim])
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    n = valid.count()
-    shared = spark.sparkContext.broadcast(Index(x, cells=min(16_384, max(4, n // 512)), cosine=cosine, recall=recall))
-    filed = durable(valid.where(F.size("v") == dim).mapInPandas(_filed(shared), "id long, label long, v binary, home int, visits array<int>"))
-
-    homes = filed.groupBy("label", F.col("home").alias("cell")).agg(F.count("*").alias("nm"))
-    seen = filed.select("label", F.explode(F.concat(F.array("home"), "visits")).alias("cell"), "id", "home")
-    loads = durable(seen.groupBy("label", "cell").agg(F.count("*").alias("np")).join(homes, ["label", "cell"]))
-    loads = loads.select("label", "cell", F.ceil(F.col("nm") / block).cast("int").alias("mb"), F.ceil(F.col("np") / block).cast("int").alias("pb"))
+    indexes = {}
+    for dim, n in sorted(sizes.items()):
+        if n > SINGLE:
+            drawn = valid.where(F.col("dim") == dim).orderBy(F.xxhash64("id"), "id").select("v").limit(sample).collect()
+            x = np.array([r["v"] for r in drawn])
+            x /= np.linalg.norm(x, axis=1)[:, None]
+            indexes[dim] = Index(x, cells=min(16_384, max(4, n // 512)), cosine=cosine, recall=recall)
+    shared = spark.sparkContext.broadcast(indexes)
+    filed = durable(valid.mapInPandas(_filed(shared), "id long, label long, dim int, v binary, home int, visits array<int>"))
+
+    homes = filed.groupBy("label", "dim", F.col("home").alias("cell")).agg(F.count("*").alias("nm"))
+    seen = filed.select("label", "dim", F.explode(F.concat(F.array("home"), "visits")).alias("cell"), "id", "home")
+    loads = durable(seen.groupBy("label", "dim", "cell").agg(F.count("*").alias("np")).join(homes, ["label", "dim", "cell"]))
+    loads = loads.select("label", "dim", "cell", F.ceil(F.col("nm") / block).cast("int").alias("mb"), F.ceil(F.col("np") / block).cast("int").alias("pb"))
     salt = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    probes = filed.select("id", "label", "v", "home", F.explode(F.concat(F.array("home"), "visits")).alias("cell")).join(loads, ["label", "cell"])
-    probes = probes.select("label", "cell", "id", "v", "home", F.lit(False).alias("member"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("i"), salt(F.col("pb")).alias("j"))
-    members = filed.withColumn("cell", F.col("home")).join(loads, ["label", "cell"])
-    members = members.select("label", "cell", "id", "v", "home", F.lit(True).alias("member"), salt(F.col("mb")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("pb") - 1)).alias("j"))
-    met = durable(members.unionByName(probes).groupBy("label", "cell", "i", "j").applyInPandas(_blocks(shared, cosine), "id long, n long, to long"))
+    probes = filed.select("id", "label", "dim", "v", "home", F.explode(F.concat(F.array("home"), "visits")).alias("cell")).join(loads, ["label", "dim", "cell"])
+    probes = probes.select("label", "dim", "cell", "id", "v", "home", F.lit(False).alias("member"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("i"), salt(F.col("pb")).alias("j"))
+    members = filed.withColumn("cell", F.col("home")).join(loads, ["label", "dim", "cell"])
+    members = members.select("label", "dim", "cell", "id", "v", "home", F.lit(True).alias("member"), salt(F.col("mb")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("pb") - 1)).alias("j"))
+    met = durable(members.unionByName(probes).groupBy("label", "dim", "cell", "i", "j").applyInPandas(_blocks(shared, cosine), "id long, n long, to long"))
 
     counts = met.groupBy("id").agg(F.sum("n").alias("n"))
     groups = components(met.select(F.col("id").alias("a"), F.col("to").alias("b")))
