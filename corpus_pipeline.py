@@ -1,7 +1,8 @@
 """Corpus cleaning in stages; each stage's result is written and read again as the next one's documents.
 
-Toxic documents go; of each class of near copies the least doc_id stays; contaminated documents go; live-looking secrets are masked; what is
-left is encoded. A row with a null doc_id stays throughout.
+Toxic documents go; of each class of near copies the least doc_id stays (of several texts under it the one of the least hash); contaminated documents
+go; live-looking secrets are masked; what is left is encoded. Every row is judged by its own text, also where rows share a doc_id. Rows with a null
+doc_id have no near copies; the other stages treat them like all rows. Wholly repeated rows become one in the second stage.
 """
 
 from __future__ import annotations
@@ -18,17 +19,12 @@ def drop_toxic(spark, docs, sf_dir):
 
 def drop_near_copies(spark, docs, sf_dir):
     ship(spark)
-    kept = order_minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    # of rows that repeat both doc_id and text one stays; the semi-join has dealt them by doc_id already
-    stay = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return stay.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    return order_minhash.keep_first(docs)
 
 
 def drop_contaminated(spark, docs, sf_dir):
     ship(spark)
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.where("contaminated and doc_id is not null").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark, docs, sf_dir):

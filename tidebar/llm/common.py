@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 
@@ -13,8 +12,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: What separates words: every ASCII character but digits and a-z.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_FOLD = {ord(a): b for a, b in zip(UPPER, LOWER, strict=True)}
+_WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
 #: Rows of a side that may be broadcast; a counted bound, about 16 MB of thin rows.
 BROADCAST_ROWS = 400_000
@@ -62,5 +60,10 @@ def words_column(text: Column) -> Column:
     return F.array_remove(F.split(folded, SEPARATORS), "")
 
 
+def word_bytes(text: str | None) -> list[bytes]:
+    """The same words in UTF-8: letters beyond ASCII have bytes over 127 only, so a table of bytes folds and cuts."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split()
+
+
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").translate(_FOLD))
+    return [w.decode("utf-8", "surrogatepass") for w in word_bytes(text)]

@@ -12,7 +12,7 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """node, component (the least node reachable) for every node of the edges (a, b).
 
     Each round hangs a node's neighbours on its least neighbour (large star), then its smaller ones (small star); done when the table
-    no longer changes. A star's centre is never grouped with its members: only minima are aggregated.
+    no longer changes; a table that still changes after ``limit`` rounds is an error. A star's centre is never grouped with its members: only minima are aggregated.
     """
     links = durable(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     for _ in range(limit):
@@ -28,5 +28,7 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         if new.agg(same, F.count("*")).first() == links.agg(same, F.count("*")).first():
             break
         links = new
+    else:
+        raise RuntimeError(f"components have not settled after {limit} rounds")
     labels = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return labels.unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -44,7 +44,19 @@ def _with_least(df: DataFrame, window: int) -> DataFrame:
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
-    """Per document: n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words).
+    """Per document the columns of judged(), but for the text's hash."""
+    return judged(documents, benchmark, window, share).drop("text_hash")
+
+
+def keep_clean(documents: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
+    """The rows of documents that are not contaminated, with their own columns; rows that share a doc_id are judged each by its text."""
+    bad = judged(documents, benchmark, window, share).where("contaminated").select(F.col("doc_id").alias("bad_id_"), F.col("text_hash").alias("bad_hash_")).distinct()
+    same = (F.xxhash64("text") == F.col("bad_hash_")) & F.col("doc_id").eqNullSafe(F.col("bad_id_"))
+    return documents.join(small(durable(bad)), same, "left_anti")
+
+
+def judged(documents: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
+    """Per document: doc_id, text_hash, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words).
 
     A document word is hit if it stands in an occurrence of ``window`` consecutive words of
     an item, or of a whole item that is shorter.
@@ -106,6 +118,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 13,
     n_hit = F.coalesce("hit", F.lit(0).cast("long"))
     return base.drop("values").join(small(found), same, "left").select(
         "doc_id",
+        "text_hash",
         "n_words",
         n_hit.alias("n_hit"),
         F.coalesce("items", F.lit(0).cast("long")).alias("n_items"),
