@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import as_long, as_text
+
 CHUNK, OVERLAP = 24_576, 1_024
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -59,7 +61,7 @@ def _whole(path: str | None):
             for at in range(0, len(pdf), 500):
                 part = pdf.iloc[at : at + 500]
                 ids = [packed(path, t or "") for t in part["text"]]
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "ids": ids, "decoded": [unpacked(path, x) for x in ids]}).astype({"doc_id": part["doc_id"].dtype})
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "ids": ids, "decoded": [unpacked(path, x) for x in ids]})
 
     return encode
 
@@ -92,15 +94,15 @@ def _pieces(path: str | None):
 
 def encoded_corpus(documents: DataFrame, path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit integers, one after another), decoded (the bytes that the ids stand for) for every row."""
-    docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    out = "doc_id long, ids binary, decoded binary"
+    docs = documents.select(as_text("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    out = "doc_id string, ids binary, decoded binary"
     whole = docs.where(F.length("text") <= chunk).mapInPandas(_whole(path), out)
 
     long = docs.where(F.length("text") > chunk).groupBy("doc_id", "text").agg(F.count("*").alias("times"))
     long = long.withColumn("size", F.length("text")).withColumn("key", F.sha2("text", 256))
     parts = long.select("doc_id", "key", "times", "size", "text", F.explode(F.sequence(F.lit(0), F.expr(f"int((size - 1) div {chunk})"))).alias("no"))
     parts = parts.select("doc_id", "key", "times", "no", (F.col("no") * chunk).alias("start"), F.expr(f"substring(text, no * {chunk} + 1, {chunk + overlap})").alias("part"))
-    kinds = "doc_id long, key string, times long, no int, start int, part string"
+    kinds = "doc_id string, key string, times long, no int, start int, part string"
     parts = parts.mapInPandas(_boundaries(overlap), kinds + ", left array<int>, right array<int>")
     by = Window.partitionBy("doc_id", "key").orderBy("no")
     met = F.array_min(F.array_intersect(F.lag("right").over(by), F.col("left")))
@@ -111,11 +113,11 @@ def encoded_corpus(documents: DataFrame, path: str | None = None, chunk: int = C
     until = F.when(F.col("last"), own + F.length("part")).otherwise(F.coalesce("stop", F.col("start") + chunk))
     parts = parts.withColumn("own", F.substring("part", own - F.col("start") + 1, until - own))
     pieces = parts.groupBy("doc_id", "key", "times", "piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "own"))), lambda x: x["own"]), "").alias("text"))
-    pieces = pieces.mapInPandas(_pieces(path), "doc_id long, key string, times long, piece long, ids binary, bytes binary")
+    pieces = pieces.mapInPandas(_pieces(path), "doc_id string, key string, times long, piece long, ids binary, bytes binary")
     joined = pieces.groupBy("doc_id", "key", "times").agg(F.array_sort(F.collect_list(F.struct("piece", "ids", "bytes"))).alias("p"))
     fold = lambda name: F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x[name]))
     joined = joined.select("doc_id", fold("ids").alias("ids"), fold("bytes").alias("decoded"), F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))).alias("x")).drop("x")
-    return whole.unionByName(joined)
+    return as_long(whole.unionByName(joined), "doc_id")
 
 
 def with_digests(corpus: DataFrame) -> DataFrame:

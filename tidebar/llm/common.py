@@ -23,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where the session names none."""
+    """The folder that driver and executors share; a temporary one where a local session, as in tests, names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='shared')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -38,6 +40,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def as_text(name: str):
+    """An id as a string: a null beside it would turn integers into floats in pandas, which rounds those above 2**53."""
+    return F.col(name).cast("string").alias(name)
+
+
+def as_long(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("long") for n in names})
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that df does not have, whatever extra columns it carries."""
     taken, out = {c.lower() for c in df.columns}, []

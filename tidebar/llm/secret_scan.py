@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, small, unused
+from .common import as_long, as_text, durable, small, unused
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -54,19 +54,28 @@ def candidates(text: str | None) -> list[tuple[str, int, int, str, bool]]:
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         found = [candidates(t) for t in pdf["text"]]
-        yield pd.DataFrame({"rid": pdf["rid"], "doc_id": pdf["doc_id"], "source": pdf["source"], "found": [[dict(zip(("kind", "start", "end", "hash", "base"), x, strict=True)) for x in f] for f in found]})
+        yield pd.DataFrame({"rid": pdf["rid"], "doc_id": pdf["doc_id"], "repository": pdf["repository"], "owner": pdf["owner"], "found": [[dict(zip(("kind", "start", "end", "hash", "base"), x, strict=True)) for x in f] for f in found]})
 
 
 def scan(documents: DataFrame, repository: str = "source", owner: str = "source") -> DataFrame:
     """rid, doc_id, found (base and further spans) for every row; durable."""
-    docs = documents.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.concat_ws("\x00", repository, owner).alias("source"), "text")
-    return durable(docs.mapInPandas(_scan, f"rid long, doc_id long, source string, found array<{SPAN}>"))
+    return _scanned(documents.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.col(repository).alias("repository"), F.col(owner).alias("owner"), "text"))
+
+
+def _scanned(docs: DataFrame) -> DataFrame:
+    none = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    docs = docs.select("rid", as_text("doc_id"), none("repository"), none("owner"), "text")
+    return durable(as_long(docs.mapInPandas(_scan, f"rid long, doc_id string, repository string, owner string, found array<{SPAN}>"), "doc_id"))
 
 
 def ownership(found: DataFrame, few: int = 2) -> DataFrame:
-    """hash, n_owners, live: by distinct owners first, so that a hash of many rows is counted in parts."""
-    each = found.select("source", F.explode("found").alias("s")).select(F.col("s.hash").alias("hash"), "source").distinct()
-    return each.groupBy("hash").agg(F.count("*").alias("n_owners")).withColumn("live", F.col("n_owners") <= few)
+    """hash, n_repositories, n_owners, live: by distinct pairs first, so that a hash of many rows is counted in parts.
+
+    A value is live-looking if few owners have it: its repositories may be many, as one owner can use a credential in all of theirs.
+    """
+    each = found.select("repository", "owner", F.explode("found").alias("s")).select(F.col("s.hash").alias("hash"), "repository", "owner").distinct()
+    counted = each.groupBy("hash").agg(F.count_distinct("repository").alias("n_repositories"), F.count_distinct("owner").alias("n_owners"))
+    return counted.withColumn("live", F.col("n_owners") <= few)
 
 
 def secrets(documents: DataFrame, few: int = 2, repository: str = "source", owner: str = "source") -> DataFrame:
@@ -77,7 +86,7 @@ def secrets(documents: DataFrame, few: int = 2, repository: str = "source", owne
     order = F.array_position(F.array(*map(F.lit, (*BASE, *FURTHER))), F.col("kind")).cast("int")
     by_row = spans.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", order.alias("order"), "kind", "end", "base", "live"))).alias("all_spans"))
     none = F.array().cast("array<struct<start:int,order:int,kind:string,end:int,base:boolean,live:boolean>>")
-    rows = found.drop("found", "source").join(by_row, "rid", "left").withColumn("all_spans", F.coalesce("all_spans", none))
+    rows = found.drop("found", "repository", "owner").join(by_row, "rid", "left").withColumn("all_spans", F.coalesce("all_spans", none))
     said = lambda arr: F.array_join(F.transform(arr, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     n = lambda test: F.size(F.filter("all_spans", test)).cast("long")
     return rows.select(
@@ -109,8 +118,7 @@ def redact(documents: DataFrame, few: int = 2, mark: str = "[secret]") -> DataFr
 
 def live_spans(keyed: DataFrame, few: int) -> DataFrame:
     """rid and cuts (start, end of live-looking spans) of the rows that have any."""
-    docs = keyed.select("rid", "doc_id", F.concat_ws("\x00", "source", "source").alias("source"), "text")
-    found = durable(docs.mapInPandas(_scan, f"rid long, doc_id long, source string, found array<{SPAN}>"))
+    found = _scanned(keyed.select("rid", "doc_id", F.col("source").alias("repository"), F.col("source").alias("owner"), "text"))
     spans = found.select("rid", F.explode("found").alias("s")).select("rid", "s.*").join(small(ownership(found, few).where("live")), "hash")
     return spans.groupBy("rid").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("cuts"))
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoding
+from .common import as_long, as_text
 
 LEAF = 1_000
 _BORDER = re.compile(r"\S(?=\s)")
@@ -118,7 +119,8 @@ def recount(documents: DataFrame, edits: DataFrame, path: str | None = None, siz
 
 
 def _counted(rows: DataFrame, path: str | None = None, size: int = LEAF) -> DataFrame:
-    return rows.mapInPandas(_recount(path, size), "doc_id long, tokens_before long, tokens_after long, n_leaves long, chars_before long, chars_again long")
+    rows = rows.select(as_text("doc_id"), "text", "edits")
+    return as_long(rows.mapInPandas(_recount(path, size), "doc_id string, tokens_before long, tokens_after long, n_leaves long, chars_before long, chars_again long"), "doc_id")
 
 
 def derived_edits(documents: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, unused
+from .common import as_long, as_text, durable, unused
 
 UNIT = re.compile(r"\n+|(?<=[.!?])[^\S\n]+|[^\S\n]+(?=[A-ZÀ-ÖØ-Þ])")
 WORD = re.compile(r"\S+")
@@ -91,7 +91,7 @@ def repeated_passages(documents: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def _passages(docs: DataFrame, least: int) -> DataFrame:
-    every = durable(docs.mapInPandas(_units(least), "rid long, doc_id long, no int, start int, end int, words int, digest long, line boolean"))
+    every = durable(as_long(docs.select("rid", as_text("doc_id"), "text").mapInPandas(_units(least), "rid long, doc_id string, no int, start int, end int, words int, digest long, line boolean"), "doc_id"))
     place = F.struct("doc_id", "rid", "start")
     firsts = durable(every.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"))
     heavy = F.col("n") * HOT_SHARE > every.count()

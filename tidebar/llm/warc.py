@@ -13,6 +13,7 @@ empty; other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import os
 import uuid
@@ -23,28 +24,31 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, shared_dir
+from .common import as_long, as_text, durable, shared_dir
 
 CHUNK = 1 << 20
 RECORD = "archive string, record_no long, chunk_no int, page_id long, record_type string, refers_to long, full_bytes long, full_digest string, chunk binary, last boolean"
+PAGES = ("page_id", "refers_to")
+_TEXT = RECORD.replace("page_id long", "page_id string").replace("refers_to long", "refers_to string")
 
 
-def _header(page_id, url: str, kind: str, refers, size: int, digest: str, length: int) -> bytes:
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if pd.isna(page_id) else int(page_id)}>", f"WARC-Target-URI: {' '.join((url or '').split())}", f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Payload-Length: {size}"]
+def _header(page_id: str | None, url: str, kind: str, refers: str | None, size: int, digest: str, length: int, date: str) -> bytes:
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Date: {date}", f"WARC-Record-ID: <urn:page:{page_id or ''}>", f"WARC-Target-URI: {' '.join((url or '').split())}", f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Payload-Length: {size}"]
     if kind == "revisit":
-        lines += [f"WARC-Refers-To: <urn:page:{int(refers)}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        lines += [f"WARC-Refers-To: <urn:page:{refers}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     return "\r\n".join([*lines, "Content-Type: text/html; charset=utf-8", f"Content-Length: {length}", "", ""]).encode("utf-8", "replace")
 
 
 def _writer(folder: str):
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         name, n = f"{folder}/{uuid.uuid4().hex}", 0
+        date = datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
         with open(name, "wb") as out:
             for pdf in batches:
                 for r in pdf.itertuples(index=False):
                     body = memoryview(r.payload) if r.record_type == "response" else memoryview(b"")
                     gz = zlib.compressobj(1, zlib.DEFLATED, 31)
-                    out.write(gz.compress(_header(r.page_id, r.url, r.record_type, r.refers_to, r.size, r.digest, len(body))))
+                    out.write(gz.compress(_header(r.page_id, r.url, r.record_type, r.refers_to, r.size, r.digest, len(body), date)))
                     for at in range(0, len(body), CHUNK):
                         out.write(gz.compress(body[at : at + CHUNK]))
                     out.write(gz.compress(b"\r\n\r\n") + gz.flush())
@@ -82,14 +86,14 @@ def records(path: str) -> Iterator[tuple]:
         head, _, rest = bytes(buffer).partition(b"\r\n\r\n")
         fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:] if ": " in line)
         buffer, left, chunk = bytearray(rest), int(fields["Content-Length"]), 0
-        number = lambda k: int(x) if (x := fields.get(k, "").removeprefix("<urn:page:").rstrip(">")) else None
+        page = lambda k: fields.get(k, "").removeprefix("<urn:page:").rstrip(">") or None
         while True:
             while not buffer and left:
                 buffer += next(source)
             part = bytes(buffer[: min(left, CHUNK)])
             del buffer[: len(part)]
             left -= len(part)
-            yield (path, no, chunk, number("WARC-Record-ID"), fields["WARC-Type"], number("WARC-Refers-To"), int(fields["WARC-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha256:"), part, not left)
+            yield (path, no, chunk, page("WARC-Record-ID"), fields["WARC-Type"], page("WARC-Refers-To"), int(fields["WARC-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha256:"), part, not left)
             chunk += 1
             if not left:
                 break
@@ -131,7 +135,8 @@ def _folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def payloads(rows: DataFrame) -> DataFrame:
     """Each record of a chunked record table, as read_archives gives it, with the size and digest of its chunks put together."""
-    return rows.mapInPandas(_folded, RECORD.removesuffix(", chunk binary, last boolean") + ", n_bytes long, digest string")
+    rows = rows.withColumns({n: F.col(n).cast("string") for n in PAGES})
+    return as_long(rows.mapInPandas(_folded, _TEXT.removesuffix(", chunk binary, last boolean") + ", n_bytes long, digest string"), *PAGES)
 
 
 def roles(pages: DataFrame, least: int = 100) -> DataFrame:
@@ -147,18 +152,21 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100) -> DataFrame
     rows = pages.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload"))
     rows = rows.join(roles(pages, least), (F.col("page_id") == F.col("id")) & (F.col("digest") == F.col("same")), "left")
     kind = F.when(F.col("refers_to").isNull(), "response").otherwise("revisit").alias("record_type")
-    rows = rows.select("page_id", "url", kind, "refers_to", "size", "digest", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"))
+    rows = rows.select(as_text("page_id"), "url", kind, as_text("refers_to"), "size", "digest", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"))
     return durable(rows.mapInPandas(_writer(folder), "archive string, records long"))
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
     """The chunked record table; each archive is its own unit of work."""
     n = max(1, archives.count())
-    return archives.select("archive").repartition(n, "archive").mapInPandas(_reader, RECORD)
+    return archives.select("archive").repartition(n, "archive").mapInPandas(_reader, _TEXT).transform(as_long, *PAGES)
 
 
 def archive_folder(spark: SparkSession) -> str:
-    folder = f"{shared_dir(spark).removeprefix('file://')}/warc-{uuid.uuid4().hex}"
+    shared = shared_dir(spark).removeprefix("file://")
+    if "://" in shared:
+        raise ValueError(f"archives are opened by path; {shared} is none: give a folder that is mounted on driver and executors")
+    folder = f"{shared}/warc-{uuid.uuid4().hex}"
     os.makedirs(folder)
     return folder
 
