@@ -42,7 +42,7 @@ _SEEN: dict[bytes, int] = {}
 
 
 def word_ids(text: str | None) -> np.ndarray:
-    if len(_SEEN) > 300_000:  # bounds a worker's memory, not the result
+    if len(_SEEN) > 200_000:  # bounds a worker's memory, not the result
         _SEEN.clear()
     out = []
     for w in word_bytes(text):

@@ -105,22 +105,24 @@ def _is(kind: str):
     return lambda s: s["kind"] == kind
 
 
+def _found(texts: pd.Series) -> pd.Series:
+    return pd.Series([[dict(zip(("kind", "start", "end", "hash", "base"), x, strict=True)) for x in candidates(t)] for t in texts], dtype=object)
+
+
 def redact(documents: DataFrame, few: int = 2, mark: str = "[secret]") -> DataFrame:
-    """documents with every live-looking span of its text replaced; n_chars follows the text."""
-    rid, cuts = unused(documents, "rid", "cuts")
-    keyed = durable(documents.withColumn(rid, F.monotonically_increasing_id()))
-    spans = live_spans(keyed.select(F.col(rid).alias("rid"), "doc_id", "source", "text"), few).toDF(rid, cuts)
-    masked = keyed.join(spans, rid, "left").withColumn("text", F.coalesce(_masked(mark)("text", cuts), F.col("text")))
+    """documents with every live-looking span of its text replaced; n_chars follows the text. Only rows with a candidate are joined."""
+    rid, found, cuts = unused(documents, "rid", "found", "cuts")
+    keyed = durable(documents.withColumn(rid, F.monotonically_increasing_id()).withColumn(found, F.pandas_udf(_found, f"array<{SPAN}>")("text")))
+    some, rest = keyed.where(F.size(found) > 0), keyed.where(F.size(found) == 0)
+    source = F.coalesce(F.col("source").cast("string"), F.lit(""))
+    own = some.select(F.col(rid).alias("rid"), source.alias("repository"), source.alias("owner"), F.col(found).alias("found"))
+    live = small(durable(ownership(own, few).where("live").select("hash")))
+    spans = own.select("rid", F.explode("found").alias("s")).select("rid", "s.*").join(live, "hash")
+    spans = spans.groupBy("rid").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("cuts")).toDF(rid, cuts)
+    masked = some.join(spans, rid, "left").withColumn("text", F.coalesce(_masked(mark)("text", cuts), F.col("text")))
     if "n_chars" in documents.columns:
         masked = masked.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
-    return masked.select(*documents.columns)
-
-
-def live_spans(keyed: DataFrame, few: int) -> DataFrame:
-    """rid and cuts (start, end of live-looking spans) of the rows that have any."""
-    found = _scanned(keyed.select("rid", "doc_id", F.col("source").alias("repository"), F.col("source").alias("owner"), "text"))
-    spans = found.select("rid", F.explode("found").alias("s")).select("rid", "s.*").join(small(ownership(found, few).where("live")), "hash")
-    return spans.groupBy("rid").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("cuts"))
+    return masked.select(*documents.columns).unionByName(rest.select(*documents.columns))
 
 
 def _masked(mark: str):

@@ -84,14 +84,15 @@ def fit(rows: list[tuple[int, bytes]], prior: float, **options) -> tuple[dict[in
     if not y.any() or y.all():
         return {}, -30.0 if not y.any() else 0.0
     prior = float(np.clip(prior, 1e-6, 1 - 1e-6))
-    column = np.frombuffer(b"".join(w for _, w in rows), np.uint32)
-    names, counts = np.unique(column, return_counts=True)
+    raw = np.frombuffer(b"".join(w for _, w in rows), np.uint32)
+    names, counts = np.unique(raw, return_counts=True)
     names = names[counts >= least_count(2 * len(y) // 3)]
-    column, row = np.searchsorted(names, column).astype(np.int32), np.repeat(np.arange(len(y), dtype=np.int32), [len(w) // 4 for _, w in rows])
+    column, row = np.searchsorted(names, raw).astype(np.int32), np.repeat(np.arange(len(y), dtype=np.int32), [len(w) // 4 for _, w in rows])
     # what stands past its place is not among the names
-    known = np.concatenate([names, [0]])[column] == np.frombuffer(b"".join(w for _, w in rows), np.uint32)
+    known = np.concatenate([names, [0]])[column] == raw
     known &= column < len(names)
     column, row = column[known], row[known]
+    del raw, known
     # by the words, so that a text that is both confirmed and drawn is in one fold
     folds = np.array([zlib.crc32(w) % 3 for _, w in rows])
     if y.sum() < 10 or any(not y[folds != k].any() or y[folds != k].all() for k in range(3)):
@@ -168,7 +169,7 @@ def _scorer(shared):
             z = np.empty(len(pdf))
             for k, text in enumerate(pdf["text"]):
                 own = marks(text)
-                if len(known) > 500_000:  # bounds a worker's memory, not the result
+                if len(known) > 200_000:  # bounds a worker's memory, not the result
                     known.clear()
                 known |= {w: weights.get(_hash(w), 0.0) for w in own if w not in known}
                 # an exact sum, so that equal texts get equal scores
