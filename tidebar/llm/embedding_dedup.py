@@ -5,14 +5,16 @@ is filed under its cell. A vector visits cells in the order of the least distanc
 (by the planes between centres, both halves together) until the target recall: the bound
 is taken from a bounded sample, moved at random to just the threshold's cosine, so that ``recall`` of such
 partners are met. A pair is met if either side visits the other's cell, and every met pair is
-verified by its cosine in double precision. Vectors of each length have their own codebooks and bound, and meet
+verified by its cosine in double precision. Equal vectors of a label are one entry that counts as often as it stands. Vectors of each length have their own codebooks and bound, and meet
 their own length alone; lengths of at most ``SINGLE`` vectors have one cell, where all pairs meet.
 
 Large cells are dealt out as pairs of blocks; a block pair returns counts and the links of a
 spanning forest, never its pairs.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows without a label, link with
-nothing; rows that repeat a vec_id count as one vector; other columns are ignored; an empty table gives an empty result.
+nothing; vectors are scaled by their largest component first, so very large and very small ones link too; rows that repeat a vec_id count as one
+vector, of different ones the least (label, vector) that can link; labels of any type are compared as they are; other columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,12 +24,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, small
 from .components import components
 
 COSINE, SAMPLE, RECALL, BLOCK, SINGLE = 0.93, 4_000, 0.995, 256, 512
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1)[:, None]
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
 def _centres(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     c = x[np.linspace(0, len(x) - 1, min(k, len(x))).astype(int)].copy()
     for _ in range(rounds):
@@ -80,12 +87,15 @@ class Index:
         return i * len(self.books[1]) + j
 
     def visits(self, b1: np.ndarray, b2: np.ndarray) -> np.ndarray:
-        """One vector's cells, nearest first, up to the limit."""
-        i, j = np.flatnonzero(b1**2 <= self.limit), np.flatnonzero(b2**2 <= self.limit)
-        total = b1[i, None] ** 2 + b2[None, j] ** 2
-        order = np.argsort(total, axis=None, kind="stable")
-        order = order[: int((total <= self.limit).sum())]
-        return self.cell(i[order // len(j)], j[order % len(j)]) if len(j) else order
+        """One vector's cells, nearest first, up to the limit: both sequences in order, and for each step along the first
+        the stretch of the second that the limit leaves, so that no other cell of the grid is looked at."""
+        i, j = np.argsort(b1, kind="stable"), np.argsort(b2, kind="stable")
+        s, t = b1[i] ** 2, b2[j] ** 2
+        upto = np.searchsorted(t, self.limit - s, side="right")
+        step = np.repeat(np.arange(len(s)), upto)
+        other = np.arange(len(step)) - np.repeat(np.cumsum(upto) - upto, upto)
+        order = np.argsort(s[step] + t[other], kind="stable")
+        return self.cell(i[step[order]], j[other[order]])
 
 
 def _of(indexes: dict[int, Index], dim: int) -> Index:
@@ -100,15 +110,14 @@ def _filed(shared):
         for batch in batches:
             for dim, pdf in batch.groupby("dim"):
                 index = _of(shared.value, dim)
-                x = np.stack(pdf["v"].to_list()).astype(np.float64)
-                x /= np.linalg.norm(x, axis=1)[:, None]
+                x = unit(np.stack(pdf["v"].to_list()).astype(np.float64))
                 h = index.home(x)
                 home, (b1, b2) = index.cell(*h), index.bounds(x)
                 rows = []
-                for k, (d, label) in enumerate(zip(pdf["id"], pdf["label"], strict=True)):
+                for k, (d, label, times) in enumerate(zip(pdf["id"], pdf["label"], pdf["times"], strict=True)):
                     seen = index.visits(b1[k], b2[k])
-                    rows.append((d, label, dim, x[k].tobytes(), int(home[k]), [int(c) for c in seen if c != home[k]]))
-                yield pd.DataFrame(rows, columns=["id", "label", "dim", "v", "home", "visits"])
+                    rows.append((d, label, times, dim, x[k].tobytes(), int(home[k]), [int(c) for c in seen if c != home[k]]))
+                yield pd.DataFrame(rows, columns=["id", "label", "times", "dim", "v", "home", "visits"])
 
     return run
 
@@ -121,15 +130,15 @@ def _blocks(shared, cosine: float):
             return pd.DataFrame({"id": [], "n": [], "to": []})
         y, x = (np.frombuffer(b"".join(q["v"]), np.float64).reshape(len(q), -1) for q in (m, p))
         yi, xi = m["id"].to_numpy(), p["id"].to_numpy()
-        near = (x @ y.T >= cosine - 1e-15) & (xi[:, None] != yi[None, :])
+        near = (x @ y.T >= cosine) & (xi[:, None] != yi[None, :])
         if not near.any():
             return pd.DataFrame({"id": [], "n": [], "to": []})
         # members probe each other from both sides; a visitor's pair counts for the member too unless the member visits the visitor's cell
         home = p["home"].to_numpy()
         b1, b2 = index.bounds(y)
         back = (b1[:, home // len(index.books[1])] ** 2 + b2[:, home % len(index.books[1])] ** 2).T <= index.limit
-        n_x = near.sum(1)
-        n_y = (near & ~back & (home != cell)[:, None]).sum(0)
+        n_x = near @ m["times"].to_numpy()
+        n_y = p["times"].to_numpy() @ (near & ~back & (home != cell)[:, None])
         ids, at = np.unique(np.concatenate([xi, yi]), return_inverse=True)
         ax, ay = at[: len(xi)], at[len(xi) :]
         root, big = np.arange(len(ids)), len(ids)
@@ -153,37 +162,47 @@ def _blocks(shared, cosine: float):
 def embedding_links(embeddings: DataFrame, cosine: float = COSINE, recall: float = RECALL, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept for every vector."""
     spark = embeddings.sparkSession
-    rows = embeddings.select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("v")).dropDuplicates(["id"])
+    rows = embeddings.select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
     fine = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     valid = rows.where(F.col("label").isNotNull() & F.col("id").isNotNull() & F.coalesce(fine, F.lit(False)))
-    valid = valid.withColumn("dim", F.size("v"))
+    all_ids = rows.select(F.col("id").alias("vec_id")).distinct()
+    twice = durable(valid.groupBy("id").count().where("count > 1").select("id"))
+    if not twice.isEmpty():
+        one = valid.join(small(twice), "id", "left_semi").groupBy("id").agg(F.min(F.struct("label", "v")).alias("x")).select("id", "x.*")
+        valid = valid.join(small(twice), "id", "left_anti").unionByName(one)
+    # equal vectors by 128 bits of hash, length and label
+    keyed = valid.select("id", "label", F.size("v").alias("dim"), F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(7), "v", F.lit(11)).alias("k2"), "v")
+    equal = ["label", "dim", "k1", "k2"]
+    valid = durable(keyed.groupBy(*equal).agg(F.min("id").alias("id"), F.count("*").alias("times"), F.first("v").alias("v")))
+    members = keyed.select("id", *equal).join(valid.select(F.col("id").alias("rep"), "times", *equal), equal).select("id", "rep", "times")
     sizes = {r["dim"]: r["count"] for r in valid.groupBy("dim").count().collect()}
-    all_ids = rows.select(F.col("id").alias("vec_id"))
     if not sizes:
         return all_ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     indexes = {}
     for dim, n in sorted(sizes.items()):
         if n > SINGLE:
-            drawn = valid.where(F.col("dim") == dim).orderBy(F.xxhash64("id"), "id").select("v").limit(sample).collect()
-            x = np.array([r["v"] for r in drawn])
-            x /= np.linalg.norm(x, axis=1)[:, None]
-            indexes[dim] = Index(x, cells=min(16_384, max(4, n // 512)), cosine=cosine, recall=recall)
+            # the grid grows with the vectors, its sides and their sample by the square root
+            cells = max(4, n // 512)
+            drawn = valid.where(F.col("dim") == dim).orderBy(F.xxhash64("id"), "id").select("v").limit(max(sample, 8 * int(cells**0.5))).collect()
+            indexes[dim] = Index(unit(np.array([r["v"] for r in drawn])), cells=cells, cosine=cosine, recall=recall)
     shared = spark.sparkContext.broadcast(indexes)
-    filed = durable(valid.mapInPandas(_filed(shared), "id long, label long, dim int, v binary, home int, visits array<int>"))
+    filed = durable(valid.mapInPandas(_filed(shared), "id long, label string, times long, dim int, v binary, home int, visits array<int>"))
 
     homes = filed.groupBy("label", "dim", F.col("home").alias("cell")).agg(F.count("*").alias("nm"))
     seen = filed.select("label", "dim", F.explode(F.concat(F.array("home"), "visits")).alias("cell"), "id", "home")
     loads = durable(seen.groupBy("label", "dim", "cell").agg(F.count("*").alias("np")).join(homes, ["label", "dim", "cell"]))
     loads = loads.select("label", "dim", "cell", F.ceil(F.col("nm") / block).cast("int").alias("mb"), F.ceil(F.col("np") / block).cast("int").alias("pb"))
     salt = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    probes = filed.select("id", "label", "dim", "v", "home", F.explode(F.concat(F.array("home"), "visits")).alias("cell")).join(loads, ["label", "dim", "cell"])
-    probes = probes.select("label", "dim", "cell", "id", "v", "home", F.lit(False).alias("member"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("i"), salt(F.col("pb")).alias("j"))
-    members = filed.withColumn("cell", F.col("home")).join(loads, ["label", "dim", "cell"])
-    members = members.select("label", "dim", "cell", "id", "v", "home", F.lit(True).alias("member"), salt(F.col("mb")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("pb") - 1)).alias("j"))
-    met = durable(members.unionByName(probes).groupBy("label", "dim", "cell", "i", "j").applyInPandas(_blocks(shared, cosine), "id long, n long, to long"))
-
-    counts = met.groupBy("id").agg(F.sum("n").alias("n"))
-    groups = components(met.select(F.col("id").alias("a"), F.col("to").alias("b")))
-    out = all_ids.join(counts, F.col("vec_id") == F.col("id"), "left").join(groups, F.col("vec_id") == F.col("node"), "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    probes = filed.select("id", "label", "times", "dim", "v", "home", F.explode(F.concat(F.array("home"), "visits")).alias("cell")).join(loads, ["label", "dim", "cell"])
+    probes = probes.select("label", "dim", "cell", "id", "times", "v", "home", F.lit(False).alias("member"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("i"), salt(F.col("pb")).alias("j"))
+    filers = filed.withColumn("cell", F.col("home")).join(loads, ["label", "dim", "cell"])
+    filers = filers.select("label", "dim", "cell", "id", "times", "v", "home", F.lit(True).alias("member"), salt(F.col("mb")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("pb") - 1)).alias("j"))
+    met = durable(filers.unionByName(probes).groupBy("label", "dim", "cell", "i", "j").applyInPandas(_blocks(shared, cosine), "id long, n long, to long"))
+
+    counts = met.groupBy("id").agg(F.sum("n").alias("n")).withColumnRenamed("id", "rep")
+    groups = components(met.select(F.col("id").alias("a"), F.col("to").alias("b"))).withColumnRenamed("node", "rep")
+    linked = members.join(counts, "rep", "left").join(groups, "rep", "left")
+    linked = linked.select("id", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    out = all_ids.join(linked, F.col("vec_id") == F.col("id"), "left")
+    component = F.coalesce("component_id", "vec_id")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
