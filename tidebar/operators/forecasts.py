@@ -62,7 +62,7 @@ def gated(bars: DataFrame, minutes: int, parent: int) -> DataFrame:
     df = asof_attach(drifts(bars).withColumn("known", F.col("t") + 60 * minutes), parents, "known", "parent_known", ["regime"])
     df = df.drop("known").withColumn("regime", F.coalesce("regime", F.lit("neutral")))
     d = F.col("drift")
-    return df.withColumn("step", F.when(F.col("regime") == "bearish", F.least(d, F.lit(0.0))).when(F.col("regime") == "bullish", F.greatest(d, F.lit(0.0))).otherwise(d))
+    return df.withColumn("step", F.when(d.isNull(), None).when(F.col("regime") == "bearish", F.least(d, F.lit(0.0))).when(F.col("regime") == "bullish", F.greatest(d, F.lit(0.0))).otherwise(d))
 
 
 def walk_forward_gated(bars: DataFrame, minutes: int, parent: int, first: int = 199, step: int = 20) -> DataFrame:

@@ -6,6 +6,8 @@ bars that closed by then, but for outcomes and labels. All windows are partition
 
 from __future__ import annotations
 
+import re
+
 from . import pattern_plans
 
 _RET = "select *, case when lag(c) over s > 0 and c > 0 then ln(c / lag(c) over s) end as r, row_number() over s as n from {bars} window s as (partition by symbol order by t)"
@@ -16,11 +18,10 @@ _PIVOT = """select symbol, t, h, l, lead(t, 3) over s as known_t, count(*) over
 _PIVOTS = f"""select symbol, t, known_t, h as price, 'high' as kind from ({_PIVOT}) p where n = 7 and h > hb and h > ha
     union all select symbol, t, known_t, l as price, 'low' as kind from ({_PIVOT}) p where n = 7 and l < lb and l < la"""
 _DRIFT = f"select symbol, t, n, c, case when n >= 21 then avg(r) over (partition by symbol order by t rows between 18 preceding and current row) end as d from ({_RET}) q"
-_FUTURE = f"select f.*, k.k, case when c > 0 and fc > 0 then ln(fc / c) end as y from (select q.symbol, q.t, q.n, q.c, q.d, x.c as fc, x.n - q.n as h from ({_DRIFT}) q join ({_DRIFT}) x on x.symbol = q.symbol and x.n > q.n and x.n <= q.n + 10) f join (select 1 as k) k on true"
+_FUTURE = f"select a.symbol, a.t, a.n, a.c, a.d, x.c as fc, a.h, case when a.c > 0 and x.c > 0 then ln(x.c / a.c) end as y from (select *, explode_(1, 10) as h from ({_DRIFT}) q) a join ({_DRIFT}) x on x.symbol = a.symbol and x.n = a.n + a.h"
 _SCORED = f"select symbol, t, h, y, coalesce(d, 0) * h as p, case when n % 10 = 0 and n >= 80 then 1 else 0 end as origin from ({_FUTURE}) z where y is not null"
 _PROB = f"select symbol, h, case when y >= 0 then 1 else 0 end as y, 1 / (1 + exp(-greatest(-20, least(20, p)))) as p from ({_SCORED}) z where origin = 1"
 _GRID = "select symbol, t, c, n from (select *, row_number() over (partition by symbol order by t) as n from {bars}) g"
-_PAIR = "select a.symbol as sym, a.t as t, a.c as ac, b.c as bc from {bars} a join {bars} b on a.t = b.t where a.symbol = 'click' and b.symbol <> 'click'"
 _PAIRS = "select a.symbol as sym, b.symbol as other, a.t as t, a.c as ac, b.c as bc from {bars} a join {bars} b on a.t = b.t where a.symbol = 'click' and b.symbol <> 'click'"
 _PRET = f"select *, case when ac > 0 and lag(ac) over s > 0 then ln(ac / lag(ac) over s) end as ar, case when bc > 0 and lag(bc) over s > 0 then ln(bc / lag(bc) over s) end as br from ({_PAIRS}) q window s as (partition by other order by t)"
 
@@ -45,24 +46,13 @@ PLANS = {
     "x3_vol_regime": f"select symbol, t, case when pv is null or pv = 0 or sv is null then 'unknown' when sv > 1.5 * pv then 'expanding' when sv < 0.75 * pv then 'contracting' else 'normal' end as vol_regime from (select symbol, t, sv, lag(sv, 24) over (partition by symbol order by t) as pv from (select symbol, t, case when count(r) over w = 24 then stddev_pop(r) over w end as sv from ({_RET}) q window w as (partition by symbol order by t rows between 23 preceding and current row)) a) b",
     "m1_drift": f"select symbol, t, round(d, 8) as drift from ({_DRIFT}) q",
     "m2_baseline_forecast": f"select symbol, t, h, round(d * h, 8) as expected from ({_DRIFT}) q cross join (select explode_(1, 10) as h) k where d is not null",
-    "m3_walk_forward_mae": f"select symbol, h, count(*) as n, round(avg(abs(y)), 8) as zero_mae, round(avg(abs(y - p)), 8) as drift_mae, round(sqrt(avg((y - p) * (y - p))), 8) as drift_rmse from ({_SCORED}) q where origin = 1 group by symbol, h",
-    "m10_signed_probability": f"select symbol, h, case when p > 0 then 'up' when p < 0 then 'down' else 'flat' end as side, count(*) as n, case when count(*) >= 8 then round(avg(case when y > 0 then 1.0e0 else 0.0e0 end), 8) end as p_up from ({_SCORED}) q group by symbol, h, case when p > 0 then 'up' when p < 0 then 'down' else 'flat' end",
-    "m11_prior_origins": f"select b.symbol, b.t, b.h, count(*) as prior, round(avg(case when a.y >= 0 then 1.0e0 else 0.0e0 end), 8) as base_rate from ({_SCORED}) a join ({_SCORED}) b on a.symbol = b.symbol and a.h = b.h and a.t + a.h * 14400 <= b.t where a.origin = 1 and b.origin = 1 group by b.symbol, b.t, b.h",
     "e2_brier": f"select symbol, h, round(avg((p - y) * (p - y)), 8) as brier from ({_PROB}) q group by symbol, h",
-    "e3_pinball": f"select symbol, h, round(avg(greatest(0.1 * (y - p), -0.9 * (y - p))), 8) as pinball10, round(avg(greatest(0.9 * (y - p), -0.1 * (y - p))), 8) as pinball90 from ({_SCORED}) q where origin = 1 group by symbol, h",
-    "e4_coverage": f"select symbol, h, round(avg(case when y between p - 0.5 and p + 0.5 then 1.0e0 else 0.0e0 end), 8) as coverage from ({_SCORED}) q where origin = 1 group by symbol, h",
     "e5_direction": f"select symbol, h, round(avg(case when (y >= 0) = (p >= 0) then 1.0e0 else 0.0e0 end), 8) as accuracy, count(case when p <> 0 then 1 end) as signed_n, round(avg(case when p <> 0 then case when sign(y) = sign(p) then 1.0e0 else 0.0e0 end end), 8) as signed_accuracy from ({_SCORED}) q where origin = 1 group by symbol, h",
     "e7_calibration_error": f"select symbol, round(sum(k * abs(mp - my)) / sum(k), 8) as ece from (select symbol, least(9, floor(p * 10)) as b, count(*) as k, avg(p) as mp, avg(y * 1.0e0) as my from ({_PROB}) q group by symbol, least(9, floor(p * 10))) z group by symbol",
     "e8_reliability": f"select symbol, cast(least(9, floor(p * 10)) as int) as bin, count(*) as n, round(avg(p), 8) as mean_predicted, round(avg(y * 1.0e0), 8) as mean_actual from ({_PROB}) q group by symbol, cast(least(9, floor(p * 10)) as int)",
-    "m15_walk_windows": "select symbol, k as fold, 80 + 20 * k as train_end, 80 + 20 * k as test_start, least(100 + 20 * k, n) as test_end from (select symbol, count(*) as n from {bars} group by symbol) q cross join (select explode_(0, 9) as k) z where 80 + 20 * k < n",
     "p1_window_pivots": f"select symbol, t, known_t, known_t + 14400 as known_close, round(price, 6) as price, kind from ({_PIVOTS}) q",
-    "p5_zone_ids": f"select symbol, t, kind, substring(sha2_(concat(cast(cast(floor(price * 100) as bigint) as string_), ':', kind)), 1, 12) as zone_id from ({_PIVOTS}) q",
     "p6_swing_state": f"select symbol, case when hn < 2 or ln_ < 2 then 'insufficient' when h1 > h2 and l1 > l2 then 'HH_HL' when h1 <= h2 and l1 <= l2 then 'LH_LL' else 'mixed' end as swing from (select symbol, max(case when kind = 'high' and k = 1 then price end) as h1, max(case when kind = 'high' and k = 2 then price end) as h2, max(case when kind = 'low' and k = 1 then price end) as l1, max(case when kind = 'low' and k = 2 then price end) as l2, sum(case when kind = 'high' then 1 else 0 end) as hn, sum(case when kind = 'low' then 1 else 0 end) as ln_ from (select *, row_number() over (partition by symbol, kind order by t desc) as k from ({_PIVOTS}) q) z group by symbol) y",
-    "p10_plateaus": "select symbol, g as first_t, count(*) as bars, round(min(x), 2) as level from (select symbol, t, x, max(case when f = 1 then t end) over (partition by symbol order by t) as g from (select symbol, t, x, case when x = lag(x) over (partition by symbol order by t) then 0 else 1 end as f from (select symbol, t, floor(h / 50) as x from {bars}) a) b) c group by symbol, g having count(*) >= 3",
     "p7_zone_range": f"select symbol, t, kind, round(price - greatest(0.001 * abs(price), 0.00000001) / 2, 6) as lower_, round(price + greatest(0.001 * abs(price), 0.00000001) / 2, 6) as upper_ from ({_PIVOTS}) q",
-    "b2_b3_swing_anchors": f"select symbol, t, kind, round(price, 6) as end_price, round(pp, 6) as start_price from (select *, lag(price) over (partition by symbol order by t, kind) as pp, lag(kind) over (partition by symbol order by t, kind) as pk from ({_PIVOTS}) q) z where pk <> kind and pp <> price",
-    "b5_fib_levels": f"select symbol, t, r as ratio, round(price + (pp - price) * r, 6) as retracement, round(pp + (price - pp) * (1 + r), 6) as extension from (select *, lag(price) over (partition by symbol order by t, kind) as pp, lag(kind) over (partition by symbol order by t, kind) as pk from ({_PIVOTS}) q) z cross join (select 0.236e0 as r union all select 0.382e0 union all select 0.5e0 union all select 0.618e0 union all select 0.786e0) k where pk <> kind and pp <> price",
-    "b4_measured_moves": f"select symbol, t, round(price + (b - a) * 1.0e0, 6) as target from (select symbol, t, kind, price, lag(price, 2) over s as a, lag(price) over s as b, lag(kind, 2) over s as ka, lag(kind) over s as kb from ({_PIVOTS}) q window s as (partition by symbol order by t, kind)) z where ka = kind and kb <> kind and price > least(a, b) and price < greatest(a, b)",
     "r7_analogs": f"select symbol, t, round(dist, 8) as dist from (select *, row_number() over (partition by symbol order by dist, t) as k from (select a.symbol, a.t, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) as dist from (select symbol, t, n, sum(r) over (partition by symbol order by t rows between 11 preceding and current row) as x, sum(r) over (partition by symbol order by t rows between 23 preceding and current row) as y, sqrt(avg(r * r) over (partition by symbol order by t rows between 23 preceding and current row)) as z, max(n) over (partition by symbol) as last_n from ({_RET}) q) a join (select * from (select symbol, n, sum(r) over (partition by symbol order by t rows between 11 preceding and current row) as x, sum(r) over (partition by symbol order by t rows between 23 preceding and current row) as y, sqrt(avg(r * r) over (partition by symbol order by t rows between 23 preceding and current row)) as z, max(n) over (partition by symbol) as m from ({_RET}) q) l where n = m) b on a.symbol = b.symbol where a.n >= 81 and (a.n - 81) % 8 = 0 and a.n <= a.last_n - 10) d) e where k <= 5",
     "h4_compression": "select symbol, t, case when n >= 16 and (h8 - l8) < 0.6 * (ph - pl) then 1 else 0 end as compressed from (select symbol, t, row_number() over (partition by symbol order by t) as n, max(h) over w as h8, min(l) over w as l8, max(h) over p as ph, min(l) over p as pl from {bars} window w as (partition by symbol order by t rows between 7 preceding and current row), p as (partition by symbol order by t rows between 15 preceding and 8 preceding)) q",
     "h7_accumulation": "select symbol, t, n12, upper_half, round(upv - downv, 6) as volume_balance from (select symbol, t, count(*) over w as n12, sum(case when c >= (h + l) / 2 then 1 else 0 end) over w as upper_half, sum(case when c >= o then v else 0 end) over w as upv, sum(case when c < o then v else 0 end) over w as downv from {bars} window w as (partition by symbol order by t rows between 11 preceding and current row)) q",
@@ -70,7 +60,6 @@ PLANS = {
     "t1_rule_firing": "select symbol, min(case when c > lvl then t end) as close_above, min(case when c < lvl then t end) as close_below, min(case when h > lvl then t end) as high_above, min(case when l < lvl then t end) as low_below from (select *, avg(c) over (partition by symbol order by t rows between 20 preceding and 1 preceding) as lvl from {bars}) q where lvl is not null group by symbol",
     "r5_regime_vote": "select symbol, t, case when bull >= bear + 2 then 'bullish' when bear >= bull + 2 then 'bearish' else 'neutral' end as regime from (select symbol, t, case when c > m5 and m5 > m20 then 2 else 0 end + case when m5 > m20 and m20 > m60 then 1 else 0 end as bull, case when c < m5 and m5 < m20 then 2 else 0 end + case when m5 < m20 and m20 < m60 then 1 else 0 end as bear from (select symbol, t, c, avg(c) over (partition by symbol order by t rows between 4 preceding and current row) as m5, avg(c) over (partition by symbol order by t rows between 19 preceding and current row) as m20, avg(c) over (partition by symbol order by t rows between 59 preceding and current row) as m60 from {bars}) q) z",
     "t8_transitions": "select symbol, t, coalesce(old, 'unknown') as old_regime, new as new_regime from (select symbol, t, new, lag(new) over (partition by symbol order by t) as old, row_number() over (partition by symbol order by t) as n from (select symbol, t, case when c > m then 'above' else 'below' end as new from (select symbol, t, c, avg(c) over (partition by symbol order by t rows between 19 preceding and current row) as m from {bars}) a) b) z where n > 1 and old <> new",
-    "m5_parent_gate": "select symbol, t, case when p2 < p1 and p1 < p0 then 'bull' when p2 > p1 and p1 > p0 then 'bear' else 'flat' end as gate from (select symbol, t, c as p0, lag(c) over s as p1, lag(c, 2) over s as p2 from {bars} window s as (partition by symbol order by t)) q where p2 is not null",
     "j4_outcomes": f"select symbol, t, h, round(y, 8) as realized, case when y > 0 then 1 else 0 end as above from ({_SCORED}) q",
     "j8_unjournaled_origins": f"select a.symbol, a.t from (select symbol, t, n from ({_GRID}) g where n >= 21) a left join (select symbol, t from ({_GRID}) g where n % 3 = 0) j on a.symbol = j.symbol and a.t = j.t where j.t is null",
     "q2_latest_forecast": f"select symbol, t, round(d, 8) as drift from (select *, row_number() over (partition by symbol order by t desc) as k from ({_DRIFT}) q where t + 14400 <= 1705276800) z where k = 1",
@@ -79,12 +68,11 @@ PLANS = {
     "h1_continuation": f"select symbol, h1, h2, l1, l2, case when h1 > h2 and l1 > l2 then 'bull_continuation' when h1 < h2 and l1 < l2 then 'bear_continuation' else 'none' end as pattern from (select symbol, round(max(case when kind = 'high' and k = 1 then price end), 6) as h1, round(max(case when kind = 'high' and k = 2 then price end), 6) as h2, round(max(case when kind = 'low' and k = 1 then price end), 6) as l1, round(max(case when kind = 'low' and k = 2 then price end), 6) as l2 from (select *, row_number() over (partition by symbol, kind order by t desc) as k from ({_PIVOTS}) q) z group by symbol) y",
     "h2_flag_impulse": f"select symbol, t as impulse_t, round(move, 6) as impulse from (select *, row_number() over (partition by symbol order by abs(move) desc, t) as k from (select symbol, t, price - lag(price) over (partition by symbol order by t, kind) as move from ({_PIVOTS}) q) z where move is not null) y where k = 1",
     "h8_alternating_six": f"select symbol, count(*) as pivots, sum(case when kind <> pk or pk is null then 1 else 0 end) as alternating from (select symbol, kind, lag(kind) over (partition by symbol order by t, kind) as pk, row_number() over (partition by symbol order by t desc, kind desc) as k from ({_PIVOTS}) q) z where k <= 6 group by symbol",
-    "h6_level_resolution": "select symbol, t, case when nxt is null then 'open' when nxt > lvl then 'accepted' else 'failed_breakout' end as resolution from (select symbol, t, c, lvl, lag(c) over (partition by symbol order by t) as prev, lead(c) over (partition by symbol order by t) as nxt from (select symbol, t, c, avg(c) over (partition by symbol) as lvl from {bars}) a) b where prev <= lvl and c > lvl",
+    "h6_level_resolution": "select symbol, t, case when nxt is null then 'open' when nxt > lvl then 'accepted' else 'failed_breakout' end as resolution from (select symbol, t, c, lvl, lag(c) over (partition by symbol order by t) as prev, lead(c) over (partition by symbol order by t) as nxt from (select symbol, t, c, avg(c) over (partition by symbol order by t rows between unbounded preceding and 1 preceding) as lvl from {bars}) a) b where prev <= lvl and c > lvl",
     "j5_matured_scores": f"select symbol, h, count(*) as n, case when count(*) >= 8 then round(avg(abs(y - p)), 8) end as mae, case when count(*) >= 8 then round(sqrt(avg((y - p) * (y - p))), 8) end as rmse from ({_SCORED}) q where origin = 1 and t + (h + 1) * 14400 <= 1705968000 group by symbol, h",
     "k20_simple_returns": f"select symbol, t, h, round(exp(d * h) - 1, 8) as simple_return from ({_DRIFT}) q cross join (select explode_(1, 10) as h) k where d is not null",
     "m4_in_sample_drift": f"select symbol, t, case when count(r) over w = 20 then round(avg(r) over w, 8) end as drift from ({_RET}) q window w as (partition by symbol order by t rows between 19 preceding and current row)",
     "m7_eligible_origins": f"select symbol, t, t + 11 * 14400 as matured from (select *, max(n) over (partition by symbol) as last_n from ({_GRID}) g) q where n >= 24 and n + 10 <= last_n",
-    "p12_band_position": f"select b.symbol, b.t, case when b.c > z.price * 1.003 then 'above' when b.c < z.price * 0.997 then 'below' else 'inside' end as place from {{bars}} b join (select * from (select *, row_number() over (partition by symbol order by t desc, kind) as k from ({_PIVOTS}) q) y where k = 1) z on b.symbol = z.symbol",
     "q6_chart_rows": "select symbol, t, o, h, l, c, v from (select *, row_number() over (partition by symbol order by t desc) as k from {bars}) q where k <= 50",
     "r6_parent_child": "select symbol, t, case when child = parent then 'aligned' when parent = 'flat' then 'parent_flat' else 'countertrend' end as reading from (select symbol, t, case when c > c6 then 'up' when c < c6 then 'down' else 'flat' end as child, case when c > c42 then 'up' when c < c42 then 'down' else 'flat' end as parent from (select symbol, t, c, lag(c, 6) over s as c6, lag(c, 42) over s as c42 from {bars} window s as (partition by symbol order by t)) a where c42 is not null) b",
     "t4_structure_extreme": f"select b.symbol, round(coalesce(p.hi, b.hi), 6) as structure_high, round(coalesce(p.lo, b.lo), 6) as structure_low from (select symbol, max(h) as hi, min(l) as lo from {{bars}} group by symbol) b left join (select symbol, max(price) as hi, min(price) as lo from ({_PIVOTS}) q group by symbol) p on b.symbol = p.symbol",
@@ -99,8 +87,6 @@ _DUCK = {"percentile_(": "quantile_cont(", "sha2_(": "sha1(", "string_)": "varch
 def _dialect(body: str, words: dict[str, str]) -> str:
     for a, b in words.items():
         if a == "explode_(":
-            import re
-
             body = re.sub(r"explode_\(([^)]*)\)", b + r"\1))", body)
         body = body.replace(a, b)
     return body

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .operators import forecasts, swings
 from .operators.asof import asof_attach
 from .operators.clusters import zone_clusters
 from .operators.features import feature_history
@@ -15,6 +16,7 @@ from .operators.store import new_rows, sync_counts
 from .operators.zones import zigzag_pivots, zone_events
 from .plans import bar_plans
 from .sources.bars import bars_from_events, bars_sql
+from .sources.fixture import breakout_bars
 
 BASE, PARENT = 240, 1440
 
@@ -113,11 +115,81 @@ def m15_walk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walk_windows(bars_from_events(spark, sf_dir))
 
 
-def walk_windows(bars: DataFrame) -> DataFrame:
-    counted = bars.groupBy("symbol").agg(F.count("*").alias("n")).where("n > 80")
-    folds = counted.select("symbol", "n", F.explode(F.sequence(F.lit(0), F.expr("int((n - 81) div 20)"))).alias("fold"))
-    end = 80 + 20 * F.col("fold")
-    return folds.select("symbol", "fold", end.alias("train_end"), end.alias("test_start"), F.least((end + 20).cast("long"), F.col("n")).alias("test_end"))
+def walk_windows(bars: DataFrame, train: int = 80, test: int = 20, step: int = 20) -> DataFrame:
+    """Whole tests only; a symbol with fewer than train + test bars has none."""
+    counted = bars.groupBy("symbol").agg(F.count("*").alias("n")).where(F.col("n") >= train + test)
+    folds = counted.select("symbol", F.explode(F.sequence(F.lit(0), F.expr(f"int((n - {train + test}) div {step})"))).alias("fold"))
+    end = train + step * F.col("fold")
+    return folds.select("symbol", "fold", end.alias("train_end"), end.alias("test_start"), (end + test).alias("test_end"))
+
+
+def m3_walk_forward_mae(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(forecasts.walk_forward_baselines(bars_from_events(spark, sf_dir)))
+
+
+def m5_gated_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(forecasts.gated(bars_from_events(spark, sf_dir), BASE, PARENT).select("symbol", "t", "regime", "drift", "step"))
+
+
+def m6_gated_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(forecasts.walk_forward_gated(bars_from_events(spark, sf_dir), BASE, PARENT, 79, 10))
+
+
+def m10_signed_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(forecasts.signed_probabilities(bars_from_events(spark, sf_dir), 79, 5))
+
+
+def m11_probability_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(forecasts.probability_scores(bars_from_events(spark, sf_dir), 79, 3))
+
+
+def e3_pinball(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m11_probability_scores(spark, sf_dir).select("symbol", "h", "pinball10", "pinball90")
+
+
+def e4_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m11_probability_scores(spark, sf_dir).select("symbol", "h", "coverage")
+
+
+def s12_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(breakout_bars(spark))
+
+
+def _pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(bar_plans.spark_sql("p1_window_pivots"), bars=bars_from_events(spark, sf_dir))
+
+
+def b2_b3_swing_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return swings.anchors(_pivots(spark, sf_dir))
+
+
+def b4_measured_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(swings.measured_moves(_pivots(spark, sf_dir)))
+
+
+def b5_fib_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(swings.levels(_pivots(spark, sf_dir)))
+
+
+def p5_zone_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = bars_from_events(spark, sf_dir)
+    closes = bars.groupBy("symbol").agg(F.max_by("c", "t").alias("c"))
+    return swings.zone_ids(zone_clusters(_pivots(spark, sf_dir), closes)).select("symbol", "role", "touches", "zone_id")
+
+
+def p10_plateaus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of bars at whole hundreds, where equal highs and lows occur."""
+    bars = bars_from_events(spark, sf_dir)
+    return swings.plateaus(bars.withColumns({c: F.round(F.col(c) / 100) * 100 for c in ("h", "l")}))
+
+
+def p12_band_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every bar's close against the band of the last pivot known at that close; of two known at once the high."""
+    bars = bars_from_events(spark, sf_dir).select("symbol", "t", "c", (F.col("t") + 60 * BASE).alias("known"))
+    bands = _pivots(spark, sf_dir).groupBy("symbol", "known_close").agg(F.min_by("price", "kind").alias("price"))
+    out = asof_attach(bars, bands, "known", "known_close", ["price"])
+    place = F.when(F.col("price").isNull(), "unknown").when(F.col("c") > F.col("price") * 1.003, "above").when(F.col("c") < F.col("price") * 0.997, "below").otherwise("inside")
+    return out.select("symbol", "t", "price", place.alias("place"))
 
 
 def m8_quantile_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +205,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 _OWN = (p4_zone_clusters, m8_quantile_forecast, m12_walk_forward_ridge, a6_feature_history, s3_immutable_insert, q5_sync_counts, s4_bars, f6_resample, f12_gaps, k1_k2_k3_recurrences, j3_asof_parent, flagship_bar_state, p2_zigzag, p11_zone_lifecycle)
-# m15's plan stops at ten folds; it stays as the SQL to compare with, which is whole up to 280 bars
+_OWN += (m3_walk_forward_mae, m5_gated_drift, m6_gated_walk_forward, m10_signed_probability, m11_probability_scores, e3_pinball, e4_coverage, s12_fixture, b2_b3_swing_anchors, b4_measured_moves, b5_fib_levels, p5_zone_ids, p10_plateaus, p12_band_position)
 QUERIES = {name: _plan(name) for name in bar_plans.PLANS} | {f.__name__: f for f in (*_OWN, m15_walk_windows)}
 
 _A = {s: f"({2 / (s + 1)!r})::double" for s in (9, 20, 200)}
@@ -161,8 +233,64 @@ _SOLVED = """(b0 * (p1 * p2 - s12 * s12) - s1 * (b1 * p2 - s12 * b2) + s2 * (b1
     (k * (b1 * p2 - s12 * b2) - b0 * (s1 * p2 - s12 * s2) + s2 * (s1 * b2 - b1 * s2)) / det as w1, (k * (p1 * b2 - b1 * s12) - s1 * (s1 * b2 - b1 * s2) + b0 * (s1 * s12 - p1 * s2)) / det as w2"""
 _DET = "select *, k * (p1 * p2 - s12 * s12) - s1 * (s1 * p2 - s12 * s2) + s2 * (s1 * s12 - p1 * s2) as det from (select *, s11 + 8 as p1, s22 + 8 as p2 from"
 
+#: drift, the next ten outcomes of chosen origins, and what an origin may know of the others, by joins.
+_DRIFTED = f"""select symbol, t, c, n, last, case when n > 20 then avg(r) over (partition by symbol order by t rows between 18 preceding and current row) end as drift
+        from (select symbol, t, c, row_number() over s as n, count(*) over (partition by symbol) as last, case when c > 0 and lag(c) over s > 0 then ln(c / lag(c) over s) end as r from ({bars_sql()}) window s as (partition by symbol order by t))"""
+_GATED = f"""with d as materialized ({_DRIFTED}),
+        p as (select symbol, t + 86400 as pk, case when c < p1 and p1 < p2 then 'bearish' when c > p1 and p1 > p2 then 'bullish' else 'neutral' end as regime from (select *, lag(c) over (partition by symbol order by t) as p1, lag(c, 2) over (partition by symbol order by t) as p2 from ({_PARENTS}))),
+        g as (select d.*, coalesce(regime, 'neutral') as regime, case when drift is not null then case regime when 'bearish' then least(drift, 0.0::double) when 'bullish' then greatest(drift, 0.0::double) else drift end end as step from d asof left join p on p.symbol = d.symbol and d.t + 14400 >= p.pk)"""
+
+
+def _chosen(of: str, first: int, step: int) -> str:
+    return f"o as materialized (select a.*, h, ln(f.c / a.c) as y from {of} a cross join (select unnest(range(1, 11)) as h) join {of} f on f.symbol = a.symbol and f.n = a.n + h where a.n > {first} and (a.n - 1 - {first}) % {step} = 0 and a.n <= a.last - 10 and a.c > 0 and f.c > 0)"
+
+
+def _errors_sql(**predicted: str) -> str:
+    signed = "case when {0} <> 0 then case when (y > 0) = ({0} > 0) then 1.0::double else 0.0::double end end"
+    return ", ".join(f"round(avg(abs(y - {p})), 6) as {k}_mae, round(sqrt(avg((y - {p}) * (y - {p}))), 6) as {k}_rmse, round(avg({signed.format(p)}), 6) as {k}_hits, count({signed.format(p)}) as {k}_signed" for k, p in predicted.items())
+
+
+def _signed_sql(first: int, step: int) -> str:
+    side = "case when b.p > 0 then a.p > 0 when b.p < 0 then a.p < 0 else true end"
+    return f"""with d as materialized ({_DRIFTED}), {_chosen("d", first, step)}, s as materialized (select symbol, t, n, h, y, coalesce(drift, 0) * h as p from o),
+        j as (select b.symbol, b.t, b.h, any_value(b.y) as y, any_value(b.p) as p, count(a.t) as prior, count(*) filter (a.t is not null and {side}) as k, count(*) filter (a.y > 0 and {side}) as up, quantile_cont(a.y - a.p, [0.1, 0.9]) as q
+            from s b left join s a on a.symbol = b.symbol and a.h = b.h and a.n + a.h <= b.n group by 1, 2, 3),
+        x as (select symbol, t, h::int as h, y, prior::bigint as prior, case when k >= 8 then up / k end as p_up, case when prior >= 8 then p + q[1] end as q10, case when prior >= 8 then p + q[2] end as q90 from j)"""
+
+
+_SCORES = _signed_sql(79, 3) + """, e as (select symbol, h, sum(k * abs(mp - mu)) / sum(k) as ece from (select symbol, h, least(4, floor(p_up * 5)) as bin, count(*) as k, avg(p_up) as mp, avg(case when y > 0 then 1.0 else 0.0 end) as mu from x where p_up is not null group by 1, 2, 3) group by 1, 2),
+        z as (select symbol, h, count(p_up) as n_p, count(q10) as n_q, avg(power(p_up - case when y > 0 then 1.0 else 0.0 end, 2)) as brier, avg(case when q10 is not null then case when y between q10 and q90 then 1.0 else 0.0 end end) as coverage,
+            avg(case when y >= q10 then 0.1 * (y - q10) else 0.9 * (q10 - y) end) filter (q10 is not null) as p1, avg(case when y >= q90 then 0.9 * (y - q90) else 0.1 * (q90 - y) end) filter (q90 is not null) as p9 from x group by 1, 2),
+        m as (select symbol, h, n_p, n_q, round(case when n_p >= 8 then brier end, 6) as brier, round(case when n_p >= 15 then ece end, 6) as ece, round(case when n_q >= 8 then coverage end, 6) as coverage, round(case when n_q >= 8 then p1 end, 6) as pinball10, round(case when n_q >= 8 then p9 end, 6) as pinball90 from z left join e using (symbol, h))
+        """
+_COLLAPSED = f"""with v as materialized (select * from ({bar_plans.duck_sql("p1_window_pivots", bars_sql())})),
+        i as (select *, count(*) filter (turn) over (partition by symbol order by t, known_t, kind) as run from (select *, kind is distinct from lag(kind) over (partition by symbol order by t, known_t, kind) as turn from v)),
+        k as (select symbol, run, t, known_t, price, kind, row_number() over (partition by symbol order by run) as no from (select *, row_number() over (partition by symbol, run order by case kind when 'high' then -price else price end, t) as best from i) where best = 1),
+        a as (select k.symbol, p.t as start_t, k.t as end_t, greatest(p.known_t, k.known_t) as known_t, p.price as start_price, k.price as end_price, case when k.price > p.price then 'up' else 'down' end as direction from k join k p on p.symbol = k.symbol and p.no = k.no - 1 where p.price <> k.price)"""
+
 ORACLES = {name: bar_plans.duck_sql(name, bars_sql()) for name in bar_plans.PLANS} | {
     "s4_bars": bars_sql(),
+    "m3_walk_forward_mae": f"with d as materialized ({_DRIFTED}), {_chosen('d', 80, 10)} select symbol, h::int as h, count(*) as n, {_errors_sql(zero='0.0::double', drift='(drift * h)')} from o group by 1, 2",
+    "m5_gated_drift": _GATED + "select symbol, t, regime, round(drift, 6) as drift, round(step, 6) as step from g",
+    "m6_gated_walk_forward": f"{_GATED}, {_chosen('g', 79, 10)} select symbol, h::int as h, count(*) as n, {_errors_sql(zero='0.0::double', drift='(drift * h)', gated='(step * h)')} from o group by 1, 2",
+    "m10_signed_probability": _signed_sql(79, 5) + " select symbol, t, h, round(y, 6) as y, prior, round(p_up, 6) as p_up, round(q10, 6) as q10, round(q90, 6) as q90 from x",
+    "m11_probability_scores": _SCORES + "select * from m",
+    "e3_pinball": _SCORES + "select symbol, h, pinball10, pinball90 from m",
+    "e4_coverage": _SCORES + "select symbol, h, coverage from m",
+    "m15_walk_windows": f"select symbol, k::int as fold, (80 + 20 * k)::int as train_end, (80 + 20 * k)::int as test_start, (100 + 20 * k)::int as test_end from (select symbol, count(*) as n from ({bars_sql()}) group by 1), lateral (select unnest(range(0, greatest((n - 80) // 20, 0))) as k)",
+    "s12_fixture": """with i as (select range as i from range(3768)), p as (select i, case when i < 2304 then least(8.06, 7.2::double + (i + 1) * 0.00038) when i < 2880 then 8.02 - (i - 2304) * 0.00015::double when i < 3744 then greatest(7.28, 7.95 - (i - 2880) * 0.00075::double) else 7.30275 + (i - 3744) * 0.012::double end::double as c from i),
+        o as (select *, c * case when i % 2 = 0 then 1.0002 else 0.9998 end::double as o from p)
+        select 'AVAXUSDT' as symbol, 1787184000 + 300 * i as t, round(o, 6) as o, round(case when i between 2304 and 2879 then least(8.22, 8.12 + ((i - 2304) % 7) * 0.012)::double else greatest(o, c) + 0.012 end, 6) as h, round(case when i between 2304 and 2879 then c - 0.03 else least(o, c) - 0.012 end, 6) as l, round(c, 6) as c, (1000 + i)::double as v from o""",
+    "b2_b3_swing_anchors": _COLLAPSED + "select * from a",
+    "b4_measured_moves": _COLLAPSED + """select k.symbol, y.t as end_t, k.t as correction_t, greatest(x.known_t, y.known_t, k.known_t) as known_t, ratio, round(k.price + (y.price - x.price) * ratio, 6) as price
+        from k join k y on y.symbol = k.symbol and y.no = k.no - 1 join k x on x.symbol = k.symbol and x.no = k.no - 2 cross join (select unnest([1.0, 1.272, 1.618])::double as ratio) where k.price > least(x.price, y.price) and k.price < greatest(x.price, y.price)""",
+    "b5_fib_levels": _COLLAPSED + """select symbol, start_t, end_t, known_t, 'retracement' as kind, ratio, round(end_price + (start_price - end_price) * ratio, 6) as price from a cross join (select unnest([0, 0.236, 0.382, 0.5, 0.618, 0.786, 1])::double as ratio)
+        union all select symbol, start_t, end_t, known_t, 'extension', ratio, round(start_price + (end_price - start_price) * ratio, 6) from a cross join (select unnest([1.272, 1.618, 2, 2.618])::double as ratio)""",
+    "p10_plateaus": f"""with b as (select symbol, t, 'resistance' as role, round(h / 100) * 100 as price from ({bars_sql()}) union all select symbol, t, 'support', round(l / 100) * 100 from ({bars_sql()})),
+        g as (select *, row_number() over (partition by symbol, role order by t) - row_number() over (partition by symbol, role, price order by t) as g from b)
+        select symbol, role, price, min(t) as first_t, list_sort(list(t))[3] as known_t, count(*) as bars from g group by symbol, role, price, g having count(*) >= 3""",
+    "p12_band_position": f"""with z as (select symbol, known_close, arg_min(price, kind) as price from ({bar_plans.duck_sql("p1_window_pivots", bars_sql())}) group by 1, 2)
+        select b.symbol, b.t, z.price, case when z.price is null then 'unknown' when b.c > z.price * 1.003::double then 'above' when b.c < z.price * 0.997::double then 'below' else 'inside' end as place from ({bars_sql()}) b asof left join z on z.symbol = b.symbol and b.t + 14400 >= z.known_close""",
     "m8_quantile_forecast": f"""with {_ROWS}, tr as (select *, 1 as u from g where n >= 24 and n <= last - 10 and y is not null and r1 is not null and r3 is not null),
         w as (select symbol, h, {_SOLVED} from ({_DET} (select symbol, h, {_SUMS("")} from tr group by 1, 2 having count(*) >= 30))) ),
         e as (select tr.symbol, tr.h, quantile_cont(y - w0 - w1 * r1 - w2 * r3, [0.1, 0.5, 0.9]) as e from tr join w using (symbol, h) group by 1, 2)
@@ -191,3 +319,4 @@ ORACLES = {name: bar_plans.duck_sql(name, bars_sql()) for name in bar_plans.PLAN
         select v.symbol, v.t, round(c, 5) as c, round(ema20, 5) as ema20, round(rsi14, 5) as rsi14, round(atr14, 5) as atr14, case when m = 24 then round(sd, 5) end as vol24, pk as parent_known, gate as parent_gate
         from v asof left join p on p.symbol = v.symbol and v.t + 14400 >= p.pk""",
 }
+ORACLES["p5_zone_ids"] = ORACLES["p4_zone_clusters"].replace("select symbol, round(lower, 6) as lower, round(upper, 6) as upper, touches, case", "select symbol, role, touches, substring(sha1(printf('%.8f:%.8f:%s', lower, upper, role)), 1, 12) as zone_id from (select symbol, lower, upper, touches, case") + ")"
