@@ -1,6 +1,6 @@
 import pytest
 
-from tidebar.operators.features import feature_history
+from tidebar.operators.features import feature_history, feature_names
 from tidebar.operators.resample import visible
 from tidebar.operators.store import ImmutableConflict, append
 from tidebar.sources.bars import bars_from_events
@@ -18,7 +18,14 @@ def test_append_is_idempotent_and_refuses_changes(spark, tmp_path):
 def test_feature_prefixes_agree(spark):
     bars = bars_from_events(spark, "/root/testdata/sf0.001", 60)
     cut = 1705276800
-    full = feature_history(bars, 60, (240,)).where(f"t <= {cut - 3600}")
-    prefix = feature_history(visible(bars, 60, cut), 60, (240,))
+    history = lambda b: feature_history(b, 60, {"4h": 240}, {"btc": "click", "eth": "view"}, ["click", "purchase"])
+    full = history(bars).where(f"t <= {cut - 3600}")
+    prefix = history(visible(bars, 60, cut))
     key = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
     assert key(full) == key(prefix)
+
+
+def test_the_schema_has_179_names():
+    names = feature_names()
+    assert len(names) == len(set(names)) == 179
+    assert names[0] == "avax_5m_logret_1" and names[-1] == "rel_sync_eth_1" and "avax_1d_ema200_slope" in names

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .operators import forecasts, swings
 from .operators.asof import asof_attach
 from .operators.clusters import zone_clusters
+from .operators import features
 from .operators.features import feature_history
 from .operators.recurrences import with_recurrences
 from .operators.resample import resample
@@ -86,9 +87,13 @@ def p11_zone_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zone_events(bars, zones)
 
 
+#: The feature query's hourly bars, parents, and the series that stand for the two companions.
+PARENTS, COMPANIONS, SYMBOLS = {"2h": 120, "4h": 240, "8h": 480, "1d": 1440}, {"btc": "click", "eth": "view"}, ["click", "error", "purchase", "signup", "view"]
+
+
 def a6_feature_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = feature_history(bars_from_events(spark, sf_dir, 60), 60, (240, 1440))
-    return bars.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in bars.dtypes])
+    """All 179 columns for every hourly bar."""
+    return _rounded(feature_history(bars_from_events(spark, sf_dir, 60), 60, PARENTS, COMPANIONS, SYMBOLS, "avax", "1h"))
 
 
 def s3_immutable_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,6 +273,56 @@ _COLLAPSED = f"""with v as materialized (select * from ({bar_plans.duck_sql("p1_
         k as (select symbol, run, t, known_t, price, kind, row_number() over (partition by symbol order by run) as no from (select *, row_number() over (partition by symbol, run order by case kind when 'high' then -price else price end, t) as best from i) where best = 1),
         a as (select k.symbol, p.t as start_t, k.t as end_t, greatest(p.known_t, k.known_t) as known_t, p.price as start_price, k.price as end_price, case when k.price > p.price then 'up' else 'down' end as direction from k join k p on p.symbol = k.symbol and p.no = k.no - 1 where p.price <> k.price)"""
 
+def _timeframe_sql(name: str, bars: str, prefix: str, windows: tuple[int, ...], known: int) -> str:
+    """CTEs that end in {name}: symbol, known and one timeframe's features, with the recursive indicators by a recursive CTE."""
+    a = {k: f"({2 / (k + 1)!r})::double" for k in features.SPANS}
+    cols = {f"logret_{k}": f"case when c > 0 and lag(c, {k}) over s > 0 then ln(c / lag(c, {k}) over s) end" for k in windows}
+    cols |= {"body_ratio": "case when h > l then abs(c - o) / (h - l) else 0 end", "upper_wick_ratio": "case when h > l then (h - greatest(o, c)) / (h - l) else 0 end", "lower_wick_ratio": "case when h > l then (least(o, c) - l) / (h - l) else 0 end",
+        "range_pct": "case when h > l then (h - l) / nullif(c, 0) else 0 end", "close_loc": "case when h > l then (c - l) / (h - l) else 0.5 end",
+        "dist_rolling_high_24": "case when n >= 24 and c > 0 and max(h) over w > 0 and min(l) over w > 0 then c / max(h) over w - 1 end", "dist_rolling_low_24": "case when n >= 24 and c > 0 and max(h) over w > 0 and min(l) over w > 0 then c / min(l) over w - 1 end",
+        "rsi14": "rsi", "rsi14_centered": "(rsi - 50) / 50", "atr14": "atr", "atr14_pct": "case when c > 0 then atr / c end", "realized_vol_24": "case when count(x) over w = 24 then stddev_pop(x) over w end",
+        "vol_z_24": "case when n >= 24 then (v - avg(v) over w) / nullif(stddev_pop(v) over w, 0) end", "vol_ratio_24": "case when n >= 24 then v / nullif(avg(v) over w, 0) end", "vol_expansion": "case when n >= 24 then case when avg(v) over w > 0 and v > 1.5 * avg(v) over w then 1 else 0 end end"}
+    line = ["c", *[f"e{k}" for k in features.SPANS]]
+    cols["ema_stack_score"] = " + ".join(f"sign({p} - {q})" for p, q in zip(line, line[1:]))
+    for k in features.SPANS:
+        cols |= {f"ema{k}_dist": f"case when c > 0 then (c - e{k}) / c end", f"ema{k}_slope": f"(e{k} - lag(e{k}, 3) over s) / nullif(lag(e{k}, 3) over s, 0)"}
+    made = ", ".join(f"({v})::double as {prefix}{k}" for k, v in cols.items())
+    return f"""{name}_b as materialized (select *, row_number() over s as n, c - lag(c) over s as d, c / nullif(lag(c) over s, 0) - 1 as x,
+            case when lag(c) over s is null then h - l else greatest(h - l, abs(h - lag(c) over s), abs(l - lag(c) over s)) end as tr from ({bars}) window s as (partition by symbol order by t)),
+        {name}_s as materialized (select symbol, avg(greatest(d, 0)) filter (n between 2 and 15) as g, avg(greatest(-d, 0)) filter (n between 2 and 15) as q, avg(tr) filter (n <= 14) as a from {name}_b group by 1),
+        {name}_e as (select symbol, n, {", ".join(f"c as e{k}" for k in a)}, null::double as g, null::double as q, null::double as a from {name}_b where n = 1
+            union all select b.symbol, b.n, {", ".join(f"{v} * b.c + (1 - {v}) * e.e{k}" for k, v in a.items())}, case when b.n < 15 then null when b.n = 15 then z.g else (e.g * 13 + greatest(b.d, 0)) / 14 end,
+              case when b.n < 15 then null when b.n = 15 then z.q else (e.q * 13 + greatest(-b.d, 0)) / 14 end, case when b.n < 14 then null when b.n = 14 then z.a else (e.a * 13 + b.tr) / 14 end
+            from {name}_e e join {name}_b b on b.symbol = e.symbol and b.n = e.n + 1 join {name}_s z on z.symbol = b.symbol),
+        {name}_k as (select b.*, {", ".join(f"e{k}" for k in a)}, case when b.n >= 15 then case when q = 0 then 100.0::double else 100 - 100 / (1 + g / q) end end as rsi, case when b.n >= 14 then a end as atr from {name}_b b join {name}_e e on e.symbol = b.symbol and e.n = b.n),
+        {name} as (select symbol, t, t + {known} as known, {made} from {name}_k window s as (partition by symbol order by t), w as (partition by symbol order by t rows between 23 preceding and current row))"""
+
+
+def _features_sql() -> str:
+    base = bars_sql(60)
+    parts = [f"bars_ as materialized ({base})", _timeframe_sql("own_", "select * from bars_", "avax_1h_", features.RETURNS, 3600)]
+    joins, cols = [], []
+    for label, m in PARENTS.items():
+        bars = f"select symbol, t // {60 * m} * {60 * m} as t, first(o order by t) as o, max(h) as h, min(l) as l, last(c order by t) as c, sum(v) as v from bars_ group by symbol, t // {60 * m} having count(*) >= {m // 60}"
+        parts.append(_timeframe_sql(f"p{label}", bars, f"avax_{label}_", features.PARENT_RETURNS, 60 * m))
+        joins.append(f"asof left join p{label} on p{label}.symbol = own_.symbol and own_.known >= p{label}.known")
+        cols.append(f'p{label}.known as "{label}_known"')
+    log = lambda c, k: f"case when {c} > 0 and lag({c}, {k}) over s > 0 then ln({c} / lag({c}, {k}) over s) end"
+    for label, symbol in COMPANIONS.items():
+        own = ", ".join(f"{log('c', k)} as {label}_1h_logret_{k}" for k in features.CROSS_RETURNS)
+        parts.append(f"c{label} as (select symbol, known, {', '.join(f'{label}_1h_logret_{k}' for k in features.CROSS_RETURNS)}, case when count(x) over w = 24 then stddev_pop(x) over w end as {label}_1h_realized_vol_24 from (select symbol, t, t + 3600 as known, c / nullif(lag(c) over s, 0) - 1 as x, {own} from bars_ where symbol = '{symbol}' window s as (order by t)) window w as (order by t rows between 23 preceding and current row))")
+        both = f"select a.symbol, a.t, a.c as a, b.c as b from bars_ a join bars_ b on a.t = b.t and b.symbol = '{symbol}'"
+        rel = ", ".join(f"({log('a', k)}) - ({log('b', k)}) as rel_avax_{label}_logret_{k}" for k in features.RELATIVE_RETURNS)
+        named = ", ".join(f"rel_avax_{label}_logret_{k}" for k in features.RELATIVE_RETURNS)
+        parts.append(f"""r{label} as (select symbol, t + 3600 as known, {named}, case when count(ra * rb) over w = 24 and var_pop(ra) over w > 0 and var_pop(rb) over w > 0 then covar_pop(ra, rb) over w / sqrt(var_pop(ra) over w * var_pop(rb) over w) end as rel_avax_{label}_corr_24,
+            case when count(ra * rb) over w = 24 and var_pop(rb) over w > 0 then covar_pop(ra, rb) over w / var_pop(rb) over w end as rel_avax_{label}_beta_24 from (select symbol, t, {log("a", 1)} as ra, {log("b", 1)} as rb, {rel} from ({both}) window s as (partition by symbol order by t)) window w as (partition by symbol order by t rows between 23 preceding and current row))""")
+        joins += [f"asof left join c{label} on own_.known >= c{label}.known", f"asof left join r{label} on r{label}.symbol = own_.symbol and own_.known >= r{label}.known"]
+        x, y = "avax_1h_logret_1", f"{label}_1h_logret_1"
+        cols.append(f"case when {x} is null or {y} is null then null when abs({x}) < 0.001 or abs({y}) < 0.001 then 0.0::double when ({x} > 0) = ({y} > 0) then 1.0::double else 0.0::double end as rel_sync_{label}_1")
+    rest = [n for n in features.feature_names("avax", "1h", tuple(PARENTS), tuple(COMPANIONS)) if not n.startswith("rel_sync")]
+    return f"with recursive {', '.join(parts)} select own_.symbol, own_.t, own_.known, {', '.join(cols)}, {', '.join(f'round({n}, 6) as {n}' for n in rest)} from own_ {' '.join(joins)}"
+
+
 ORACLES = {name: bar_plans.duck_sql(name, bars_sql()) for name in bar_plans.PLANS} | {
     "s4_bars": bars_sql(),
     "m3_walk_forward_mae": f"with d as materialized ({_DRIFTED}), {_chosen('d', 80, 10)} select symbol, h::int as h, count(*) as n, {_errors_sql(zero='0.0::double', drift='(drift * h)')} from o group by 1, 2",
@@ -320,3 +375,4 @@ ORACLES = {name: bar_plans.duck_sql(name, bars_sql()) for name in bar_plans.PLAN
         from v asof left join p on p.symbol = v.symbol and v.t + 14400 >= p.pk""",
 }
 ORACLES["p5_zone_ids"] = ORACLES["p4_zone_clusters"].replace("select symbol, round(lower, 6) as lower, round(upper, 6) as upper, touches, case", "select symbol, role, touches, substring(sha1(printf('%.8f:%.8f:%s', lower, upper, role)), 1, 12) as zone_id from (select symbol, lower, upper, touches, case") + ")"
+ORACLES["a6_feature_history"] = _features_sql()
