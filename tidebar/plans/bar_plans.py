@@ -31,7 +31,6 @@ PLANS = {
     "f10_availability": "select symbol, max(t) as last_open, max(t) + 14400 as known_at, count(*) as closed_bars from {bars} group by symbol",
     "f13_duplicates": "select symbol, t, count(*) as copies, case when count(distinct c) > 1 then 1 else 0 end as conflict from (select symbol, t, c from {bars} union all select symbol, t, case when v > 20 then c + 1 else c end from {bars} where v > 15) q group by symbol, t having count(*) > 1",
     "f14_ohlc_violations": "select symbol, t, concat_ws('; ', case when h < l then 'high<low' end, case when h < greatest(o, c) then 'high<max(open,close)' end, case when l > least(o, c) then 'low>min(open,close)' end, case when v < 0 then 'volume<0' end) as detail from (select symbol, t, o, case when v > 18 then l - 1 else h end as h, l, c, case when v < 3 then -v else v end as v from {bars}) q where h < l or h < greatest(o, c) or l > least(o, c) or v < 0",
-    "s6_manifest": "select symbol, count(*) as bars, min(t) as first_t, max(t) as last_t, round(sum(c), 4) as close_sum from {bars} group by symbol",
     "k4_realized_vol": "select symbol, t, case when count(x) over w = 24 then round(stddev_pop(x) over w, 8) end as vol24 from (select symbol, t, c / nullif(lag(c) over (partition by symbol order by t), 0) - 1 as x from {bars}) q window w as (partition by symbol order by t rows between 23 preceding and current row)",
     "k5_window_logret": "select symbol, t, " + ", ".join(f"case when c > 0 and lag(c, {k}) over s > 0 then round(ln(c / lag(c, {k}) over s), 8) end as logret_{k}" for k in (1, 2, 3, 6, 12, 24, 48)) + " from {bars} window s as (partition by symbol order by t)",
     "k7_geometry": "select symbol, t, case when h > l then round(abs(c - o) / (h - l), 8) else 0.0e0 end as body, case when h > l then round((h - greatest(o, c)) / (h - l), 8) else 0.0e0 end as upper_wick, case when h > l then round((least(o, c) - l) / (h - l), 8) else 0.0e0 end as lower_wick, case when h > l and c <> 0 then round((h - l) / c, 8) else 0.0e0 end as range_pct, case when h > l then round((c - l) / (h - l), 8) else 0.5e0 end as close_loc from {bars}",
@@ -58,8 +57,6 @@ PLANS = {
     "h7_accumulation": "select symbol, t, n12, upper_half, round(upv - downv, 6) as volume_balance from (select symbol, t, count(*) over w as n12, sum(case when c >= (h + l) / 2 then 1 else 0 end) over w as upper_half, sum(case when c >= o then v else 0 end) over w as upv, sum(case when c < o then v else 0 end) over w as downv from {bars} window w as (partition by symbol order by t rows between 11 preceding and current row)) q",
     "h10_evidence_score": "select symbol, round((e + 2 * k - x) * 1.0e0 / (e + x + k + 1), 8) as score from (select symbol, sum(case when c > o then 1 else 0 end) as e, sum(case when c < o then 1 else 0 end) as x, sum(case when h - l > 0 and (c - l) / (h - l) > 0.9 then 1 else 0 end) as k from (select symbol, t, o, h, l, c from {bars}) q where h > l group by symbol) z",
     "t1_rule_firing": "select symbol, min(case when c > lvl then t end) as close_above, min(case when c < lvl then t end) as close_below, min(case when h > lvl then t end) as high_above, min(case when l < lvl then t end) as low_below from (select *, avg(c) over (partition by symbol order by t rows between 20 preceding and 1 preceding) as lvl from {bars}) q where lvl is not null group by symbol",
-    "r5_regime_vote": "select symbol, t, case when bull >= bear + 2 then 'bullish' when bear >= bull + 2 then 'bearish' else 'neutral' end as regime from (select symbol, t, case when c > m5 and m5 > m20 then 2 else 0 end + case when m5 > m20 and m20 > m60 then 1 else 0 end as bull, case when c < m5 and m5 < m20 then 2 else 0 end + case when m5 < m20 and m20 < m60 then 1 else 0 end as bear from (select symbol, t, c, avg(c) over (partition by symbol order by t rows between 4 preceding and current row) as m5, avg(c) over (partition by symbol order by t rows between 19 preceding and current row) as m20, avg(c) over (partition by symbol order by t rows between 59 preceding and current row) as m60 from {bars}) q) z",
-    "t8_transitions": "select symbol, t, coalesce(old, 'unknown') as old_regime, new as new_regime from (select symbol, t, new, lag(new) over (partition by symbol order by t) as old, row_number() over (partition by symbol order by t) as n from (select symbol, t, case when c > m then 'above' else 'below' end as new from (select symbol, t, c, avg(c) over (partition by symbol order by t rows between 19 preceding and current row) as m from {bars}) a) b) z where n > 1 and old <> new",
     "j4_outcomes": f"select symbol, t, h, round(y, 8) as realized, case when y > 0 then 1 else 0 end as above from ({_SCORED}) q",
     "j8_unjournaled_origins": f"select a.symbol, a.t from (select symbol, t, n from ({_GRID}) g where n >= 21) a left join (select symbol, t from ({_GRID}) g where n % 3 = 0) j on a.symbol = j.symbol and a.t = j.t where j.t is null",
     "q2_latest_forecast": f"select symbol, t, round(d, 8) as drift from (select *, row_number() over (partition by symbol order by t desc) as k from ({_DRIFT}) q where t + 14400 <= 1705276800) z where k = 1",
@@ -74,7 +71,6 @@ PLANS = {
     "m4_in_sample_drift": f"select symbol, t, case when count(r) over w = 20 then round(avg(r) over w, 8) end as drift from ({_RET}) q window w as (partition by symbol order by t rows between 19 preceding and current row)",
     "m7_eligible_origins": f"select symbol, t, t + 11 * 14400 as matured from (select *, max(n) over (partition by symbol) as last_n from ({_GRID}) g) q where n >= 24 and n + 10 <= last_n",
     "q6_chart_rows": "select symbol, t, o, h, l, c, v from (select *, row_number() over (partition by symbol order by t desc) as k from {bars}) q where k <= 50",
-    "r6_parent_child": "select symbol, t, case when child = parent then 'aligned' when parent = 'flat' then 'parent_flat' else 'countertrend' end as reading from (select symbol, t, case when c > c6 then 'up' when c < c6 then 'down' else 'flat' end as child, case when c > c42 then 'up' when c < c42 then 'down' else 'flat' end as parent from (select symbol, t, c, lag(c, 6) over s as c6, lag(c, 42) over s as c42 from {bars} window s as (partition by symbol order by t)) a where c42 is not null) b",
     "t4_structure_extreme": f"select b.symbol, round(coalesce(p.hi, b.hi), 6) as structure_high, round(coalesce(p.lo, b.lo), 6) as structure_low from (select symbol, max(h) as hi, min(l) as lo from {{bars}} group by symbol) b left join (select symbol, max(price) as hi, min(price) as lo from ({_PIVOTS}) q group by symbol) p on b.symbol = p.symbol",
     "x4_return_regime": f"select other, t, case when bc > 0 and lag(bc, 24) over s > 0 then case when ln(bc / lag(bc, 24) over s) > 0.005 then 'bullish' when ln(bc / lag(bc, 24) over s) < -0.005 then 'bearish' else 'neutral' end else 'unknown' end as regime from ({_PAIRS}) q window s as (partition by other order by t)",
 }

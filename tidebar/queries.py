@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import forecasts, swings
+from .operators import features, forecasts, regimes, swings
 from .operators.asof import asof_attach
 from .operators.clusters import zone_clusters
-from .operators import features
 from .operators.features import feature_history
 from .operators.recurrences import with_recurrences
 from .operators.resample import resample
@@ -160,6 +159,51 @@ def s12_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(breakout_bars(spark))
 
 
+REGIME_PARENTS = {"1d": 1440, "4h": 240}
+
+
+def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regimes.states_in_context(bars_from_events(spark, sf_dir, 60), 60, REGIME_PARENTS)
+
+
+def r1_timeframe_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _states(spark, sf_dir).select("symbol", "t", "regime", "swing", "volatility")
+
+
+def r2_r3_r4_parent_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _states(spark, sf_dir).select("symbol", "t", "in_context", "countertrend", "parent_regime", "reading")
+
+
+def r5_regime_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored from the base bar's parts, inside the parent's regime, with the state of the bar before as prior."""
+    s = Window.partitionBy("symbol").orderBy("t")
+    part = lambda test_up, test_down: F.when(test_up, 1.0).when(test_down, -1.0).otherwise(0.0)
+    df = _states(spark, sf_dir).withColumn("prior", F.lag("regime").over(s))
+    up, down = F.col("regime") == "bullish", F.col("regime") == "bearish"
+    df = df.select("symbol", "t", "parent_regime", "prior", part(up, down).alias("ema_order"), part(F.col("swing") == "HH_HL", F.col("swing") == "LH_LL").alias("swing"), part(F.col("volatility") == "expanded", F.col("volatility") == "compressed").alias("momentum"), F.lit(0.0).alias("volume"))
+    return _rounded(regimes.regime_scores(df)).select("symbol", "t", "raw", "state")
+
+
+def r6_parent_child(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _states(spark, sf_dir).select("symbol", "t", regimes.parent_child_reading(F.col("parent_regime"), F.col("in_context")).alias("reading"))
+
+
+def t8_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bars at which a symbol's regime differs from the one before."""
+    s = Window.partitionBy("symbol").orderBy("t")
+    df = _states(spark, sf_dir).select("symbol", "t", F.lag("regime").over(s).alias("old_regime"), F.col("regime").alias("new_regime"))
+    return df.where("old_regime <> new_regime")
+
+
+def s6_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By symbol: bars, first and last time, and a SHA-256 over the days' SHA-256 of their ordered payloads, so that no series is one task's text."""
+    bars = bars_from_events(spark, sf_dir).withColumn("day", F.expr("t div 86400"))
+    payload = F.concat_ws("|", F.col("t").cast("string"), *[F.format_string("%.8f", F.col(c)) for c in "ohlcv"])
+    lined = lambda order, value: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("at"), value.alias("x")))), lambda r: r["x"]), "\n")
+    days = bars.groupBy("symbol", "day").agg(F.count("*").alias("n"), F.min("t").alias("a"), F.max("t").alias("b"), F.sha2(lined(F.col("t"), payload), 256).alias("sha"))
+    return days.groupBy("symbol").agg(F.sum("n").alias("bars"), F.min("a").alias("first_t"), F.max("b").alias("last_t"), F.sha2(lined(F.col("day"), F.col("sha")), 256).alias("sha256"))
+
+
 def _pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(bar_plans.spark_sql("p1_window_pivots"), bars=bars_from_events(spark, sf_dir))
 
@@ -210,6 +254,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 _OWN = (p4_zone_clusters, m8_quantile_forecast, m12_walk_forward_ridge, a6_feature_history, s3_immutable_insert, q5_sync_counts, s4_bars, f6_resample, f12_gaps, k1_k2_k3_recurrences, j3_asof_parent, flagship_bar_state, p2_zigzag, p11_zone_lifecycle)
+_OWN += (r1_timeframe_state, r2_r3_r4_parent_context, r5_regime_scores, r6_parent_child, t8_transitions, s6_manifest)
 _OWN += (m3_walk_forward_mae, m5_gated_drift, m6_gated_walk_forward, m10_signed_probability, m11_probability_scores, e3_pinball, e4_coverage, s12_fixture, b2_b3_swing_anchors, b4_measured_moves, b5_fib_levels, p5_zone_ids, p10_plateaus, p12_band_position)
 QUERIES = {name: _plan(name) for name in bar_plans.PLANS} | {f.__name__: f for f in (*_OWN, m15_walk_windows)}
 
@@ -376,3 +421,45 @@ ORACLES = {name: bar_plans.duck_sql(name, bars_sql()) for name in bar_plans.PLAN
 }
 ORACLES["p5_zone_ids"] = ORACLES["p4_zone_clusters"].replace("select symbol, round(lower, 6) as lower, round(upper, 6) as upper, touches, case", "select symbol, role, touches, substring(sha1(printf('%.8f:%.8f:%s', lower, upper, role)), 1, 12) as zone_id from (select symbol, lower, upper, touches, case") + ")"
 ORACLES["a6_feature_history"] = _features_sql()
+
+
+def _state_sql(name: str, bars: str, known: int) -> str:
+    """CTEs that end in {name}_r: symbol, t, known, regime, swing, volatility."""
+    beside = "(partition by symbol order by t rows between 3 preceding and 3 following exclude current row)"
+    return _timeframe_sql(name, bars, "f_", (), known) + f""",
+        {name}_v as materialized (select *, lead(t, 3) over (partition by symbol order by t) as known_t from (select symbol, t, h, l, max(h) over {beside} as mh, min(l) over {beside} as ml, count(*) over {beside} as near from {name}_b)),
+        {name}_h as (select symbol, known_t, h as p1, lag(h) over (partition by symbol order by t) as p2 from {name}_v where near = 6 and h > mh),
+        {name}_l as (select symbol, known_t, l as p1, lag(l) over (partition by symbol order by t) as p2 from {name}_v where near = 6 and l < ml),
+        {name}_w as (select k.*, case when hi.p2 is null or lo.p2 is null then 'insufficient' when hi.p1 > hi.p2 and lo.p1 > lo.p2 then 'HH_HL' when hi.p1 <= hi.p2 and lo.p1 <= lo.p2 then 'LH_LL' else 'mixed' end as swing
+            from {name}_k k asof left join {name}_h hi on hi.symbol = k.symbol and k.t >= hi.known_t asof left join {name}_l lo on lo.symbol = k.symbol and k.t >= lo.known_t),
+        {name}_r as materialized (select symbol, t, t + {known} as known, swing, case when bull >= bear + 2 then 'bullish' when bear >= bull + 2 then 'bearish' else 'neutral' end as regime, case when cx < 24 then 'unknown' when sx > 1.5 * ax then 'expanded' when sx < 0.75 * ax then 'compressed' else 'normal' end as volatility
+            from (select *, (c > e20 and e20 > e50)::int * 2 + (e20 > e50 and e50 > e200)::int + (swing = 'HH_HL')::int * 2 as bull, (c < e20 and e20 < e50)::int * 2 + (e20 < e50 and e50 < e200)::int + (swing = 'LH_LL')::int * 2 as bear,
+                count(x) over w as cx, stddev_pop(x) over w as sx, avg(abs(x)) over w as ax from {name}_w window w as (partition by symbol order by t rows between 23 preceding and current row)))"""
+
+
+def _context_sql(columns: str) -> str:
+    parts = [f"bars_ as materialized ({bars_sql(60)})", _state_sql("b0", "select * from bars_", 3600)]
+    joins = ""
+    for label, m in REGIME_PARENTS.items():
+        bars = f"select symbol, t // {60 * m} * {60 * m} as t, first(o order by t) as o, max(h) as h, min(l) as l, last(c order by t) as c, sum(v) as v from bars_ group by symbol, t // {60 * m} having count(*) >= {m // 60}"
+        parts.append(_state_sql(f"q{label}", bars, 60 * m))
+        joins += f" asof left join q{label}_r on q{label}_r.symbol = b0_r.symbol and b0_r.known >= q{label}_r.known"
+    of = {label: f"nullif(q{label}_r.regime, 'neutral')" for label in REGIME_PARENTS}
+    return f"""with recursive {", ".join(parts)}, j as (select b0_r.*, coalesce({of["4h"]}, {of["1d"]}) as near, coalesce({of["1d"]}, {of["4h"]}, 'unknown') as parent_regime from b0_r {joins}),
+        z as (select *, case when regime <> 'neutral' or near is null then regime when near = 'bullish' then 'transition_up' else 'transition_down' end as in_context, coalesce(near <> regime and regime <> 'neutral', false) as countertrend from j),
+        y as (select *, lag(regime) over (partition by symbol order by t) as prior,
+            case when (parent_regime = 'bullish' and in_context in ('bearish', 'transition_down')) or (parent_regime = 'bearish' and in_context in ('bullish', 'transition_up')) then 'relief' when parent_regime <> 'unknown' then 'inside_parent' else '' end as reading from z)
+        {columns}"""
+
+
+ORACLES |= {
+    "r1_timeframe_state": _context_sql("select symbol, t, regime, swing, volatility from y"),
+    "r2_r3_r4_parent_context": _context_sql("select symbol, t, in_context, countertrend, parent_regime, reading from y"),
+    "r6_parent_child": _context_sql("select symbol, t, case when parent_regime in ('bullish', 'bearish') and parent_regime <> in_context then 'child_' || in_context || '_inside_parent_' || parent_regime else 'aligned_' || parent_regime end as reading from y"),
+    "t8_transitions": _context_sql("select symbol, t, prior as old_regime, regime as new_regime from y where prior <> regime"),
+    "r5_regime_scores": _context_sql("""select symbol, t, round(raw, 6) as raw, case when state in ('bullish', 'bearish') and parent_regime in ('bullish', 'bearish') and state <> parent_regime then case state when 'bullish' then 'transition_up' else 'transition_down' end else state end as state
+        from (select *, case when raw >= 0.35 then 'bullish' when raw <= -0.35 then 'bearish' when prior = 'bullish' then 'transition_down' when prior = 'bearish' then 'transition_up' else 'neutral' end as state
+            from (select *, 0.3::double * case regime when 'bullish' then 1 when 'bearish' then -1 else 0 end + 0.25::double * case swing when 'HH_HL' then 1 when 'LH_LL' then -1 else 0 end + 0.15::double * case volatility when 'expanded' then 1 when 'compressed' then -1 else 0 end + 0.2::double * case parent_regime when 'bullish' then 0.7 when 'bearish' then -0.7 else 0 end::double as raw from y))"""),
+    "s6_manifest": f"""with d as (select symbol, t // 86400 as day, count(*) as n, min(t) as a, max(t) as b, sha256(string_agg(printf('%d|%.8f|%.8f|%.8f|%.8f|%.8f', t, o, h, l, c, v), chr(10) order by t)) as sha from ({bars_sql()}) group by 1, 2)
+        select symbol, sum(n)::bigint as bars, min(a) as first_t, max(b) as last_t, sha256(string_agg(sha, chr(10) order by day)) as sha256 from d group by 1""",
+}
