@@ -13,11 +13,11 @@ class ImmutableConflict(ValueError):
 def new_rows(stored: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
     """Rows whose key is not stored, once each; the same row again is no change, other values under a stored key are an error."""
     values = [c for c in incoming.columns if c not in key]
-    sign = F.xxhash64(*values)
-    seen = stored.select(*key, sign.alias("_old"))
+    sign = F.struct(*values)
+    seen = stored.select(*key, sign.alias("_old"), F.lit(True).alias("_there"))
     fresh = incoming.withColumn("_new", sign)
     clash = fresh.groupBy(*key).agg(F.min("_new").alias("_lo"), F.max("_new").alias("_hi")).join(seen, key, "left")
-    if not clash.where("_lo <> _hi or _lo <> _old").isEmpty():
+    if not clash.where("not (_lo <=> _hi) or (_there and not (_lo <=> _old))").isEmpty():
         raise ImmutableConflict(f"values differ under a key of {key}")
     return fresh.drop("_new").join(seen, key, "left_anti").dropDuplicates(key)
 

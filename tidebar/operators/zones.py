@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .recurrences import atr
+from .recurrences import atr, with_recurrences
 
 
 def zigzag(t, h, l, thresholds):  # noqa: E741
@@ -104,15 +104,15 @@ class Zone:
 
 def zone_events(bars: DataFrame, zones: DataFrame) -> DataFrame:
     """State changes of zones (symbol, zone_id, lower, upper, role, known_t) over the bars from known_t on; a zone is a group of its own."""
-    joined = bars.join(zones, "symbol").where("t >= known_t")
+    # the true range is averaged once over the whole series, so a zone's first bars have it too
+    joined = with_recurrences(bars).select(*bars.columns, "atr14").join(zones, "symbol").where("t >= known_t")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
-        a = atr(pdf["h"].to_numpy(), pdf["l"].to_numpy(), pdf["c"].to_numpy())
         first, rows = pdf.iloc[0], []
         zone = Zone(first["lower"], first["upper"], first["role"], first["c"])
-        for r, x in zip(pdf.itertuples(), a, strict=True):
-            if zone.step(r.h, r.l, r.c, x if x == x else None):
+        for r, x in zip(pdf.itertuples(), pdf["atr14"], strict=True):
+            if zone.step(r.h, r.l, r.c, None if pd.isna(x) else x):
                 rows.append((r.symbol, r.zone_id, r.t, zone.state, zone.tests))
         return pd.DataFrame(rows, columns=["symbol", "zone_id", "t", "state", "tests"])
 

@@ -14,7 +14,10 @@ def bars_from_events(spark: SparkSession, sf_dir: str, minutes: int = 240) -> Da
     """symbol, t, o, h, l, c, v: one partially aggregated shuffle on (symbol, t)."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "ts", "event_id", "value")
     width = 60 * minutes
-    t = (F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / width) * width).cast("long").alias("t")
+    # a time without a zone is read as UTC, whatever the session's zone
+    zoneless = dict(events.dtypes)["ts"] == "timestamp_ntz"
+    seconds = F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts)") if zoneless else F.unix_timestamp(F.col("ts").cast("timestamp"))
+    t = (F.floor(seconds / width) * width).cast("long").alias("t")
     order = F.struct("ts", "event_id")
     return events.groupBy(F.col("event_type").alias("symbol"), t).agg(
         F.min_by("value", order).alias("o"), F.max("value").alias("h"), F.min("value").alias("l"), F.max_by("value", order).alias("c"), F.count("*").cast("double").alias("v")
