@@ -42,7 +42,6 @@ PLANS = {
     "j2_exact_grid": "select a.symbol, a.t, round(a.c - b.c, 6) as move3 from {bars} a left join {bars} b on b.symbol = a.symbol and b.t = a.t - 43200",
     "x1_move_class": f"select other, t, case when ar is null or br is null then 'unknown' when abs(ar) < 0.001 and abs(br) < 0.001 then 'quiet' when ar > 0 and br > 0 then 'synchronized_breakout' when ar < 0 and br < 0 then 'synchronized_breakdown' else 'decoupled' end as move from ({_PRET}) q",
     "x2_pair_state": f"select other, t, round(ar - br, 8) as strength1, round(case when ac > 0 and bc > 0 and lag(ac, 24) over s > 0 and lag(bc, 24) over s > 0 then ln(ac / lag(ac, 24) over s) - ln(bc / lag(bc, 24) over s) end, 8) as strength24 from ({_PRET}) q window s as (partition by other order by t)",
-    "x3_vol_regime": f"select symbol, t, case when pv is null or pv = 0 or sv is null then 'unknown' when sv > 1.5 * pv then 'expanding' when sv < 0.75 * pv then 'contracting' else 'normal' end as vol_regime from (select symbol, t, sv, lag(sv, 24) over (partition by symbol order by t) as pv from (select symbol, t, case when count(r) over w = 24 then stddev_pop(r) over w end as sv from ({_RET}) q window w as (partition by symbol order by t rows between 23 preceding and current row)) a) b",
     "m1_drift": f"select symbol, t, round(d, 8) as drift from ({_DRIFT}) q",
     "m2_baseline_forecast": f"select symbol, t, h, round(d * h, 8) as expected from ({_DRIFT}) q cross join (select explode_(1, 10) as h) k where d is not null",
     "e2_brier": f"select symbol, h, round(avg((p - y) * (p - y)), 8) as brier from ({_PROB}) q group by symbol, h",
@@ -65,7 +64,6 @@ PLANS = {
     "h1_continuation": f"select symbol, h1, h2, l1, l2, case when h1 > h2 and l1 > l2 then 'bull_continuation' when h1 < h2 and l1 < l2 then 'bear_continuation' else 'none' end as pattern from (select symbol, round(max(case when kind = 'high' and k = 1 then price end), 6) as h1, round(max(case when kind = 'high' and k = 2 then price end), 6) as h2, round(max(case when kind = 'low' and k = 1 then price end), 6) as l1, round(max(case when kind = 'low' and k = 2 then price end), 6) as l2 from (select *, row_number() over (partition by symbol, kind order by t desc) as k from ({_PIVOTS}) q) z group by symbol) y",
     "h2_flag_impulse": f"select symbol, t as impulse_t, round(move, 6) as impulse from (select *, row_number() over (partition by symbol order by abs(move) desc, t) as k from (select symbol, t, price - lag(price) over (partition by symbol order by t, kind) as move from ({_PIVOTS}) q) z where move is not null) y where k = 1",
     "h8_alternating_six": f"select symbol, count(*) as pivots, sum(case when kind <> pk or pk is null then 1 else 0 end) as alternating from (select symbol, kind, lag(kind) over (partition by symbol order by t, kind) as pk, row_number() over (partition by symbol order by t desc, kind desc) as k from ({_PIVOTS}) q) z where k <= 6 group by symbol",
-    "h6_level_resolution": "select symbol, t, case when nxt is null then 'open' when nxt > lvl then 'accepted' else 'failed_breakout' end as resolution from (select symbol, t, c, lvl, lag(c) over (partition by symbol order by t) as prev, lead(c) over (partition by symbol order by t) as nxt from (select symbol, t, c, avg(c) over (partition by symbol order by t rows between unbounded preceding and 1 preceding) as lvl from {bars}) a) b where prev <= lvl and c > lvl",
     "j5_matured_scores": f"select symbol, h, count(*) as n, case when count(*) >= 8 then round(avg(abs(y - p)), 8) end as mae, case when count(*) >= 8 then round(sqrt(avg((y - p) * (y - p))), 8) end as rmse from ({_SCORED}) q where origin = 1 and t + (h + 1) * 14400 <= 1705968000 group by symbol, h",
     "k20_simple_returns": f"select symbol, t, h, round(exp(d * h) - 1, 8) as simple_return from ({_DRIFT}) q cross join (select explode_(1, 10) as h) k where d is not null",
     "m4_in_sample_drift": f"select symbol, t, case when count(r) over w = 20 then round(avg(r) over w, 8) end as drift from ({_RET}) q window w as (partition by symbol order by t rows between 19 preceding and current row)",

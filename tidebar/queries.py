@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import features, forecasts, regimes, swings
+from .operators import features, forecasts, integrity, journal, regimes, rules, swings
 from .operators.asof import asof_attach
-from .operators.clusters import zone_clusters
+from .operators.clusters import memberships, specs_at_formation, specs_now, zone_clusters
+from .operators.cross_market import cross_market, series_states
 from .operators.features import feature_history
 from .operators.recurrences import with_recurrences
-from .operators.resample import resample
+from .operators.resample import resample, visible
 from .operators.ridge import quantile_forecast, walk_forward
 from .operators.store import new_rows, sync_counts
 from .operators.zones import zigzag_pivots, zone_events
 from .plans import bar_plans
 from .sources.bars import bars_from_events, bars_sql
 from .sources.fixture import breakout_bars
+from .streaming.bars import sessions, sliding_bars
 
 BASE, PARENT = 240, 1440
 
@@ -196,12 +198,189 @@ def t8_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s6_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By symbol: bars, first and last time, and a SHA-256 over the days' SHA-256 of their ordered payloads, so that no series is one task's text."""
-    bars = bars_from_events(spark, sf_dir).withColumn("day", F.expr("t div 86400"))
-    payload = F.concat_ws("|", F.col("t").cast("string"), *[F.format_string("%.8f", F.col(c)) for c in "ohlcv"])
-    lined = lambda order, value: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("at"), value.alias("x")))), lambda r: r["x"]), "\n")
-    days = bars.groupBy("symbol", "day").agg(F.count("*").alias("n"), F.min("t").alias("a"), F.max("t").alias("b"), F.sha2(lined(F.col("t"), payload), 256).alias("sha"))
-    return days.groupBy("symbol").agg(F.sum("n").alias("bars"), F.min("a").alias("first_t"), F.max("b").alias("last_t"), F.sha2(lined(F.col("day"), F.col("sha")), 256).alias("sha256"))
+    return integrity.manifest(bars_from_events(spark, sf_dir))
+
+
+def f17_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bars' manifest against that of bars of which one symbol's highs were moved."""
+    bars = bars_from_events(spark, sf_dir)
+    return integrity.verified(bars, integrity.manifest(bars.withColumn("h", F.when(F.col("symbol") == "view", F.col("h") + 1).otherwise(F.col("h")))))
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars as an input might give them: some left out, some twice, some late by a minute, some without a time, some with impossible values."""
+    n = F.expr("t div 3600")
+    bars = bars_from_events(spark, sf_dir, 60).withColumn("n", n).where("n % 17 <> 3")
+    twice = bars.where("n % 11 = 5").withColumn("c", F.when(F.col("n") % 2 == 0, F.col("c") + 1).otherwise(F.col("c")))
+    both = bars.withColumn("again", F.lit(0)).unionByName(twice.withColumn("again", F.lit(1)))
+    both = both.withColumn("i", 2 * F.col("n") + F.col("again")).withColumn("h", F.when(F.col("n") % 13 == 1, F.col("l") - 1).otherwise(F.col("h")))
+    both = both.withColumn("v", F.when(F.col("n") % 19 == 2, F.lit(float("nan"))).when(F.col("n") % 23 == 4, -1.0).otherwise(F.col("v"))).withColumn("o", F.when(F.col("n") % 29 != 6, F.col("o")))
+    t = F.when(F.col("n") % 31 == 7, None).when(F.col("n") % 37 == 8, F.col("t") + 60).otherwise(F.col("t"))
+    return both.select("symbol", "i", t.alias("t"), *"ohlcv")
+
+
+def f15_integrity_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integrity.issues(_records(spark, sf_dir), 60).select("symbol", "kind", "t", "detail", "i")
+
+
+def f16_integrity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integrity.report(_records(spark, sf_dir), 60)
+
+
+def f19_last_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integrity.last_prints(_records(spark, sf_dir)).select("symbol", "t", "i", "c")
+
+
+def x6_cross_market(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All series against two references, one of them also against the other, and a series that stands for the ratio."""
+    out = cross_market(bars_from_events(spark, sf_dir), "click", "view", BASE, "signup")
+    return _rounded(out.withColumn("evidence", F.array_join("evidence", ",")))
+
+
+def x3_vol_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(series_states(bars_from_events(spark, sf_dir), BASE).select("symbol", "t", "vol", "volatility"))
+
+
+def _forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A journal with a forecast at every third bar from the 21st on."""
+    rows = forecasts.drifts(bars_from_events(spark, sf_dir)).where("n % 3 = 0 and n >= 21")
+    known = F.col("t") + 60 * BASE
+    return rows.select("symbol", F.concat_ws(":", "symbol", known.cast("string")).alias("forecast_id"), known.alias("forecasted_at"), F.col("c").alias("origin_close"), "drift", "n")
+
+
+def m13_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes known after three weeks, but for those of the first horizon, which are stored."""
+    made = _forecasts(spark, sf_dir)
+    stored = made.select("forecast_id", F.lit(1).alias("h"))
+    return _rounded(journal.matured(made, bars_from_events(spark, sf_dir), BASE, 1705881600, stored))
+
+
+def _journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.col("h")
+    rows = _forecasts(spark, sf_dir).select("*", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("h")).withColumn("point", F.col("drift") * h)
+    source = F.when(F.col("n") % 2 == 0, "live").otherwise("fixture")
+    return rows.select("symbol", "forecast_id", "forecasted_at", source.alias("source"), "h", F.when(F.col("n") % 4 != 1, F.lit(0.5) + h / 100).alias("p"), (F.col("point") - 0.6).alias("q10"), (F.col("point") + 0.6).alias("q90"), "point")
+
+
+def m14_journal_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcomes = journal.matured(_forecasts(spark, sf_dir), bars_from_events(spark, sf_dir), BASE)
+    return _rounded(journal.scores(_journal(spark, sf_dir), outcomes, 1706140800))
+
+
+def q9_catch_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(journal.catch_up(bars_from_events(spark, sf_dir), _forecasts(spark, sf_dir), BASE))
+
+
+def e9_merged_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    walk = m6_gated_walk_forward(spark, sf_dir).select("symbol", "h", "drift_mae", "drift_rmse", "gated_mae")
+    walk = walk.join(m11_probability_scores(spark, sf_dir).select("symbol", "h", "brier", "ece", "coverage"), ["symbol", "h"], "left")
+    outcomes = journal.matured(_forecasts(spark, sf_dir), bars_from_events(spark, sf_dir), BASE)
+    kept = journal.scores(_journal(spark, sf_dir).where("symbol <> 'view'"), outcomes, 1706140800)
+    return _rounded(journal.merged_scores(kept, walk))
+
+
+def e11_inspected_horizons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The journal's horizons with some left out, twice, crossed, outside or without a number."""
+    n = F.expr("forecasted_at div 14400")
+    rows = _journal(spark, sf_dir).where(~((F.col("h") == 4) & (n % 5 == 1))).withColumn("i", F.col("h")).withColumn("q50", F.when((F.col("h") == 2) & (n % 3 == 1), F.col("q90") + 1).otherwise(F.col("point")))
+    rows = rows.withColumn("p", F.when((F.col("h") == 3) & (n % 7 == 2), 1.5).otherwise(F.col("p"))).withColumn("expected", F.when(~((F.col("h") == 5) & (n % 4 == 2)), F.col("point")))
+    odd = rows.where("h = 10").select(*[c for c in rows.columns if c != "h"], F.when(n % 2 == 0, 11).otherwise(10).alias("h")).withColumn("i", F.lit(20))
+    return journal.inspected(rows.unionByName(odd)).withColumn("issues", F.array_join("issues", ","))
+
+
+def p8_specs_at_formation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(specs_at_formation(_pivots(spark, sf_dir), bars_from_events(spark, sf_dir)))
+
+
+def p9_specs_now(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bands of the clusters at the last close, widened by a range of 40 for every symbol."""
+    bars = bars_from_events(spark, sf_dir)
+    closes = bars.groupBy("symbol").agg(F.max_by("c", "t").alias("c"))
+    return _rounded(specs_now(zone_clusters(_pivots(spark, sf_dir), closes), closes.select("symbol", F.lit(40.0).alias("atr"))))
+
+
+def j11_pivot_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(memberships(_pivots(spark, sf_dir)))
+
+
+def _first_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each symbol's first pivot's price, and the bar at which it is known."""
+    first = F.min_by(F.struct("price", "known_t"), F.struct("known_t", "kind"))
+    return _pivots(spark, sf_dir).groupBy("symbol").agg(first.alias("p")).select("symbol", F.col("p.price").alias("level"), F.col("p.known_t").alias("known_t"))
+
+
+def h6_level_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What came of each symbol's first pivot's level, by the bars from the time it was known."""
+    levels = _first_levels(spark, sf_dir)
+    bars = bars_from_events(spark, sf_dir).join(levels.select("symbol", "known_t"), "symbol").where("t >= known_t")
+    return _rounded(rules.level_resolutions(bars, levels))
+
+
+def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule of each kind at each symbol's first level."""
+    kinds = ("close_above", "close_below", "high_above", "low_below", "range_expansion", "pivot_high_above", "pivot_low_below")
+    rows = _first_levels(spark, sf_dir).select("symbol", F.round("level", 2).alias("price"), F.explode(F.array(*map(F.lit, kinds))).alias("kind"))
+    return rows.select("symbol", F.concat_ws("-", "symbol", "kind").alias("id"), "kind", "price", F.lit("4h").alias("timeframe"), F.lit("first level").alias("description"))
+
+
+def h12_rule_firings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pivots = _pivots(spark, sf_dir).select("symbol", "known_t", F.col("kind").alias("pivot_kind"), F.col("price").alias("pivot_price"))
+    return rules.firings(_rules(spark, sf_dir), bars_from_events(spark, sf_dir).withColumn("timeframe", F.lit("4h")), pivots)
+
+
+def h15_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.fingerprints(_rules(spark, sf_dir)).select("id", "fingerprint")
+
+
+def h11_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bar's direction against its parents' regime, and the status by the bars of the last eight that rose and fell."""
+    s = Window.partitionBy("symbol").orderBy("t").rowsBetween(-7, 0)
+    bars = bars_from_events(spark, sf_dir, 60).select("symbol", "t", F.count(F.when(F.col("c") > F.col("o"), 1)).over(s).alias("up"), F.count(F.when(F.col("c") < F.col("o"), 1)).over(s).alias("down"))
+    rows = _states(spark, sf_dir).select("symbol", "t", "regime", "parent_regime").join(bars, ["symbol", "t"])
+    direction = F.when(F.col("regime") == "bullish", "bull").when(F.col("regime") == "bearish", "bear").otherwise("neutral")
+    kind = F.when(F.col("t") % 7200 == 0, "flag").otherwise("five_waves")
+    return rows.select("symbol", "t", rules.regime_relation(direction, F.col("parent_regime")).alias("relation"), rules.status(kind, F.col("up"), F.col("down"), ("five_waves",)).alias("status"))
+
+
+def a10_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When the last hourly bar and the last complete parents of each symbol were known at a time, and the parents' open times."""
+    return availability(bars_from_events(spark, sf_dir, 60), 60, {"4h": 240, "1d": 1440}, 1705276800)
+
+
+def availability(bars: DataFrame, minutes: int, parents: dict[str, int], as_of: int) -> DataFrame:
+    seen = visible(bars, minutes, as_of)
+    out = seen.groupBy("symbol").agg((F.max("t") + 60 * minutes).alias("base_known_at"))
+    for label, m in parents.items():
+        last = visible(resample(seen, minutes, m), m, as_of).groupBy("symbol").agg(F.max("t").alias(f"last_open_{label}"))
+        out = out.join(last, "symbol", "left").withColumn(f"known_at_{label}", F.col(f"last_open_{label}") + 60 * m)
+    return out
+
+
+#: The short names of the model's 18 inputs: own timeframe, its parents from short to long, companions.
+MODEL_OWN, MODEL_CROSS = ("logret_1", "logret_3", "logret_12", "logret_24", "realized_vol_24", "atr14_pct", "rsi14_centered", "ema20_dist", "ema50_dist", "ema_stack_score"), ("logret_1", "logret_12")
+
+
+def model_names(base: str = "5m", parents: tuple[str, ...] = ("15m", "1h", "4h", "1d")) -> list[str]:
+    return [f"avax_{base}_{n}" for n in MODEL_OWN] + [f"avax_{p}_logret_1" for p in parents] + [f"btc_{base}_{n}" for n in MODEL_CROSS] + ["rel_avax_btc_logret_12", "rel_avax_btc_corr_24"]
+
+
+def a8_model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature history's 18 model inputs; what is null or not finite is 0."""
+    history = feature_history(bars_from_events(spark, sf_dir, 60), 60, PARENTS, COMPANIONS, SYMBOLS, "avax", "1h")
+    sound = lambda c: F.when(F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf")), 0.0).otherwise(F.col(c))
+    return _rounded(history.select("symbol", "t", *[sound(c).alias(c) for c in model_names("1h", tuple(PARENTS))]))
+
+
+def w1_sliding_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sliding_bars(_events(spark, sf_dir), 240, 60)
+
+
+def w2_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions(_events(spark, sf_dir), 60)
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
 
 
 def _pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,6 +435,8 @@ def _rounded(df: DataFrame) -> DataFrame:
 _OWN = (p4_zone_clusters, m8_quantile_forecast, m12_walk_forward_ridge, a6_feature_history, s3_immutable_insert, q5_sync_counts, s4_bars, f6_resample, f12_gaps, k1_k2_k3_recurrences, j3_asof_parent, flagship_bar_state, p2_zigzag, p11_zone_lifecycle)
 _OWN += (r1_timeframe_state, r2_r3_r4_parent_context, r5_regime_scores, r6_parent_child, t8_transitions, s6_manifest)
 _OWN += (m3_walk_forward_mae, m5_gated_drift, m6_gated_walk_forward, m10_signed_probability, m11_probability_scores, e3_pinball, e4_coverage, s12_fixture, b2_b3_swing_anchors, b4_measured_moves, b5_fib_levels, p5_zone_ids, p10_plateaus, p12_band_position)
+_OWN += (f15_integrity_issues, f16_integrity_report, f17_verified, f19_last_prints, x3_vol_regime, x6_cross_market, m13_outcomes, m14_journal_scores, q9_catch_up, e9_merged_scores, e11_inspected_horizons)
+_OWN += (p8_specs_at_formation, p9_specs_now, j11_pivot_zones, h6_level_resolution, h11_relations, h12_rule_firings, h15_fingerprints, a8_model_rows, a10_availability, w1_sliding_bars, w2_sessions)
 QUERIES = {name: _plan(name) for name in bar_plans.PLANS} | {f.__name__: f for f in (*_OWN, m15_walk_windows)}
 
 _A = {s: f"({2 / (s + 1)!r})::double" for s in (9, 20, 200)}
@@ -463,3 +644,102 @@ ORACLES |= {
     "s6_manifest": f"""with d as (select symbol, t // 86400 as day, count(*) as n, min(t) as a, max(t) as b, sha256(string_agg(printf('%d|%.8f|%.8f|%.8f|%.8f|%.8f', t, o, h, l, c, v), chr(10) order by t)) as sha from ({bars_sql()}) group by 1, 2)
         select symbol, sum(n)::bigint as bars, min(a) as first_t, max(b) as last_t, sha256(string_agg(sha, chr(10) order by day)) as sha256 from d group by 1""",
 }
+
+#: Records as an input might give them, in SQL.
+_RECORDS = f"""select symbol, 2 * n + again as i, case when n % 31 = 7 then null when n % 37 = 8 then t + 60 else t end as t, case when n % 29 <> 6 then o end as o, case when n % 13 = 1 then l - 1 else h end as h, l,
+        c + case when again = 1 and n % 2 = 0 then 1 else 0 end as c, case when n % 19 = 2 then 'nan'::double when n % 23 = 4 then -1 else v end as v
+        from (select *, t // 3600 as n, unnest(case when (t // 3600) % 11 = 5 then [0, 1] else [0] end) as again from ({bars_sql(60)})) where n % 17 <> 3"""
+_ISSUES = f"""with r as materialized ({_RECORDS}), w as (select symbol, ceil(min(t) / 3600.0)::bigint * 3600 as a, floor(max(t) / 3600.0)::bigint * 3600 as b from r group by 1),
+        x as (select symbol, 'gap' as kind, t, 'record missing open_time' as detail, i, 0 as part, i as place from r where t is null
+            union all select symbol, 'unaligned', t, 'open_time is not on the grid', i, 0, i from r where t % 3600 <> 0
+            union all select symbol, 'gap', g, 'missing closed bar on the grid', null, 1, g from (select symbol, unnest(generate_series(a, b, 3600)) as g from w) k where not exists (select 1 from r where r.symbol = k.symbol and r.t = k.g)
+            union all select symbol, 'duplicate', t, 'open_time appears ' || count(*) || ' times' || case when count(distinct (o, h, l, c, v)::varchar) > 1 then ' with conflicting payloads' else '' end, min(i), 2, min(i) from r where t is not null group by symbol, t having count(*) > 1
+            union all select symbol, 'ohlc_violation', t, detail, i, 3, i from (select symbol, t, i, concat_ws('; ', case when o is null then 'missing open' end, case when isnan(v) then 'non-finite volume' end, case when h < l then 'high < low' end and_o,
+                case when o is not null and h < greatest(o, c) then 'high below max(open, close)' end, case when o is not null and l > least(o, c) then 'low above min(open, close)' end, case when v < 0 then 'volume is negative' end) as detail from r) z where detail <> '')
+        """.replace("case when h < l then 'high < low' end and_o", "case when o is not null and h < l then 'high < low' end")
+#: Each series' states on the grid by joins of every bar with the bars at exact distances.
+_STATES = f"""b as materialized ({bars_sql()}), s1 as materialized (select b.symbol, b.t, b.c, p.c as c1, case when b.c > 0 and p.c > 0 then ln(b.c / p.c) end as r, case when b.c > 0 and w.c > 0 then ln(b.c / w.c) end as rw
+            from b left join b p on p.symbol = b.symbol and p.t = b.t - 14400 left join b w on w.symbol = b.symbol and w.t = b.t - 345600),
+        s2 as materialized (select a.symbol, a.t, any_value(a.c1) as c1, any_value(a.r) as r, any_value(a.rw) as rw, count(x.r) = 24 as complete, case when count(x.r) = 24 then stddev_pop(x.r) end as vol
+            from s1 a join s1 x on x.symbol = a.symbol and x.t between a.t - 331200 and a.t group by 1, 2),
+        s as materialized (select s2.*, z.vol as base from s2 left join s2 z on z.symbol = s2.symbol and z.t = s2.t - 345600),
+        st as (select *, case when vol is null or base is null or base = 0 then 'unknown' when vol > base * 1.5 then 'expanded' when vol < base * 0.75 then 'compressed' else 'normal' end as volatility,
+            case when rw is null then 'unknown' when rw > 0.005 then 'bullish' when rw < -0.005 then 'bearish' else 'neutral' end as regime from s)"""
+_PAIR_STATES = _STATES + """, k as (select f.symbol as focal, v.name as reference, f.t, f.c1 as fc1, r.c1 as rc1, f.r as fr, r.r as rr, f.rw - r.rw as strength_window, f.complete and r.complete as complete, r.symbol is not null as there
+            from s f join (values ('click'), ('view')) v(name) on f.symbol <> v.name left join s r on r.symbol = v.name and r.t = f.t),
+        cv as (select k.focal, k.reference, k.t, var_pop(x.fr) as vf, var_pop(x.rr) as vr, covar_pop(x.fr, x.rr) as cov from k join k x on x.focal = k.focal and x.reference = k.reference and x.t between k.t - 331200 and k.t where k.complete group by 1, 2, 3),
+        m as (select *, case when there then case when fc1 is null or rc1 is null then 'missing_prior_aligned_candle' when fr is null or rr is null then 'non_positive_close' end else 'missing_aligned_candle' end as bar, case when fc1 is not null and rc1 is not null then fr end as a, case when fc1 is not null and rc1 is not null then rr end as b,
+            case when vf > 0 and vr > 0 then cov / sqrt(vf * vr) end as corr, case when vr > 0 then cov / vr end as beta from k left join cv using (focal, reference, t)),
+        mm as (select *, a - b as strength, case when a is null or b is null then 'unknown' when least(abs(a), abs(b)) < 0.001 then 'quiet' when a > 0 and b > 0 then 'synchronized_breakout' when a < 0 and b < 0 then 'synchronized_breakdown' else 'decoupled' end as moved,
+            case when there then case when complete is distinct from true then 'gap_or_short_window' when corr is null or beta is null then 'undefined_corr_or_beta' end end as wide from m),
+        ps as materialized (select *, case when bar is not null then 'unknown' when wide is not null then 'degraded' else 'valid' end as health,
+            concat_ws(',', bar, wide, case when moved not in ('unknown', 'quiet') then focal || '_' || reference || '_' || moved end, case when abs(strength) >= 0.001 then 'relative_strength_nonzero' end) as evidence from mm)"""
+_CROSS = ", ".join(f"coalesce({p}.health, 'unknown') as {n}_health, coalesce({p}.moved, 'unknown') as {n}_move, " + ", ".join(f"round({p}.{c}, 6) as {n}_{c}" for c in ("strength", "strength_window", "corr", "beta")) for p, n in (("f", "first"), ("g", "second"), ("e", "between")))
+_JOURNALED = f"""d as materialized ({_DRIFTED}), f as materialized (select symbol, symbol || ':' || (t + 14400) as forecast_id, t + 14400 as forecasted_at, c as origin_close, drift, n from d where n % 3 = 0 and n >= 21),
+        y as materialized (select f.symbol, f.forecast_id, f.forecasted_at, f.n, h::int as h, x.t + 14400 as matured_at, ln(x.c / f.origin_close) as realized, x.c > f.origin_close as above, x.c as realized_close
+            from f cross join (select unnest(range(1, 11)) as h) join d x on x.symbol = f.symbol and x.n = f.n + h where x.c > 0 and f.origin_close > 0),
+        hz as materialized (select symbol, forecast_id, forecasted_at, n, h::int as h, case when n % 2 = 0 then 'live' else 'fixture' end as source, case when n % 4 <> 1 then 0.5::double + h / 100 end as p, drift * h - 0.6 as q10, drift * h + 0.6 as q90, drift * h as point from f cross join (select unnest(range(1, 11)) as h)),
+        j as materialized (select hz.*, realized, case when above then 1.0::double else 0.0::double end as u from hz join y using (symbol, forecast_id, h) where hz.forecasted_at <= 1706140800 and matured_at <= 1706140800)"""
+_ECE = lambda test: f"select symbol, h, sum(k * abs(mp - mu)) / sum(k) as e, sum(k) as k from (select symbol, h, least(4, floor(p * 5)) as bin, count(*) as k, avg(p) as mp, avg(u) as mu from j where p is not null and {test} group by 1, 2, 3) group by 1, 2"
+_JOURNAL_SCORES = _JOURNALED + f""", ea as ({_ECE("true")}), el as ({_ECE("source = 'live'")}),
+        js as materialized (select symbol, h, count(p) as n_p, case when count(p) >= 8 then avg((p - u) * (p - u)) end as brier, case when count(p) >= 15 then any_value(ea.e) end as ece, count(p) filter (source = 'live') as n_live,
+            case when count(p) filter (source = 'live') >= 8 then avg((p - u) * (p - u)) filter (source = 'live') end as live_brier, case when count(p) filter (source = 'live') >= 15 then any_value(el.e) end as live_ece,
+            count(q10) as n_interval, case when count(q10) >= 8 then avg(case when realized between q10 and q90 then 1.0::double else 0.0::double end) end as coverage, count(point) as n_point,
+            case when count(point) >= 8 then avg(abs(realized)) end as zero_mae, case when count(point) >= 8 then sqrt(avg(realized * realized)) end as zero_rmse, case when count(point) >= 8 then avg(abs(realized - point)) end as drift_mae, case when count(point) >= 8 then sqrt(avg((realized - point) * (realized - point))) end as drift_rmse
+            from j left join ea using (symbol, h) left join el using (symbol, h) group by 1, 2)"""
+_JOURNAL_ROUNDED = ", ".join(f"round({c}, 6) as {c}" for c in ("brier", "ece", "live_brier", "live_ece", "coverage", "zero_mae", "zero_rmse", "drift_mae", "drift_rmse"))
+_V = f"v as materialized (select * from ({bar_plans.duck_sql('p1_window_pivots', bars_sql())}))"
+_LEVELS = f"{_V}, lv as materialized (select symbol, price as level, known_t from v qualify row_number() over (partition by symbol order by known_t, kind) = 1)"
+_ZONES = f"z as materialized (select * from ({ORACLES['p4_zone_clusters']}))"
+_RULES = """ru as materialized (select symbol, symbol || '-' || kind as id, kind, round(level, 2) as price from lv, (select unnest(['close_above', 'close_below', 'high_above', 'low_below', 'range_expansion', 'pivot_high_above', 'pivot_low_below']) as kind))"""
+_ID = "substring(sha1(printf('%.8f:%.8f:%s', {0}, {1}, role)), 1, 12) as zone_id"
+ORACLES |= {
+    "f15_integrity_issues": _ISSUES + "select symbol, kind, t, detail, i from x",
+    "f16_integrity_report": _ISSUES + """select r.symbol, coalesce(any_value(n), 0) = 0 as ok, any_value(greatest(0, (b - a) // 3600 + 1))::bigint as expected_slots, count(*) as observed_count, count(distinct t) as unique_open_times, coalesce(any_value(n), 0)::bigint as n_issues, coalesce(any_value(kinds), '') as kinds
+        from r join w using (symbol) left join (select symbol, sum(k) as n, string_agg(kind, ',' order by o) as kinds from (select symbol, kind, count(*) as k, min((part, place)) as o from x group by 1, 2) group by 1) q using (symbol) group by 1""",
+    "f17_verified": f"select distinct symbol, symbol <> 'view' as same from ({bars_sql()})",
+    "f19_last_prints": f"select symbol, t, i, c from ({_RECORDS}) where t is not null qualify row_number() over (partition by symbol, t order by i desc) = 1",
+    "x3_vol_regime": f"with {_STATES} select symbol, t, round(vol, 6) as vol, volatility from st",
+    "x6_cross_market": f"""with {_PAIR_STATES} select f.focal as symbol, f.t, case when f.health = 'unknown' then 'unknown' when f.health = 'degraded' or g.health = 'unknown' then 'degraded' else 'valid' end as health, {_CROSS}, round(n.r, 6) as native_return,
+        coalesce(c.regime, 'unknown') as regime, coalesce(c.volatility, 'unknown') as volatility, round(c.vol, 6) as realized_vol, case when f.moved <> 'unknown' then f.moved = 'synchronized_breakout' end as synchronized_breakout, case when f.moved <> 'unknown' then f.moved = 'synchronized_breakdown' end as synchronized_breakdown,
+        case when f.moved <> 'unknown' then f.moved = 'decoupled' end as decoupled, concat_ws(',', nullif(f.evidence, ''), case when c.t is null then case when f.t >= (select min(t) from b where symbol = 'click') then 'btc_not_aligned_at_eval' else 'missing_btc' end when c.vol is null then 'btc_vol_gap_or_short' when c.base is null or c.base = 0 then 'btc_vol_no_baseline' else 'btc_volatility_' || c.volatility end,
+            case when g.health = 'unknown' then 'eth_unavailable_or_unaligned' end, case when n.r is null then 'native_avaxbtc_unaligned' end, case when c.regime <> 'unknown' then 'btc_regime_' || c.regime end) as evidence
+        from ps f left join ps g on g.focal = f.focal and g.t = f.t and g.reference = 'view' left join ps e on e.focal = 'view' and e.reference = 'click' and e.t = f.t left join st c on c.symbol = 'click' and c.t = f.t left join s n on n.symbol = 'signup' and n.t = f.t
+        where f.reference = 'click' and f.focal not in ('view', 'signup')""",
+    "m13_outcomes": f"with {_JOURNALED} select symbol, forecast_id, h, matured_at, round(realized, 6) as realized, above, round(realized_close, 6) as realized_close from y where h > 1 and matured_at <= 1705881600",
+    "m14_journal_scores": f"with {_JOURNAL_SCORES} select symbol, h, n_p, n_live, n_interval, n_point, {_JOURNAL_ROUNDED} from js",
+    "e9_merged_scores": f"""with {_JOURNAL_SCORES}, k as (select * from js where symbol <> 'view'), w as (select * from ({ORACLES["m6_gated_walk_forward"]}) a left join (select symbol, h, brier, ece, coverage from ({ORACLES["m11_probability_scores"]})) b using (symbol, h))
+        select w.symbol, w.h, round(case when k.brier is null then w.brier else k.brier end, 6) as brier, round(case when k.brier is null then w.ece else k.ece end, 6) as ece, case when k.brier is null then 'walk_forward' else 'journal' end as probability_source,
+            round(coalesce(k.coverage, w.coverage), 6) as coverage, case when k.coverage is null then 'walk_forward' else 'journal' end as interval_source, round(coalesce(k.drift_mae, w.drift_mae), 6) as drift_mae, round(coalesce(k.drift_rmse, w.drift_rmse), 6) as drift_rmse,
+            case when k.drift_mae is null then 'walk_forward' else 'journal' end as drift_source, w.gated_mae, case when k.drift_mae is null then round(w.gated_mae - w.drift_mae, 6) end as gated_minus_drift from w left join k using (symbol, h)""",
+    "q9_catch_up": f"""with {_JOURNALED} select symbol, t + 14400 as forecasted_at, round(c, 6) as origin_close, round(drift, 6) as drift, greatest(0, k - 24)::bigint as remaining from (select *, count(*) over (partition by symbol) as k, row_number() over (partition by symbol order by t) as place
+        from d where last >= 31 and n between 21 and last - 10 and n % 3 <> 0) where place <= 24""",
+    "e11_inspected_horizons": f"""with {_JOURNALED}, g as (select *, forecasted_at // 14400 as k from hz where not (h = 4 and (forecasted_at // 14400) % 5 = 1)),
+        e as (select symbol, forecast_id, h, 0 as odd, case when h = 3 and k % 7 = 2 then 1.5 else p end as p, q10, q90, case when h = 2 and k % 3 = 1 then q90 + 1 else point end as q50, case when h = 5 and k % 4 = 2 then null else point end as expected from g
+            union all select symbol, forecast_id, case when k % 2 = 0 then 11 else 10 end, 1, p, q10, q90, point, point from g where h = 10),
+        o as (select symbol, forecast_id, h, count(*) as copies, first(p order by odd) as p, first(q10 order by odd) as q10, first(q50 order by odd) as q50, first(q90 order by odd) as q90, first(expected order by odd) as expected from e group by 1, 2, 3),
+        a as (select symbol, forecast_id, h::int as h from f cross join (select unnest(range(1, 11)) as h) union select symbol, forecast_id, h from o),
+        i as (select a.*, case when copies is null then 'missing-horizon' when h > 10 then 'horizon-out-of-range' else concat_ws(',', case when copies > 1 then 'duplicate-horizon' end, case when q10 is null then 'missing-quantile' when q10 > q50 or q50 > q90 then 'crossed-quantiles' end, case when expected is null then 'non-finite-expected' end, case when p is null then 'non-finite-probability' when p > 1 then 'probability-out-of-range' end) end as issues from a left join o using (symbol, forecast_id, h))
+        select symbol, forecast_id, h, case when issues = 'missing-horizon' then 'missing' when regexp_matches(issues, 'missing-quantile|crossed|out-of-range$|duplicate') and issues not in ('probability-out-of-range', 'non-finite-expected,probability-out-of-range') then 'rejected' else 'ok' end as status, issues from i""",
+    "p8_specs_at_formation": f"""with {_V}, {_ZONES}, q as (select z.symbol, z.lower, z.upper, any_value(strength) as strength, min(v.t) as created_t, max(v.known_t) as known_t from z join v on v.symbol = z.symbol and v.price between z.lower and z.upper group by 1, 2, 3),
+        k as (select q.*, case when (lower + upper) / 2 < b.c then 'support' when (lower + upper) / 2 > b.c then 'resistance' else 'mixed' end as role from q join ({bars_sql()}) b on b.symbol = q.symbol and b.t = q.known_t)
+        select symbol, lower, upper, role, strength, created_t, known_t, {_ID.format("lower", "upper")} from k""",
+    "p9_specs_now": f"""with {_ZONES}, q as (select *, (lower + upper) / 2 as middle, greatest(abs((lower + upper) / 2) * 0.001, 10.0) as width from z), k as (select symbol, role, strength, case when upper - lower < width then middle - width / 2 else lower end as a, case when upper - lower < width then middle + width / 2 else upper end as b from q)
+        select symbol, round(a, 6) as lower, round(b, 6) as upper, role, strength, {_ID.format("a", "b")} from k""",
+    "j11_pivot_zones": f"with {_V}, {_ZONES} select v.symbol, v.t, v.kind, v.price, z.lower, z.upper from v join z on z.symbol = v.symbol and v.price between z.lower and z.upper",
+    "h6_level_resolution": f"""with {_LEVELS}, b as (select x.*, level, row_number() over (partition by x.symbol order by t) as n, lag(c) over (partition by x.symbol order by t) as before from ({bars_sql()}) x join lv on lv.symbol = x.symbol and x.t >= lv.known_t),
+        a as (select symbol, level, n, t as cross_t, case when c > level then 'above' else 'below' end as side from b where (before <= level and c > level) or (before >= level and c < level) qualify row_number() over (partition by symbol order by n) = 1),
+        o as (select a.symbol, a.level, side, cross_t, a.n, (select min(b.n) from b where b.symbol = a.symbol and b.n > a.n and not (case side when 'above' then b.c > a.level else b.c < a.level end)) as j from a)
+        select a.symbol, round(a.level, 6) as level, side, cross_t, case when j - a.n < 2 then 'failed_breakout' when side = 'below' and exists (select 1 from b p join b q on q.symbol = p.symbol and q.n = p.n + 1 where p.symbol = a.symbol and p.n >= a.j and p.c > a.level and q.c > a.level) then 'successful_reclaim' end as outcome from o a""",
+    "h12_rule_firings": f"""with {_LEVELS}, {_RULES}, m as (select ru.id, b.t from ru join ({bars_sql()}) b using (symbol) where (kind = 'close_above' and c > price) or (kind = 'close_below' and c < price) or (kind = 'high_above' and h > price) or (kind = 'low_below' and l < price) or (kind = 'range_expansion' and h - l >= price)
+        union all select ru.id, v.known_t from ru join v using (symbol) where (ru.kind = 'pivot_high_above' and v.kind = 'high' and v.price > ru.price) or (ru.kind = 'pivot_low_below' and v.kind = 'low' and v.price < ru.price))
+        select symbol, id, kind, count(t) as fires, min(t) as first_t from ru left join m using (id) group by 1, 2, 3""",
+    "h15_fingerprints": f"""with {_LEVELS}, {_RULES} select id, sha256('{{"description":"first level","id":"' || id || '","kind":"' || kind || '","price":' || price || ',"timeframe":"4h"}}') as fingerprint from ru""",
+    "h11_relations": _context_sql(""", c as (select symbol, t, count(*) filter (c > o) over w as up, count(*) filter (c < o) over w as down from bars_ window w as (partition by symbol order by t rows between 7 preceding and current row))
+        select symbol, t, case when parent_regime = 'unknown' then 'unknown' when regime = 'neutral' then 'mixed' when regime = parent_regime then 'aligned' else 'countertrend' end as relation, case when t % 7200 = 0 and up >= 2 and up > down then 'active' else 'candidate' end as status from y join c using (symbol, t)"""),
+    "a10_availability": f"""with b as (select * from ({bars_sql(60)}) where t + 3600 <= 1705276800), p as (select symbol, m, max(t) as t from (select symbol, m, t // m * m as t, count(*) as k from b cross join (values (14400), (86400)) v(m) group by all having count(*) >= m // 3600) where t + m <= 1705276800 group by all)
+        select symbol, max(b.t) + 3600 as base_known_at, (select t from p where p.symbol = b.symbol and m = 14400) as last_open_4h, (select t + m from p where p.symbol = b.symbol and m = 14400) as known_at_4h, (select t from p where p.symbol = b.symbol and m = 86400) as last_open_1d, (select t + m from p where p.symbol = b.symbol and m = 86400) as known_at_1d from b group by symbol""",
+    "a8_model_rows": "select symbol, t, " + ", ".join(f"coalesce({c}, 0) as {c}" for c in model_names("1h", tuple(PARENTS))) + f" from ({_features_sql()})",
+    "w1_sliding_bars": "select event_type as symbol, k as t, first(value order by ts, event_id) as o, max(value) as h, min(value) as l, last(value order by ts, event_id) as c, count(*)::double as v from (select *, unnest([epoch(ts)::bigint // 3600 * 3600 - 3600 * i for i in range(4)]) as k from (select * replace (date_trunc('second', ts) as ts), ts as full_ts from events)) group by 1, 2".replace("order by ts, event_id", "order by full_ts, event_id"),
+    "w2_sessions": "select event_type as symbol, epoch(date_trunc('second', min(ts)))::bigint as t, epoch(date_trunc('second', max(ts)))::bigint + 3600 as ends, count(*) as events from (select *, sum(new) over (partition by event_type order by ts, event_id rows unbounded preceding) as run from (select *, case when ts <= lag(ts) over (partition by event_type order by ts, event_id) + interval 60 minute then 0 else 1 end as new from events)) group by event_type, run",
+}
