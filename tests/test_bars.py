@@ -53,7 +53,7 @@ def test_zigzag_prefixes_agree():
 
 
 def test_zone_accepts_after_two_closes_and_a_wick_never_does():
-    z = Zone(10.0, 11.0, "resistance", 9.0)
+    z = Zone("z", 10.0, 11.0, "resistance")
     z.step(12.0, 9.0, 9.5, 5.0)
     assert z.state == "testing" and z.tests == 1
     z.step(11.6, 10.5, 11.5, 5.0)

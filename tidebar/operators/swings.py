@@ -65,3 +65,25 @@ def plateaus(bars: DataFrame, least: int = 3) -> DataFrame:
     rows = rows.withColumn("new", new).withColumn("run", F.sum("new").over(by)).withColumn("k", F.row_number().over(Window.partitionBy("symbol", "role", "run").orderBy("t")))
     runs = rows.groupBy("symbol", "role", "run").agg(F.first("price").alias("price"), F.min("t").alias("first_t"), F.max(F.when(F.col("k") == least, F.col("t"))).alias("known_t"), F.count("*").alias("bars"))
     return runs.where(F.col("bars") >= least).drop("run")
+
+
+#: The least width of a band relative to its middle, and the timeframes (minutes) whose plateaus are zones.
+LEAST_WIDTH, COARSE = 0.001, 240
+
+
+def widened(zones: DataFrame) -> DataFrame:
+    """zones with edges in order, at least LEAST_WIDTH of their middle apart."""
+    low, high = F.least("lower", "upper"), F.greatest("lower", "upper")
+    middle = (low + high) / 2
+    width = F.greatest(F.abs(F.when(middle == 0, 1.0).otherwise(middle)) * LEAST_WIDTH, F.lit(1e-8))
+    thin = high - low < width
+    return zones.withColumns({"lower": F.when(thin, middle - width / 2).otherwise(low), "upper": F.when(thin, middle + width / 2).otherwise(high)})
+
+
+def plateau_specs(bars: DataFrame, minutes: int, least: int = 3) -> DataFrame:
+    """symbol, lower, upper, role, strength, created_t, known_t, zone_id of plateaus of bars of four hours or more; equal ones are one, as the first of them."""
+    runs = plateaus(bars, least).where(F.lit(minutes >= COARSE))
+    specs = runs.select("symbol", F.col("price").alias("lower"), F.col("price").alias("upper"), "role", F.least(F.lit(1.0), 0.25 + 0.05 * F.col("bars")).alias("strength"), F.col("first_t").alias("created_t"), "known_t")
+    specs = zone_ids(widened(specs))
+    first = F.row_number().over(Window.partitionBy("symbol", "zone_id").orderBy("created_t"))
+    return specs.withColumn("no", first).where("no = 1").drop("no")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from .operators.recurrences import with_recurrences
 from .operators.resample import resample, visible
 from .operators.ridge import quantile_forecast, walk_forward
 from .operators.store import new_rows, sync_counts
-from .operators.zones import zigzag_pivots, zone_events
+from .operators.zones import Policy, tracked_zones, zigzag_pivots, zone_events
 from .plans import bar_plans
 from .sources.bars import bars_from_events, bars_sql
 from .sources.fixture import breakout_bars
@@ -79,13 +81,28 @@ def p2_zigzag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zigzag_pivots(bars_from_events(spark, sf_dir)).withColumn("price", F.round("price", 6))
 
 
-def p11_zone_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Zones of the window pivots, from the close of the confirming bar on."""
+def _pivot_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = bars_from_events(spark, sf_dir)
     pivots = spark.sql(bar_plans.spark_sql("p1_window_pivots"), bars=bars)
     role = F.when(F.col("kind") == "high", "resistance").otherwise("support")
-    zones = pivots.select("symbol", F.concat_ws(":", F.col("t").cast("string"), "kind").alias("zone_id"), (F.col("price") * 0.997).alias("lower"), (F.col("price") * 1.003).alias("upper"), role.alias("role"), F.col("known_close").alias("known_t"))
-    return zone_events(bars, zones)
+    return pivots.select("symbol", F.concat_ws(":", F.col("t").cast("string"), "kind").alias("zone_id"), (F.col("price") * 0.997).alias("lower"), (F.col("price") * 1.003).alias("upper"), role.alias("role"), F.col("known_close").alias("known_t"))
+
+
+def p11_zone_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zones of the window pivots, from the close of the confirming bar on."""
+    return _rounded(zone_events(bars_from_events(spark, sf_dir), _pivot_bands(spark, sf_dir)))
+
+
+def p11_zone_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same zones with each way of acceptance."""
+    bars, zones = bars_from_events(spark, sf_dir), _pivot_bands(spark, sf_dir)
+    modes = [zone_events(bars, zones, Policy(mode=m)).withColumn("mode", F.lit(m)) for m in ("close_count", "atr_distance", "both")]
+    return _rounded(reduce(DataFrame.unionByName, modes))
+
+
+def p14_tracked_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zones of clustered pivots and plateaus after the last bar, from the role of their formation."""
+    return _rounded(tracked_zones(bars_from_events(spark, sf_dir), _pivots(spark, sf_dir), BASE))
 
 
 #: The feature query's hourly bars, parents, and the series that stand for the two companions.
@@ -432,7 +449,7 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-_OWN = (p4_zone_clusters, m8_quantile_forecast, m12_walk_forward_ridge, a6_feature_history, s3_immutable_insert, q5_sync_counts, s4_bars, f6_resample, f12_gaps, k1_k2_k3_recurrences, j3_asof_parent, flagship_bar_state, p2_zigzag, p11_zone_lifecycle)
+_OWN = (p4_zone_clusters, m8_quantile_forecast, m12_walk_forward_ridge, a6_feature_history, s3_immutable_insert, q5_sync_counts, s4_bars, f6_resample, f12_gaps, k1_k2_k3_recurrences, j3_asof_parent, flagship_bar_state, p2_zigzag, p11_zone_lifecycle, p11_zone_modes, p14_tracked_zones)
 _OWN += (r1_timeframe_state, r2_r3_r4_parent_context, r5_regime_scores, r6_parent_child, t8_transitions, s6_manifest)
 _OWN += (m3_walk_forward_mae, m5_gated_drift, m6_gated_walk_forward, m10_signed_probability, m11_probability_scores, e3_pinball, e4_coverage, s12_fixture, b2_b3_swing_anchors, b4_measured_moves, b5_fib_levels, p5_zone_ids, p10_plateaus, p12_band_position)
 _OWN += (f15_integrity_issues, f16_integrity_report, f17_verified, f19_last_prints, x3_vol_regime, x6_cross_market, m13_outcomes, m14_journal_scores, q9_catch_up, e9_merged_scores, e11_inspected_horizons)
@@ -692,6 +709,9 @@ _V = f"v as materialized (select * from ({bar_plans.duck_sql('p1_window_pivots',
 _LEVELS = f"{_V}, lv as materialized (select symbol, price as level, known_t from v qualify row_number() over (partition by symbol order by known_t, kind) = 1)"
 _ZONES = f"z as materialized (select * from ({ORACLES['p4_zone_clusters']}))"
 _RULES = """ru as materialized (select symbol, symbol || '-' || kind as id, kind, round(level, 2) as price from lv, (select unnest(['close_above', 'close_below', 'high_above', 'low_below', 'range_expansion', 'pivot_high_above', 'pivot_low_below']) as kind))"""
+#: {0} (lower, upper, role and more) with bands of a least width and their ids.
+_WIDE = """select * exclude (lower, upper, width), a as lower, b as upper, substring(sha1(printf('%.8f:%.8f:%s', a, b, role)), 1, 12) as zone_id from (select *, case when upper - lower < width then (lower + upper) / 2 - width / 2 else lower end as a,
+    case when upper - lower < width then (lower + upper) / 2 + width / 2 else upper end as b from (select *, greatest(abs((lower + upper) / 2) * 0.001::double, 1e-8) as width from {0}))"""
 _ID = "substring(sha1(printf('%.8f:%.8f:%s', {0}, {1}, role)), 1, 12) as zone_id"
 ORACLES |= {
     "f15_integrity_issues": _ISSUES + "select symbol, kind, t, detail, i from x",
@@ -723,7 +743,7 @@ ORACLES |= {
         select symbol, forecast_id, h, case when issues = 'missing-horizon' then 'missing' when regexp_matches(issues, 'missing-quantile|crossed|out-of-range$|duplicate') and issues not in ('probability-out-of-range', 'non-finite-expected,probability-out-of-range') then 'rejected' else 'ok' end as status, issues from i""",
     "p8_specs_at_formation": f"""with {_V}, {_ZONES}, q as (select z.symbol, z.lower, z.upper, any_value(strength) as strength, min(v.t) as created_t, max(v.known_t) as known_t from z join v on v.symbol = z.symbol and v.price between z.lower and z.upper group by 1, 2, 3),
         k as (select q.*, case when (lower + upper) / 2 < b.c then 'support' when (lower + upper) / 2 > b.c then 'resistance' else 'mixed' end as role from q join ({bars_sql()}) b on b.symbol = q.symbol and b.t = q.known_t)
-        select symbol, lower, upper, role, strength, created_t, known_t, {_ID.format("lower", "upper")} from k""",
+        select symbol, round(lower, 6) as lower, round(upper, 6) as upper, role, strength, created_t, known_t, zone_id from ({_WIDE.format("k")})""",
     "p9_specs_now": f"""with {_ZONES}, q as (select *, (lower + upper) / 2 as middle, greatest(abs((lower + upper) / 2) * 0.001, 10.0) as width from z), k as (select symbol, role, strength, case when upper - lower < width then middle - width / 2 else lower end as a, case when upper - lower < width then middle + width / 2 else upper end as b from q)
         select symbol, round(a, 6) as lower, round(b, 6) as upper, role, strength, {_ID.format("a", "b")} from k""",
     "j11_pivot_zones": f"with {_V}, {_ZONES} select v.symbol, v.t, v.kind, v.price, z.lower, z.upper from v join z on z.symbol = v.symbol and v.price between z.lower and z.upper",
@@ -743,3 +763,71 @@ ORACLES |= {
     "w1_sliding_bars": "select event_type as symbol, k as t, first(value order by ts, event_id) as o, max(value) as h, min(value) as l, last(value order by ts, event_id) as c, count(*)::double as v from (select *, unnest([epoch(ts)::bigint // 3600 * 3600 - 3600 * i for i in range(4)]) as k from (select * replace (date_trunc('second', ts) as ts), ts as full_ts from events)) group by 1, 2".replace("order by ts, event_id", "order by full_ts, event_id"),
     "w2_sessions": "select event_type as symbol, epoch(date_trunc('second', min(ts)))::bigint as t, epoch(date_trunc('second', max(ts)))::bigint + 3600 as ends, count(*) as events from (select *, sum(new) over (partition by event_type order by ts, event_id rows unbounded preceding) as run from (select *, case when ts <= lag(ts) over (partition by event_type order by ts, event_id) + interval 60 minute then 0 else 1 end as new from events)) group by event_type, run",
 }
+
+
+#: Bars with their number and average range, and the zigzag as a recursion over them: the state, and the extreme that a bar confirms.
+_RANGED = _RECURSIVE + ", br as materialized (select b.symbol, b.t, b.n, b.h, b.l, b.c, k.atr14 as a from b join k using (symbol, n))"
+ORACLES["p2_zigzag"] = _RANGED + """,
+    zz as (select symbol, n, 0 as side, t as hi_t, h as hi, t as lo_t, l as lo, null::bigint as t, null::bigint as known_t, null::double as price, null::varchar as kind from br where n = 14
+        union all
+        select symbol, n, case when f then -1 when r then 1 else side end, case when r then now else hi_t end, case when r then h else hi end, case when f then now else lo_t end, case when f then l else lo end,
+            case when f then hi_t when r then lo_t end, case when f or r then now end, case when f then hi when r then lo end, case when f then 'high' when r then 'low' end
+        from (select *, f1 and not (r1 and (hi - l < h - lo or (hi - l = h - lo and hi_t > lo_t))) as f, r1 and not (f1 and (hi - l > h - lo or (hi - l = h - lo and hi_t < lo_t))) as r
+            from (select *, 2 * a > 0 and side >= 0 and hi - l >= 2 * a as f1, 2 * a > 0 and side <= 0 and h - lo >= 2 * a as r1
+                from (select br.symbol, br.n, br.t as now, br.h, br.l, br.a, side, case when side >= 0 and br.h > hi then br.t else hi_t end as hi_t, case when side >= 0 and br.h > hi then br.h else hi end as hi,
+                        case when side <= 0 and br.l < lo then br.t else lo_t end as lo_t, case when side <= 0 and br.l < lo then br.l else lo end as lo from zz join br on br.symbol = zz.symbol and br.n = zz.n + 1))))
+    select symbol, t, known_t, round(price, 6) as price, kind from zz where kind is not null"""
+
+
+def _zones_sql(zones: str, accept: str) -> str:
+    """Ends in zm: every zone at every bar from its opening on. ``zones`` gives symbol, zone_id, lower, upper, role, base, known_t; ``accept`` is what a count k and a distance f make of an acceptance."""
+    rule = lambda side, k, f: f"({side} and ({accept.format(k=k, f=f)}))"
+    return _RANGED + f""",
+        zq as materialized ({zones}),
+        zo as materialized (select zq.*, br.n as n0, role = 'resistance' or (role = 'mixed' and br.c <= (lower + upper) / 2) as up from zq join (select zone_id, zq.symbol, min(br.n) as n from zq join br on br.symbol = zq.symbol and br.t >= zq.known_t group by 1, 2) o on o.symbol = zq.symbol and o.zone_id = zq.zone_id
+            join br on br.symbol = o.symbol and br.n = o.n),
+        zb as materialized (select zo.symbol, zo.zone_id, br.n, br.t, br.c as close, up, case when up then lower else -upper end as near, case when up then upper else -lower end as far, case when up then br.c else -br.c end as y, case when up then br.h else -br.l end as hh, case when up then br.l else -br.h end as ll,
+            case when br.a > 0 then br.a else greatest(abs((lower + upper) / 2) * 0.01::double, 1e-8) end as a, base from zo join br on br.symbol = zo.symbol and br.n >= n0),
+        zm as (select symbol, zone_id, n0 - 1 as n, null::bigint as t, null::varchar as before, 'approaching' as state, 0 as tests, 0 as cb, 0 as co, false as through, null::varchar as outcome, null::varchar as causes, base, null::double as close from zo
+            union all
+            select symbol, zone_id, n, t, was, now, tests + (now = 'testing' and was <> 'testing')::int, cb, co, through,
+                case when now = was then outcome when now = 'reclaimed' then case when up then 'failed_breakout' when through then 'successful_reclaim' else 'failed_breakdown' end
+                    when now in ('accepted', 'retesting') then 'accepted_through' when now = 'retired' then coalesce(outcome, case when through then 'accepted_through' end) when now = 'rejected' then 'held' end,
+                case when now = was then null
+                    when was = 'reclaimed' then 'retired_extended_origin,bounds_frozen'
+                    when was = 'accepted' then case now when 'reclaimed' then 'reclaim_acceptance,' || case when up then 'failed_breakout' else 'successful_reclaim' end when 'retesting' then 'retest_opposite_side' else 'retired_extended_beyond,accepted_through' end
+                    when was = 'retesting' then case when now = 'reclaimed' then 'reclaim_acceptance,successful_reclaim' when accept then 'retest_held,acceptance_beyond' else 'retest_held' end
+                    when now = 'retired' then 'acceptance_beyond,retired_extended_beyond' when now = 'accepted' then 'acceptance_beyond,close_beyond'
+                    when now = 'reclaimed' then 'failed_hold,' || case when up then 'failed_breakout' else 'failed_breakdown' end || ',close_origin,had_close_beyond'
+                    when was = 'penetrated' then 'pullback_into_zone,close_in_zone' when now = 'penetrated' then 'close_beyond' when now = 'rejected' then 'rejected_close_origin' when origin then 'probe' else 'close_in_zone' end, base, close
+            from (select *, case when was = 'retired' then was
+                    when was = 'reclaimed' then case when near - y >= 4 * a then 'retired' else was end
+                    when was = 'accepted' then case when reclaim and through then 'reclaimed' when origin or (touch and not beyond) then 'retesting' when y - far >= 4 * a then 'retired' else was end
+                    when was = 'retesting' then case when reclaim then 'reclaimed' when accept or (beyond and not touch) then 'accepted' else was end
+                    when accept then case when y - far >= 4 * a then 'retired' else 'accepted' end
+                    when was = 'penetrated' then case when origin then 'reclaimed' when touch and not beyond then 'testing' else was end
+                    when beyond then 'penetrated'
+                    when was = 'testing' then case when origin then 'rejected' else was end
+                    when touch then 'testing' else was end as now
+                from (select * exclude (through), through or accept as through from (select *, {rule("beyond", "cb", "y >= far + 0.5::double * a")} as accept, {rule("origin", "co", "y <= near - 0.5::double * a")} as reclaim
+                    from (select zb.*, zm.state as was, tests, through, outcome, y > far as beyond, y < near as origin, hh >= near and ll <= far as touch, case when y > far then zm.cb + 1 else 0 end as cb, case when y < near then zm.co + 1 else 0 end as co
+                        from zm join zb on zb.symbol = zm.symbol and zb.zone_id = zm.zone_id and zb.n = zm.n + 1))))),
+        ze as materialized (select symbol, zone_id, t, before as from_state, state, causes, tests, outcome, base, close from zm where causes is not null
+            union all select zb.symbol, zb.zone_id, zb.t, 'none', 'approaching', 'opened,range_declared', 0, null, zb.base, zb.close from zb join zo on zo.symbol = zb.symbol and zo.zone_id = zb.zone_id and zb.n = n0),
+        zs as materialized (select symbol, zone_id, t, from_state, state, causes, tests::int as tests, outcome, round(greatest(0, least(1, case when state in ('accepted', 'retesting') then base * 0.45::double when state = 'reclaimed' then base + 0.1::double * tests when state = 'rejected' then base + 0.08::double * tests else base + 0.04::double * tests end)), 6) as strength,
+            case state when 'retired' then 'retired' when 'reclaimed' then 'reclaimed' when 'accepted' then 'broken' when 'retesting' then 'broken' else 'active' end as status, round(close, 6) as close from ze)"""
+
+
+_BANDS = f"""select symbol, t::varchar || ':' || kind as zone_id, price * 0.997::double as lower, price * 1.003::double as upper, case kind when 'high' then 'resistance' else 'support' end as role, 0.4::double as base, known_close as known_t
+    from ({bar_plans.duck_sql("p1_window_pivots", bars_sql())}) x"""
+_MODES = {"close_count": "{k} >= 2", "atr_distance": "{f}", "both": "{k} >= 2 and {f}"}
+_PLATEAUS = f"""select symbol, lower, upper, role, strength, created_t, known_t, zone_id from (select *, row_number() over (partition by symbol, zone_id order by created_t) as no from ({_WIDE.format(f"""(select symbol, price as lower, price as upper, role, least(1, 0.25::double + 0.05::double * count(*)) as strength, min(t) as created_t, list_sort(list(t))[3] as known_t
+    from (select *, row_number() over (partition by symbol, role order by t) - row_number() over (partition by symbol, role, price order by t) as g from (select symbol, t, 'resistance' as role, h as price from ({bars_sql()}) union all select symbol, t, 'support', l from ({bars_sql()})))
+    group by symbol, role, price, g having count(*) >= 3)""")})) where no = 1"""
+_FORMED = ORACLES["p8_specs_at_formation"].replace("round(lower, 6) as lower, round(upper, 6) as upper", "lower, upper")
+ORACLES["p11_zone_lifecycle"] = _zones_sql(_BANDS, "{k} >= 2 or {f}") + " select * from zs"
+ORACLES["p11_zone_modes"] = " union all ".join(f"(select *, '{m}' as mode from ({_zones_sql(_BANDS, rule)} select * from zs))" for m, rule in _MODES.items())
+ORACLES["p14_tracked_zones"] = _zones_sql(f"select symbol, zone_id, lower, upper, role, strength as base, known_t, created_t from (select * from ({_FORMED}) union all by name select * from ({_PLATEAUS}) where (symbol, zone_id) not in (select (symbol, zone_id) from ({_FORMED})))", "{k} >= 2 or {f}") + """,
+    zl as (select symbol, zone_id, arg_max({'state': state, 'strength': strength, 'tests': tests, 'outcome': outcome, 'status': status}, t * 2 + (from_state <> 'none')::int) as now, max(t) filter (state = 'testing') as last_test_t from zs group by 1, 2)
+    select zl.symbol, zl.zone_id, round(lower, 6) as lower, round(upper, 6) as upper, role, now.strength as strength, now.tests as tests, 'zone_lifecycle' as source, now.status as status, now.state as state, created_t, known_t, last_test_t, now.outcome as outcome
+    from zl join zq on zq.symbol = zl.symbol and zq.zone_id = zl.zone_id"""
