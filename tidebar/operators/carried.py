@@ -7,7 +7,7 @@ one, until none is left. The result is the fold's, whatever the machine; only th
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -43,3 +43,25 @@ def fold_blocks(rows: DataFrame, run: Run, schema: str) -> DataFrame:
         return run(pdf.sort_values("t", kind="stable"), begun["assumed"].iloc[0])[0]
 
     return rows.groupBy(*keys).cogroup(known.groupBy(*keys)).applyInPandas(give, schema)
+
+
+def sorted_pass(rows: DataFrame, keys: list[str], order: list[str], machine: Callable[[], Callable[[tuple], list[tuple]]], schema: str) -> DataFrame:
+    """Every group's rows in order through a machine of its own: ``machine()`` gives a function from a row (a named tuple) to rows of ``schema``.
+
+    A group is neither collected nor copied: a task holds its machine and one batch of rows, however long the group is.
+    """
+    sorted_rows = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+    names = [part.split()[0] for part in schema.replace("\n", " ").split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = step = None
+        for pdf in batches:
+            out = []
+            for r in pdf.astype(object).where(pdf.notna(), None).itertuples(index=False):
+                own = tuple(getattr(r, k) for k in keys)
+                if step is None or own != key:
+                    key, step = own, machine()
+                out += step(r)
+            yield pd.DataFrame(out, columns=names, dtype=object)
+
+    return sorted_rows.mapInPandas(run, schema)

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import features, forecasts, integrity, journal, regimes, rules, swings
+from .operators import features, forecasts, integrity, journal, regimes, rules, snapshots, swings, theses
+from .operators.analogs import analogs
 from .operators.asof import asof_attach
 from .operators.clusters import memberships, specs_at_formation, specs_now, zone_clusters
 from .operators.cross_market import cross_market, series_states
@@ -21,6 +22,7 @@ from .plans import bar_plans
 from .sources.bars import bars_from_events, bars_sql
 from .sources.fixture import breakout_bars
 from .streaming.bars import sessions, sliding_bars
+from .tables import durable
 
 BASE, PARENT = 240, 1440
 
@@ -214,6 +216,64 @@ def t8_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.where("old_regime <> new_regime")
 
 
+SNAPSHOT_PARENTS = {"d1": 1440, "h4": 240}
+
+
+def t3_theses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every thesis version of four-hour bars as it ended, or as it stands."""
+    bars = bars_from_events(spark, sf_dir)
+    states = theses.with_structure(bars).join(regimes.timeframe_states(bars).select("symbol", "t", "regime"), ["symbol", "t"]).withColumn("known", F.col("t") + 60 * BASE)
+    log = theses.rebuilt_theses(states, "4h").where("what = 'version'")
+    last = log.groupBy("symbol", "thesis_id").agg(F.max_by(F.struct("direction", "kind", "version", "status", "created_at", "closed_at", "closure_reason", "fired", "confirmation_rules", "invalidation_rules"), F.col("status") == "closed").alias("v"))
+    price = lambda c: F.round(F.get_json_object(f"v.{c}", "$[0].price").cast("double"), 6)
+    return last.select("symbol", "thesis_id", "v.direction", "v.kind", "v.version", "v.status", "v.created_at", "v.closed_at", "v.closure_reason", "v.fired", price("confirmation_rules").alias("confirm_price"), price("invalidation_rules").alias("invalid_price"))
+
+
+def t2_ledger_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of customers as commands: each customer opens a thesis with its first order of a year, adds evidence or counter-evidence with later ones, asks to move its
+    invalidation, fires it by an order's price, and revises it with urgent ones."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority", F.year("o_orderdate").alias("y"), F.unix_date(F.col("o_orderdate").cast("date")).alias("day"))
+    by = Window.partitionBy("o_custkey").orderBy("day", "o_orderkey")
+    o = o.withColumns({"seq": F.row_number().over(by).cast("long"), "nth": F.row_number().over(Window.partitionBy("o_custkey", "y").orderBy("day", "o_orderkey"))})
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    op = F.when(F.col("nth") == 1, "open").when(urgent, "revise").when(F.col("o_orderstatus") == "F", "fire").when(F.col("o_orderstatus") == "P", "move").when(F.col("o_orderkey") % 2 == 0, "counter").otherwise("evidence")
+    a_rule = lambda kind, price: F.array(F.struct(F.lit(kind).alias("id"), F.lit(kind).alias("kind"), price.alias("price"), F.lit("order").alias("timeframe"), F.lit("").alias("description")))
+    lineage = F.concat("o_custkey", F.lit(":"), "y")
+    p = F.col("o_totalprice")
+    at = F.when(F.col("op") == "open", 1)
+    rows = o.withColumn("op", op).select(F.col("o_custkey").cast("string").alias("symbol"), "seq", F.col("day").cast("long").alias("at"), "op", F.concat(lineage, F.lit("-v1")).alias("thesis_id"), lineage.alias("lineage_id"), F.lit("bull").alias("direction"),
+        F.when(at.isNotNull(), F.lit("order")).alias("kind"), F.when(F.col("op") == "fire", F.lit(None)).otherwise(F.concat(F.lit("order "), "o_orderkey")).alias("text"), F.lit("close_below").alias("rule_id"), F.round(p).alias("price"), F.lit("order").alias("timeframe"), p.alias("h"), p.alias("l"), p.alias("c"),
+        F.when(F.col("op") == "open", a_rule("close_above", p * 2)).alias("confirmation"), F.when(F.col("op").isin("open", "revise"), a_rule("close_below", p / 2)).alias("invalidation"))
+    return theses.ledger(rows).where("what = 'event'").select("symbol", "at", "thesis_id", "action", "detail")
+
+
+def r7_analogs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest matured origins of every hourly bar."""
+    found = analogs(bars_from_events(spark, sf_dir, 60))
+    return found.select("symbol", "t", "rank", "origin_t", "known_t", F.round("distance", 8).alias("distance"), F.round("realized", 8).alias("realized"))
+
+
+def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots.snapshots(bars_from_events(spark, sf_dir, 60), 60, SNAPSHOT_PARENTS, "h4", "h1")
+
+
+def r4_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hourly bar's whole state in one row, as JSON by part."""
+    s = _snapshots(spark, sf_dir)
+    return s.select("symbol", "t", "as_of", "parent_regime", "interpretation", *[F.to_json(c).alias(c) for c in ("h1", "h4", "d1", "analogs", "levels", "bear", "bull", "relief")])
+
+
+def t5_t7_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every snapshot as it is written: canonical JSON with fingerprint and the hash of all bars up to it."""
+    bars = bars_from_events(spark, sf_dir, 60)
+    return snapshots.persisted(_snapshots(spark, sf_dir), bars, ["h1", "h4", "d1"])
+
+
+def t7_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars, snaps, frames = bars_from_events(spark, sf_dir, 60), durable(_snapshots(spark, sf_dir)), ["h1", "h4", "d1"]
+    return snapshots.transitions(snapshots.persisted(snaps, bars, frames), snaps, frames)
+
+
 def s6_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.manifest(bars_from_events(spark, sf_dir))
 
@@ -449,7 +509,7 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-_OWN = (p4_zone_clusters, m8_quantile_forecast, m12_walk_forward_ridge, a6_feature_history, s3_immutable_insert, q5_sync_counts, s4_bars, f6_resample, f12_gaps, k1_k2_k3_recurrences, j3_asof_parent, flagship_bar_state, p2_zigzag, p11_zone_lifecycle, p11_zone_modes, p14_tracked_zones)
+_OWN = (p4_zone_clusters, m8_quantile_forecast, m12_walk_forward_ridge, a6_feature_history, s3_immutable_insert, q5_sync_counts, s4_bars, f6_resample, f12_gaps, k1_k2_k3_recurrences, j3_asof_parent, flagship_bar_state, p2_zigzag, p11_zone_lifecycle, p11_zone_modes, p14_tracked_zones, t3_theses, t2_ledger_events, r7_analogs, r4_snapshots, t5_t7_replay, t7_transitions)
 _OWN += (r1_timeframe_state, r2_r3_r4_parent_context, r5_regime_scores, r6_parent_child, t8_transitions, s6_manifest)
 _OWN += (m3_walk_forward_mae, m5_gated_drift, m6_gated_walk_forward, m10_signed_probability, m11_probability_scores, e3_pinball, e4_coverage, s12_fixture, b2_b3_swing_anchors, b4_measured_moves, b5_fib_levels, p5_zone_ids, p10_plateaus, p12_band_position)
 _OWN += (f15_integrity_issues, f16_integrity_report, f17_verified, f19_last_prints, x3_vol_regime, x6_cross_market, m13_outcomes, m14_journal_scores, q9_catch_up, e9_merged_scores, e11_inspected_horizons)
@@ -831,3 +891,28 @@ ORACLES["p14_tracked_zones"] = _zones_sql(f"select symbol, zone_id, lower, upper
     zl as (select symbol, zone_id, arg_max({'state': state, 'strength': strength, 'tests': tests, 'outcome': outcome, 'status': status}, t * 2 + (from_state <> 'none')::int) as now, max(t) filter (state = 'testing') as last_test_t from zs group by 1, 2)
     select zl.symbol, zl.zone_id, round(lower, 6) as lower, round(upper, 6) as upper, role, now.strength as strength, now.tests as tests, 'zone_lifecycle' as source, now.status as status, now.state as state, created_t, known_t, last_test_t, now.outcome as outcome
     from zl join zq on zq.symbol = zl.symbol and zq.zone_id = zl.zone_id"""
+
+#: The theses of four-hour bars: a recursion for each direction over the bars' regimes and structure.
+_THESES = f"""with recursive {_state_sql("q", bars_sql(), 14400)},
+    th as (select *, coalesce(max(case when near = 6 and h > mh then h end) over p, max(h) over w) as top, coalesce(min(case when near = 6 and l < ml then l end) over p, min(l) over w) as bottom
+        from q_v window p as (partition by symbol order by t rows between unbounded preceding and 3 preceding), w as (partition by symbol order by t)),
+    tb as materialized (select q_b.symbol, q_b.c, regime, known, case when top <= bottom then bottom * 1.002::double else top end as top, bottom, row_number() over (partition by q_b.symbol order by q_b.t) as n
+        from q_b join q_r using (symbol, t) join (select symbol, t, top, bottom from th) x using (symbol, t)),
+    td as (select distinct symbol, direction from tb, (values ('bear'), ('bull')) d(direction)),
+    tt as (select symbol, direction, 0::bigint as n, 0 as version, false as live, null::double as fail, null::double as confirm, null::bigint as created, null::bigint as closed, 0 as closed_version from td
+        union all
+        select symbol, direction, n, version + opens::int, opens or (live and not fired), case when opens then case direction when 'bear' then top else bottom end else fail end, case when opens then case direction when 'bear' then bottom else top end else confirm end,
+            case when opens then known else created end, case when fired then known end, case when fired then version else 0 end
+        from (select *, not (live and not fired) and regime = case direction when 'bear' then 'bearish' else 'bullish' end as opens
+            from (select tt.symbol, direction, tb.n, version, live, fail, confirm, created, known, regime, top, bottom, live and case direction when 'bear' then c > fail else c < fail end as fired from tt join tb on tb.symbol = tt.symbol and tb.n = tt.n + 1))),
+    tv as (select symbol, direction, version, any_value(fail) as fail, any_value(confirm) as confirm, min(created) as created from tt where version > 0 group by 1, 2, 3),
+    tc as (select symbol, direction, closed_version as version, max(closed) as closed from tt where closed is not null group by 1, 2, 3)"""
+ORACLES["t3_theses"] = _THESES + """
+    select symbol, symbol || ':4h:' || direction || ':' || case version when 1 then 'htf_continuation' else 'htf_continuation_reopened' end || ':v' || version as thesis_id, direction, case version when 1 then 'htf_continuation' else 'htf_continuation_reopened' end as kind, version::int as version,
+        case when closed is null then 'active' else 'closed' end as status, created as created_at, closed as closed_at, case when closed is not null then 'invalidation_fired' end as closure_reason, case when closed is null then '' else direction || '-invalidate-4h' end as fired,
+        round(confirm, 6) as confirm_price, round(fail, 6) as invalid_price from tv left join tc using (symbol, direction, version)"""
+ORACLES["r7_analogs"] = f"""with b as (select symbol, t, c, row_number() over s - 1 as i, case when c > 0 and lag(c) over s > 0 then ln(c / lag(c) over s) end as x, coalesce(case when c > 0 and lag(c, 12) over s > 0 then ln(c / lag(c, 12) over s) end, 0) as r12,
+        coalesce(case when c > 0 and lag(c, 24) over s > 0 then ln(c / lag(c, 24) over s) end, 0) as r24, lead(c, 10) over s as later, lead(t, 10) over s as later_t from ({bars_sql(60)}) window s as (partition by symbol order by t)),
+    f as materialized (select *, coalesce(sqrt(avg(x * x) over (partition by symbol order by t rows between 23 preceding and current row)), 0) as vol from b),
+    p as (select q.symbol, q.t, o.i, o.t as origin_t, o.later_t as known_t, sqrt(((o.r12 - q.r12) ** 2 + (o.r24 - q.r24) ** 2) + (o.vol - q.vol) ** 2) as distance, ln(o.later / o.c) as realized from f q join f o on o.symbol = q.symbol and o.i >= 80 and (o.i - 80) % 8 = 0 and o.i <= q.i - 10 where o.c > 0 and o.later > 0)
+    select symbol, t, rank::int as rank, origin_t, known_t, round(distance, 8) as distance, round(realized, 8) as realized from (select *, row_number() over (partition by symbol, t order by distance, i) as rank from p) where rank <= 5"""
