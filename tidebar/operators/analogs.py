@@ -87,9 +87,10 @@ def analogs(bars: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     df = fingerprints(bars)
     no = ((F.col("i") - FIRST) / STEP).cast("long")
     origins = df.where((F.col("i") >= FIRST) & ((F.col("i") - FIRST) % STEP == 0) & F.col("later").isNotNull())
-    # an origin without a realised return takes its place in the grid, but is found by no one
+    # an origin without a realised return keeps its number, but is found by no one
     realized = F.when((F.col("c") > 0) & (F.col("later") > 0), F.log(F.col("later") / F.col("c")))
-    origins = origins.select("symbol", no.alias("no"), "r12", "r24", "vol", F.col("t").alias("origin_t"), F.col("later_t").alias("known_t"), realized.alias("realized"))
+    # under names of their own, as both sides of the join come from one table
+    origins = origins.select(F.col("symbol").alias("series"), no.alias("no"), F.col("r12").alias("x"), F.col("r24").alias("y"), F.col("vol").alias("z"), F.col("t").alias("origin_t"), F.col("later_t").alias("known_t"), realized.alias("realized")).where("realized is not null")
     known = F.floor((F.col("i") - AHEAD - FIRST) / STEP).cast("long") + 1
     queries = df.where(F.col("i") >= FIRST + AHEAD).select("symbol", "t", "r12", "r24", "vol", known.alias("m"))
 
@@ -105,14 +106,14 @@ def analogs(bars: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     queries = queries.withColumn("part", F.explode(F.concat(F.coalesce(top, none), rest, partial))).select("symbol", "t", "r12", "r24", "vol", "m", "part.power", "part.run")
     block = F.floor(F.col("no") / BLOCK).cast("long")
     places = F.concat(F.array(F.struct(F.lit(-1).alias("power"), block.alias("run"))), F.transform(F.sequence(F.lit(0), F.lit(POWER)), lambda p: F.struct(p.alias("power"), F.floor(block / F.pow(F.lit(2.0), p)).cast("long").alias("run"))))
-    origins = origins.withColumn("part", F.explode(places)).select("symbol", "part.power", "part.run", "no", "r12", "r24", "vol", "origin_t", "known_t", "realized")
+    origins = origins.withColumn("part", F.explode(places)).select("series", "part.power", "part.run", "no", "x", "y", "z", "origin_t", "known_t", "realized")
 
     def look(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         columns = ["symbol", "t", "no", "origin_t", "known_t", "distance", "realized"]
-        there = there[there["realized"].notna()].sort_values("no", ignore_index=True) if len(there) else there
         if not len(there) or not len(asked):
             return pd.DataFrame([], columns=columns)
-        points, numbers = there[["r12", "r24", "vol"]].to_numpy(), there["no"].to_numpy()
+        there = there.sort_values("no", ignore_index=True)
+        points, numbers = np.column_stack([there[c].to_numpy() for c in "xyz"]), there["no"].to_numpy()
         partial_ = asked["power"].iloc[0] < 0
         cells, rows = None if partial_ else Cells(numbers, points), []
         for q in asked.itertuples(index=False):
@@ -126,7 +127,7 @@ def analogs(bars: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
         return pd.DataFrame(rows, columns=columns, dtype=object)
 
     keys = ["symbol", "power", "run"]
-    found = queries.groupBy(*keys).cogroup(origins.groupBy(*keys)).applyInPandas(look, "symbol string, t long, no long, origin_t long, known_t long, distance double, realized double")
+    found = queries.groupBy(*keys).cogroup(origins.groupBy("series", "power", "run")).applyInPandas(look, "symbol string, t long, no long, origin_t long, known_t long, distance double, realized double")
     best = Window.partitionBy("symbol", "t").orderBy("distance", "no")
     found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return found.select("symbol", "t", "rank", "origin_t", "known_t", "distance", "realized")
