@@ -204,3 +204,27 @@ def test_stream_refuses_late_bars_and_evicts_idle_symbols(spark, tmp_path):
     # a new series: its average begins with its own close
     again = out.where(f"kind = 'bar' and symbol = 'a' and t = {rows[57][0]}").first()
     assert again.ema9 == again.c
+
+
+@pytest.mark.parametrize("span", [4 * 3600, 86400])
+def test_first_passages_equal_a_scan(spark, monkeypatch, span):
+    from tidebar.operators import first_passage as fp
+
+    monkeypatch.setattr(fp, "FAN", 4)
+    series = {"a": walk(51, 700, drop=0.1), "b": walk(52, 30), "gap": walk(53, 20) + [(3600 * (400 + i), *x[1:]) for i, x in enumerate(walk(54, 20))]}
+    r, searches = random.Random(2), []
+    for s, rows in series.items():
+        for i in range(250):
+            x = r.choice(rows)
+            searches.append((s, i, x[0] + r.choice([0, 0, 7, 3600]), r.choice(list(fp.KINDS)), x[4] + r.choice([0.0, r.gauss(0, 3), 40.0])))
+    out = fp.first_passages(frame(spark, series), spark.createDataFrame(searches, "symbol string, no long, from_t long, kind string, price double"), span).collect()
+    assert len(out) == len(searches)
+    for x in out:
+        rows = series[x.symbol]
+        # pair: the lesser of a close and the one before it
+        pairs = [None] + [min(a[4], b[4]) for a, b in zip(rows, rows[1:], strict=False)]
+        value = {"c": [v[4] for v in rows], "h": [v[2] for v in rows], "l": [v[3] for v in rows], "range": [v[2] - v[3] for v in rows], "pair": pairs}
+        end, what, equal = fp.KINDS[x.kind]
+        beyond = {("max", False): lambda v: v > x.price, ("max", True): lambda v: v >= x.price, ("min", False): lambda v: v < x.price, ("min", True): lambda v: v <= x.price}[end, equal]  # noqa: B023
+        want = next((row[0] for row, v in zip(rows, value[what], strict=True) if row[0] >= x.from_t and v is not None and beyond(v)), None)
+        assert x.hit_t == want, x

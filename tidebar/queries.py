@@ -13,6 +13,7 @@ from .operators.asof import asof_attach
 from .operators.clusters import memberships, specs_at_formation, specs_now, zone_clusters
 from .operators.cross_market import cross_market, series_states
 from .operators.features import feature_history
+from .operators.first_passage import first_passages, level_outcomes
 from .operators.recurrences import with_recurrences
 from .operators.resample import resample, visible
 from .operators.ridge import quantile_forecast, walk_forward
@@ -405,6 +406,28 @@ def h12_rule_firings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.firings(_rules(spark, sf_dir), bars_from_events(spark, sf_dir).withColumn("timeframe", F.lit("4h")), pivots)
 
 
+def h5_level_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What came of the level of every pivot, from the bar on that confirmed it."""
+    bars, pivots = bars_from_events(spark, sf_dir), _pivots(spark, sf_dir)
+    levels = pivots.groupBy("symbol", "kind", "price").agg(F.min("known_t").alias("known_t"))
+    levels = levels.select("symbol", F.concat_ws(":", "kind", "price").alias("id"), "kind", F.col("price").alias("level"), (F.col("known_t") - 60 * BASE).alias("from_t"))
+    found = level_outcomes(bars, levels)
+    return found.select("symbol", "kind", F.round("level", 6).alias("level"), "side", "cross_t", "run", "outcome")
+
+
+def h13_evaluated_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule pair for each high pivot, confirmed by a close above it and invalidated by one below the last low known by then; the invalidation wins."""
+    bars, pivots = bars_from_events(spark, sf_dir), _pivots(spark, sf_dir)
+    lows = pivots.where("kind = 'low'").select("symbol", F.col("known_t").alias("low_known"), F.col("price").alias("invalid"))
+    pairs = asof_attach(pivots.where("kind = 'high'").select("symbol", "t", "known_t", F.col("price").alias("confirm")), lows, "known_t", "low_known", ["invalid"]).where("invalid is not null")
+    both = F.array(F.struct(F.lit("close_above").alias("kind"), F.col("confirm").alias("price")), F.struct(F.lit("close_below").alias("kind"), F.col("invalid").alias("price")))
+    searches = pairs.select("symbol", "t", "confirm", "invalid", (F.col("known_t") + 1).alias("from_t"), F.inline(both))
+    hit = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("hit_t")))
+    fired = first_passages(bars, searches).groupBy("symbol", "t", "confirm", "invalid").agg(hit("close_above").alias("up_t"), hit("close_below").alias("down_t"))
+    status = F.when(F.col("down_t").isNotNull(), "invalidated").when(F.col("up_t").isNotNull(), "confirmed").otherwise("open")
+    return fired.select("symbol", "t", F.round("confirm", 6).alias("confirm"), F.round("invalid", 6).alias("invalid"), status.alias("status"), F.coalesce("down_t", "up_t").alias("closed_t"))
+
+
 def h15_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.fingerprints(_rules(spark, sf_dir)).select("id", "fingerprint")
 
@@ -513,7 +536,7 @@ _OWN = (p4_zone_clusters, m8_quantile_forecast, m12_walk_forward_ridge, a6_featu
 _OWN += (r1_timeframe_state, r2_r3_r4_parent_context, r5_regime_scores, r6_parent_child, t8_transitions, s6_manifest)
 _OWN += (m3_walk_forward_mae, m5_gated_drift, m6_gated_walk_forward, m10_signed_probability, m11_probability_scores, e3_pinball, e4_coverage, s12_fixture, b2_b3_swing_anchors, b4_measured_moves, b5_fib_levels, p5_zone_ids, p10_plateaus, p12_band_position)
 _OWN += (f15_integrity_issues, f16_integrity_report, f17_verified, f19_last_prints, x3_vol_regime, x6_cross_market, m13_outcomes, m14_journal_scores, q9_catch_up, e9_merged_scores, e11_inspected_horizons)
-_OWN += (p8_specs_at_formation, p9_specs_now, j11_pivot_zones, h6_level_resolution, h11_relations, h12_rule_firings, h15_fingerprints, a8_model_rows, a10_availability, w1_sliding_bars, w2_sessions)
+_OWN += (p8_specs_at_formation, p9_specs_now, j11_pivot_zones, h6_level_resolution, h5_level_outcomes, h13_evaluated_pivots, h11_relations, h12_rule_firings, h15_fingerprints, a8_model_rows, a10_availability, w1_sliding_bars, w2_sessions)
 QUERIES = {name: _plan(name) for name in bar_plans.PLANS} | {f.__name__: f for f in (*_OWN, m15_walk_windows)}
 
 _A = {s: f"({2 / (s + 1)!r})::double" for s in (9, 20, 200)}
@@ -916,3 +939,15 @@ ORACLES["r7_analogs"] = f"""with b as (select symbol, t, c, row_number() over s
     f as materialized (select *, coalesce(sqrt(avg(x * x) over (partition by symbol order by t rows between 23 preceding and current row)), 0) as vol from b),
     p as (select q.symbol, q.t, o.i, o.t as origin_t, o.later_t as known_t, sqrt(((o.r12 - q.r12) ** 2 + (o.r24 - q.r24) ** 2) + (o.vol - q.vol) ** 2) as distance, ln(o.later / o.c) as realized from f q join f o on o.symbol = q.symbol and o.i >= 80 and (o.i - 80) % 8 = 0 and o.i <= q.i - 10 where o.c > 0 and o.later > 0)
     select symbol, t, rank::int as rank, origin_t, known_t, round(distance, 8) as distance, round(realized, 8) as realized from (select *, row_number() over (partition by symbol, t order by distance, i) as rank from p) where rank <= 5"""
+
+ORACLES["h5_level_outcomes"] = f"""with {_V}, b as materialized (select *, row_number() over (partition by symbol order by t) as n from ({bars_sql()})),
+    lv as (select symbol, kind, price as level, min(known_t) - 14400 as from_t from v group by 1, 2, 3),
+    x as materialized (select lv.*, b.t, b.n, b.c, lag(b.c) over (partition by lv.symbol, kind, level order by b.t) as before from lv join b on b.symbol = lv.symbol and b.t >= from_t),
+    k as (select symbol, kind, level, min(n) as n from x where (before <= level and c > level) or (before >= level and c < level) group by 1, 2, 3),
+    s as (select k.*, x.t as cross_t, case when c > level then 'above' else 'below' end as side from k join x using (symbol, kind, level, n)),
+    e as (select s.*, (select min(x.n) from x where x.symbol = s.symbol and x.kind = s.kind and x.level = s.level and x.n > s.n and case s.side when 'above' then x.c <= x.level else x.c >= x.level end) as ended from s),
+    r as (select e.*, coalesce(ended, (select max(n) + 1 from b where b.symbol = e.symbol)) - n as run, exists (select 1 from x where x.symbol = e.symbol and x.kind = e.kind and x.level = e.level and x.n > e.ended and x.c > x.level and x.before > x.level) as back from e)
+    select lv.symbol, lv.kind, round(lv.level, 6) as level, side, cross_t, run, case when run < 2 and ended is not null then 'failed_breakout' when side = 'below' and run >= 2 and back then 'successful_reclaim' end as outcome from lv left join r using (symbol, kind, level)"""
+ORACLES["h13_evaluated_pivots"] = f"""with {_V}, b as (select * from ({bars_sql()})), r as (select h.symbol, h.t, h.known_t, h.price as confirm, (select arg_max(price, known_t) from v l where l.symbol = h.symbol and l.kind = 'low' and l.known_t <= h.known_t) as invalid from v h where h.kind = 'high'),
+    f as (select r.*, (select min(b.t) from b where b.symbol = r.symbol and b.t > r.known_t and b.c > confirm) as up_t, (select min(b.t) from b where b.symbol = r.symbol and b.t > r.known_t and b.c < invalid) as down_t from r where invalid is not null)
+    select symbol, t, round(confirm, 6) as confirm, round(invalid, 6) as invalid, case when down_t is not null then 'invalidated' when up_t is not null then 'confirmed' else 'open' end as status, coalesce(down_t, up_t) as closed_t from f"""
