@@ -59,7 +59,7 @@ def horizon_rows(bars: DataFrame, horizons: int = 10) -> DataFrame:
 
 
 def quantile_forecast(bars: DataFrame, features: Sequence[str] = ("r1", "r3"), l2: float = 8.0, least: int = 30) -> DataFrame:
-    """symbol, h, q10, q50, q90 at each symbol's last bar: drift, ridge and the quantiles of the training residuals, in order.
+    """symbol, h, q10, q50, q90 at each symbol's last bar: drift, ridge and the quantiles of the training rows' residuals against drift alone, in order.
 
     Training origins start at the 24th bar and end eleven bars before the last; a symbol with fewer than ``least`` has no forecast.
     """
@@ -68,8 +68,7 @@ def quantile_forecast(bars: DataFrame, features: Sequence[str] = ("r1", "r3"), l
     tri, right = moments(features, "y")
     fitted = train.groupBy("symbol", "h").agg(tri.alias("tri"), right.alias("right")).where(F.col("tri")[0] >= least)
     fitted = fitted.select("symbol", "h", weights(l2)("tri", "right").alias("w"))
-    left = train.join(fitted, ["symbol", "h"]).withColumn("e", F.col("y") - predicted("w", features))
-    spread = left.groupBy("symbol", "h").agg(F.percentile("e", F.array(*map(F.lit, (0.1, 0.5, 0.9)))).alias("e"))
+    spread = train.groupBy("symbol", "h").agg(F.percentile("y", F.array(*map(F.lit, (0.1, 0.5, 0.9)))).alias("e"))
     now = rows.where("n = last").join(fitted, ["symbol", "h"]).join(spread, ["symbol", "h"])
     centre = F.col("drift") * F.col("h") + predicted("w", features)
     q = F.array_sort(F.transform("e", lambda e: e + centre))

@@ -16,6 +16,7 @@ from .operators.features import feature_history
 from .operators.first_passage import first_passages, level_outcomes
 from .operators.recurrences import with_recurrences
 from .operators.resample import resample, visible
+from .operators.quantiles import model_inputs, quantile_forecasts, quantile_scores
 from .operators.ridge import quantile_forecast, walk_forward
 from .operators.store import new_rows, sync_counts
 from .operators.zones import Policy, tracked_zones, zigzag_pivots, zone_events
@@ -471,6 +472,22 @@ def a8_model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(history.select("symbol", "t", *[sound(c).alias(c) for c in model_names("1h", tuple(PARENTS))]))
 
 
+def _model_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = bars_from_events(spark, sf_dir, 60)
+    return durable(model_inputs(bars, feature_history(bars, 60, PARENTS, COMPANIONS, SYMBOLS, "avax", "1h"), model_names("1h", tuple(PARENTS))))
+
+
+def m8_model_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles, probability and simple returns at each series' last hourly bar, by ridge on the 18 model inputs."""
+    found = quantile_forecasts(_model_inputs(spark, sf_dir), latest=True)
+    return _rounded(found.drop("y").withColumns({f"{q}_return": F.exp(q) - 1 for q in ("q10", "q50", "q90")}))
+
+
+def m12_quantile_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of zero, drift and the quantiles on the 18 model inputs, walked forward over hourly bars."""
+    return _rounded(quantile_scores(quantile_forecasts(_model_inputs(spark, sf_dir))))
+
+
 def w1_sliding_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sliding_bars(_events(spark, sf_dir), 240, 60)
 
@@ -532,7 +549,7 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-_OWN = (p4_zone_clusters, m8_quantile_forecast, m12_walk_forward_ridge, a6_feature_history, s3_immutable_insert, q5_sync_counts, s4_bars, f6_resample, f12_gaps, k1_k2_k3_recurrences, j3_asof_parent, flagship_bar_state, p2_zigzag, p11_zone_lifecycle, p11_zone_modes, p14_tracked_zones, t3_theses, t2_ledger_events, r7_analogs, r4_snapshots, t5_t7_replay, t7_transitions)
+_OWN = (p4_zone_clusters, m8_quantile_forecast, m12_walk_forward_ridge, a6_feature_history, s3_immutable_insert, q5_sync_counts, s4_bars, f6_resample, f12_gaps, k1_k2_k3_recurrences, j3_asof_parent, flagship_bar_state, p2_zigzag, p11_zone_lifecycle, p11_zone_modes, p14_tracked_zones, t3_theses, t2_ledger_events, r7_analogs, r4_snapshots, t5_t7_replay, t7_transitions, m8_model_quantiles, m12_quantile_walk_forward)
 _OWN += (r1_timeframe_state, r2_r3_r4_parent_context, r5_regime_scores, r6_parent_child, t8_transitions, s6_manifest)
 _OWN += (m3_walk_forward_mae, m5_gated_drift, m6_gated_walk_forward, m10_signed_probability, m11_probability_scores, e3_pinball, e4_coverage, s12_fixture, b2_b3_swing_anchors, b4_measured_moves, b5_fib_levels, p5_zone_ids, p10_plateaus, p12_band_position)
 _OWN += (f15_integrity_issues, f16_integrity_report, f17_verified, f19_last_prints, x3_vol_regime, x6_cross_market, m13_outcomes, m14_journal_scores, q9_catch_up, e9_merged_scores, e11_inspected_horizons)
@@ -674,7 +691,7 @@ ORACLES = {name: bar_plans.duck_sql(name, bars_sql()) for name in bar_plans.PLAN
         select b.symbol, b.t, z.price, case when z.price is null then 'unknown' when b.c > z.price * 1.003::double then 'above' when b.c < z.price * 0.997::double then 'below' else 'inside' end as place from ({bars_sql()}) b asof left join z on z.symbol = b.symbol and b.t + 14400 >= z.known_close""",
     "m8_quantile_forecast": f"""with {_ROWS}, tr as (select *, 1 as u from g where n >= 24 and n <= last - 10 and y is not null and r1 is not null and r3 is not null),
         w as (select symbol, h, {_SOLVED} from ({_DET} (select symbol, h, {_SUMS("")} from tr group by 1, 2 having count(*) >= 30))) ),
-        e as (select tr.symbol, tr.h, quantile_cont(y - w0 - w1 * r1 - w2 * r3, [0.1, 0.5, 0.9]) as e from tr join w using (symbol, h) group by 1, 2)
+        e as (select tr.symbol, tr.h, quantile_cont(y, [0.1, 0.5, 0.9]) as e from tr group by 1, 2)
         select symbol, h::int as h, round(drift * h + w0 + w1 * r1 + w2 * r3 + e[1], 6) as q10, round(drift * h + w0 + w1 * r1 + w2 * r3 + e[2], 6) as q50, round(drift * h + w0 + w1 * r1 + w2 * r3 + e[3], 6) as q90
         from g join w using (symbol, h) join e using (symbol, h) where n = last""",
     "m12_walk_forward_ridge": f"""with {_ROWS}, tr as (select *, case when y is not null and r1 is not null and r3 is not null then 1 end as u from g),
