@@ -4,10 +4,14 @@ import os
 import tempfile
 import zipfile
 
+#: Bytes of an Arrow batch for a Python worker; one longer row is a batch of its own.
+BATCH_BYTES = "8m"
+
 
 def ship(spark) -> None:
-    """Give the session's Python workers this package, once per session."""
+    """Give the session's Python workers this package, once per session, and bound what is sent to them at once: rows of texts are wide."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if getattr(sc, "_tidebar_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
