@@ -1 +1 @@
-"""See the package README."""
+"""Column functions."""

@@ -6,9 +6,14 @@ may mark rows whose time has no zone by false; their times count as unknown. Not
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.canonical import canonical, iso
+from .carried import sorted_pass
+
 PRICES = {"o": "open", "h": "high", "l": "low", "c": "close", "v": "volume"}
 
 
@@ -102,13 +107,30 @@ def last_prints(records: DataFrame) -> DataFrame:
     return records.where("t is not null").groupBy("symbol", "t").agg(F.max_by(F.struct(*values), "i").alias("x")).select("symbol", "t", "x.*")
 
 
-def manifest(bars: DataFrame) -> DataFrame:
-    """By symbol: bars, first_t, last_t, and a SHA-256 over the days' SHA-256 of their ordered payloads, so that no series is one task's text."""
-    days = bars.withColumn("day", F.expr("t div 86400"))
-    payload = F.concat_ws("|", F.col("t").cast("string"), *[F.format_string("%.8f", F.col(c)) for c in "ohlcv"])
-    lined = lambda order, value: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("at"), value.alias("x")))), lambda r: r["x"]), "\n")
-    days = days.groupBy("symbol", "day").agg(F.count("*").alias("n"), F.min("t").alias("a"), F.max("t").alias("b"), F.sha2(lined(F.col("t"), payload), 256).alias("sha"))
-    return days.groupBy("symbol").agg(F.sum("n").alias("bars"), F.min("a").alias("first_t"), F.max("b").alias("last_t"), F.sha2(lined(F.col("day"), F.col("sha")), 256).alias("sha256"))
+def payloads(bars: DataFrame, timeframe: str) -> DataFrame:
+    """symbol, t, payload: a bar's canonical JSON."""
+    record = F.struct("symbol", F.lit(timeframe).alias("timeframe"), iso(F.col("t")).alias("open_time"), F.col("o").alias("open"), F.col("h").alias("high"), F.col("l").alias("low"), F.col("c").alias("close"), F.col("v").alias("volume"))
+    rows = bars.select("symbol", "t", record.alias("r"))
+    return rows.select("symbol", "t", canonical(F.col("r"), rows.schema["r"].dataType).alias("payload"))
+
+
+def manifest(bars: DataFrame, timeframe: str = "4h") -> DataFrame:
+    """By symbol: bars, first_t, last_t, and the SHA-256 of all payloads in order of time, a line each. The digest runs over a series' sorted rows and holds none of them. No bars are an error."""
+    if bars.isEmpty():
+        raise ValueError("no bars for a manifest")
+    rows = payloads(bars, timeframe).withColumn("last", F.lead("t").over(Window.partitionBy("symbol").orderBy("t")).isNull())
+
+    def machine():
+        digest, seen = hashlib.sha256(), []
+
+        def step(r) -> list[tuple]:
+            digest.update(r.payload.encode() + b"\n")
+            seen[:] = [seen[0] + 1, seen[1]] if seen else [1, r.t]
+            return [(r.symbol, seen[0], seen[1], r.t, digest.hexdigest())] if r.last else []
+
+        return step
+
+    return sorted_pass(rows, ["symbol"], ["t"], machine, "symbol string, bars long, first_t long, last_t long, sha256 string")
 
 
 def verified(bars: DataFrame, expected: DataFrame) -> DataFrame:

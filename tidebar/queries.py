@@ -280,6 +280,10 @@ def s6_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.manifest(bars_from_events(spark, sf_dir))
 
 
+def s7_payload_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integrity.payloads(bars_from_events(spark, sf_dir), "4h").select("symbol", "t", F.sha2("payload", 256).alias("payload_sha256"))
+
+
 def f17_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bars' manifest against that of bars of which one symbol's highs were moved."""
     bars = bars_from_events(spark, sf_dir)
@@ -550,7 +554,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 _OWN = (p4_zone_clusters, m8_quantile_forecast, m12_walk_forward_ridge, a6_feature_history, s3_immutable_insert, q5_sync_counts, s4_bars, f6_resample, f12_gaps, k1_k2_k3_recurrences, j3_asof_parent, flagship_bar_state, p2_zigzag, p11_zone_lifecycle, p11_zone_modes, p14_tracked_zones, t3_theses, t2_ledger_events, r7_analogs, r4_snapshots, t5_t7_replay, t7_transitions, m8_model_quantiles, m12_quantile_walk_forward)
-_OWN += (r1_timeframe_state, r2_r3_r4_parent_context, r5_regime_scores, r6_parent_child, t8_transitions, s6_manifest)
+_OWN += (r1_timeframe_state, r2_r3_r4_parent_context, r5_regime_scores, r6_parent_child, t8_transitions, s6_manifest, s7_payload_hashes)
 _OWN += (m3_walk_forward_mae, m5_gated_drift, m6_gated_walk_forward, m10_signed_probability, m11_probability_scores, e3_pinball, e4_coverage, s12_fixture, b2_b3_swing_anchors, b4_measured_moves, b5_fib_levels, p5_zone_ids, p10_plateaus, p12_band_position)
 _OWN += (f15_integrity_issues, f16_integrity_report, f17_verified, f19_last_prints, x3_vol_regime, x6_cross_market, m13_outcomes, m14_journal_scores, q9_catch_up, e9_merged_scores, e11_inspected_horizons)
 _OWN += (p8_specs_at_formation, p9_specs_now, j11_pivot_zones, h6_level_resolution, h5_level_outcomes, h13_evaluated_pivots, h11_relations, h12_rule_firings, h15_fingerprints, a8_model_rows, a10_availability, w1_sliding_bars, w2_sessions)
@@ -758,8 +762,6 @@ ORACLES |= {
     "r5_regime_scores": _context_sql("""select symbol, t, round(raw, 6) as raw, case when state in ('bullish', 'bearish') and parent_regime in ('bullish', 'bearish') and state <> parent_regime then case state when 'bullish' then 'transition_up' else 'transition_down' end else state end as state
         from (select *, case when raw >= 0.35 then 'bullish' when raw <= -0.35 then 'bearish' when prior = 'bullish' then 'transition_down' when prior = 'bearish' then 'transition_up' else 'neutral' end as state
             from (select *, 0.3::double * case regime when 'bullish' then 1 when 'bearish' then -1 else 0 end + 0.25::double * case swing when 'HH_HL' then 1 when 'LH_LL' then -1 else 0 end + 0.15::double * case volatility when 'expanded' then 1 when 'compressed' then -1 else 0 end + 0.2::double * case parent_regime when 'bullish' then 0.7 when 'bearish' then -0.7 else 0 end::double as raw from y))"""),
-    "s6_manifest": f"""with d as (select symbol, t // 86400 as day, count(*) as n, min(t) as a, max(t) as b, sha256(string_agg(printf('%d|%.8f|%.8f|%.8f|%.8f|%.8f', t, o, h, l, c, v), chr(10) order by t)) as sha from ({bars_sql()}) group by 1, 2)
-        select symbol, sum(n)::bigint as bars, min(a) as first_t, max(b) as last_t, sha256(string_agg(sha, chr(10) order by day)) as sha256 from d group by 1""",
 }
 
 #: Records as an input might give them, in SQL.
@@ -968,3 +970,8 @@ ORACLES["h5_level_outcomes"] = f"""with {_V}, b as materialized (select *, row_n
 ORACLES["h13_evaluated_pivots"] = f"""with {_V}, b as (select * from ({bars_sql()})), r as (select h.symbol, h.t, h.known_t, h.price as confirm, (select arg_max(price, known_t) from v l where l.symbol = h.symbol and l.kind = 'low' and l.known_t <= h.known_t) as invalid from v h where h.kind = 'high'),
     f as (select r.*, (select min(b.t) from b where b.symbol = r.symbol and b.t > r.known_t and b.c > confirm) as up_t, (select min(b.t) from b where b.symbol = r.symbol and b.t > r.known_t and b.c < invalid) as down_t from r where invalid is not null)
     select symbol, t, round(confirm, 6) as confirm, round(invalid, 6) as invalid, case when down_t is not null then 'invalidated' when up_t is not null then 'confirmed' else 'open' end as status, coalesce(down_t, up_t) as closed_t from f"""
+
+#: A bar's canonical JSON; DuckDB prints a double in its fewest digits, too.
+_PAYLOAD = f"""(select symbol, t, '{{"close":' || c || ',"high":' || h || ',"low":' || l || ',"open":' || o || ',"open_time":"' || strftime(make_timestamp(t * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') || '","symbol":"' || symbol || '","timeframe":"4h","volume":' || v || '}}' as p from ({bars_sql()}))"""
+ORACLES["s6_manifest"] = f"select symbol, count(*) as bars, min(t) as first_t, max(t) as last_t, sha256(string_agg(p || chr(10), '' order by t)) as sha256 from {_PAYLOAD} group by 1"
+ORACLES["s7_payload_hashes"] = f"select symbol, t, sha256(p) as payload_sha256 from {_PAYLOAD}"
