@@ -88,3 +88,25 @@ def regime_scores(df: DataFrame) -> DataFrame:
 
 def parent_child_reading(parent: Column, child: Column) -> Column:
     return F.when(parent.isin("bearish", "bullish") & (child != parent), F.concat(F.lit("child_"), child, F.lit("_inside_parent_"), parent)).otherwise(F.concat(F.lit("aligned_"), parent))
+
+
+def accumulation(bars: DataFrame, box: int = 12) -> DataFrame:
+    """symbol, t, upper_half, volume_balance, decision of every bar with a whole box: accumulation on rising lows, closes in the upper half and no more falling volume; distribution the other way round.
+
+    Lows and highs are the last up to three known at the bar, the newest against the oldest.
+    """
+    s = Window.partitionBy("symbol").orderBy("t")
+    w = s.rowsBetween(1 - box, 0)
+    top, bottom = F.max("h").over(w), F.min("l").over(w)
+    df = bars.withColumns({"closes": F.collect_list("c").over(w), "top": top, "bottom": bottom, "volume_balance": F.sum(F.when(F.col("c") >= F.col("o"), F.col("v")).otherwise(-F.col("v"))).over(w)})
+    df = df.where(F.size("closes") == box)
+    pivots = confirmed_pivots(bars)
+    for kind in ("low", "high"):
+        own = pivots.where(F.col("kind") == kind)
+        oldest = F.coalesce(F.lag("price", 2).over(s), F.lag("price", 1).over(s))
+        df = asof_attach(df, own.select("symbol", "known_t", F.col("price").alias(f"{kind}_new"), oldest.alias(f"{kind}_old")), "t", "known_t", [f"{kind}_new", f"{kind}_old"])
+    df = df.withColumn("upper_half", F.size(F.filter("closes", lambda c: c >= (F.col("top") + F.col("bottom")) / 2)).cast("long"))
+    up = (F.col("low_new") > F.col("low_old")) & (F.col("upper_half") * 2 >= box) & (F.col("volume_balance") >= 0)
+    down = (F.col("high_new") < F.col("high_old")) & (F.col("upper_half") * 2 <= box) & (F.col("volume_balance") <= 0)
+    decision = F.when(F.col("top") <= F.col("bottom"), "none").when(up, "accumulation").when(down, "distribution").otherwise("none")
+    return df.select("symbol", "t", "upper_half", "volume_balance", decision.alias("decision"))

@@ -18,11 +18,8 @@ _PIVOT = """select symbol, t, h, l, lead(t, 3) over s as known_t, count(*) over
 _PIVOTS = f"""select symbol, t, known_t, h as price, 'high' as kind from ({_PIVOT}) p where n = 7 and h > hb and h > ha
     union all select symbol, t, known_t, l as price, 'low' as kind from ({_PIVOT}) p where n = 7 and l < lb and l < la"""
 _DRIFT = f"select symbol, t, n, c, case when n >= 21 then avg(r) over (partition by symbol order by t rows between 18 preceding and current row) end as d from ({_RET}) q"
-_FUTURE = f"select a.symbol, a.t, a.n, a.c, a.d, x.c as fc, a.h, case when a.c > 0 and x.c > 0 then ln(x.c / a.c) end as y from (select *, explode_(1, 10) as h from ({_DRIFT}) q) a join ({_DRIFT}) x on x.symbol = a.symbol and x.n = a.n + a.h"
-_SCORED = f"select symbol, t, h, y, coalesce(d, 0) * h as p, case when n % 10 = 0 and n >= 80 then 1 else 0 end as origin from ({_FUTURE}) z where y is not null"
-_PROB = f"select symbol, h, case when y >= 0 then 1 else 0 end as y, 1 / (1 + exp(-greatest(-20, least(20, p)))) as p from ({_SCORED}) z where origin = 1"
 _GRID = "select symbol, t, c, n from (select *, row_number() over (partition by symbol order by t) as n from {bars}) g"
-_PAIRS = "select a.symbol as sym, b.symbol as other, a.t as t, a.c as ac, b.c as bc from {bars} a join {bars} b on a.t = b.t where a.symbol = 'click' and b.symbol <> 'click'"
+_PAIRS = "select a.symbol as sym, b.symbol as other, a.t as t, a.c as ac, b.c as bc from {bars} a join {bars} b on a.t = b.t where a.symbol = (select min(symbol) from {bars}) and b.symbol <> a.symbol"
 _PRET = f"select *, case when ac > 0 and lag(ac) over s > 0 then ln(ac / lag(ac) over s) end as ar, case when bc > 0 and lag(bc) over s > 0 then ln(bc / lag(bc) over s) end as br from ({_PAIRS}) q window s as (partition by other order by t)"
 
 PLANS = {
@@ -40,31 +37,22 @@ PLANS = {
     "k15_quantiles": f"select symbol, round(percentile_(r, 0.1), 8) as q10, round(percentile_(r, 0.5), 8) as q50, round(percentile_(r, 0.9), 8) as q90 from ({_RET}) q where r is not null group by symbol",
     "a4_aligned_closes": f"select other, t, round(ac, 6) as ac, round(bc, 6) as bc from ({_PAIRS}) q",
     "j2_exact_grid": "select a.symbol, a.t, round(a.c - b.c, 6) as move3 from {bars} a left join {bars} b on b.symbol = a.symbol and b.t = a.t - 43200",
-    "x1_move_class": f"select other, t, case when ar is null or br is null then 'unknown' when abs(ar) < 0.001 and abs(br) < 0.001 then 'quiet' when ar > 0 and br > 0 then 'synchronized_breakout' when ar < 0 and br < 0 then 'synchronized_breakdown' else 'decoupled' end as move from ({_PRET}) q",
+    "x1_move_class": f"select other, t, case when ar is null or br is null then 'unknown' when abs(ar) < 0.001 or abs(br) < 0.001 then 'quiet' when ar > 0 and br > 0 then 'synchronized_breakout' when ar < 0 and br < 0 then 'synchronized_breakdown' else 'decoupled' end as move from ({_PRET}) q",
     "x2_pair_state": f"select other, t, round(ar - br, 8) as strength1, round(case when ac > 0 and bc > 0 and lag(ac, 24) over s > 0 and lag(bc, 24) over s > 0 then ln(ac / lag(ac, 24) over s) - ln(bc / lag(bc, 24) over s) end, 8) as strength24 from ({_PRET}) q window s as (partition by other order by t)",
     "m1_drift": f"select symbol, t, round(d, 8) as drift from ({_DRIFT}) q",
     "m2_baseline_forecast": f"select symbol, t, h, round(d * h, 8) as expected from ({_DRIFT}) q cross join (select explode_(1, 10) as h) k where d is not null",
-    "e2_brier": f"select symbol, h, round(avg((p - y) * (p - y)), 8) as brier from ({_PROB}) q group by symbol, h",
-    "e5_direction": f"select symbol, h, round(avg(case when (y >= 0) = (p >= 0) then 1.0e0 else 0.0e0 end), 8) as accuracy, count(case when p <> 0 then 1 end) as signed_n, round(avg(case when p <> 0 then case when sign(y) = sign(p) then 1.0e0 else 0.0e0 end end), 8) as signed_accuracy from ({_SCORED}) q where origin = 1 group by symbol, h",
-    "e7_calibration_error": f"select symbol, round(sum(k * abs(mp - my)) / sum(k), 8) as ece from (select symbol, least(9, floor(p * 10)) as b, count(*) as k, avg(p) as mp, avg(y * 1.0e0) as my from ({_PROB}) q group by symbol, least(9, floor(p * 10))) z group by symbol",
-    "e8_reliability": f"select symbol, cast(least(9, floor(p * 10)) as int) as bin, count(*) as n, round(avg(p), 8) as mean_predicted, round(avg(y * 1.0e0), 8) as mean_actual from ({_PROB}) q group by symbol, cast(least(9, floor(p * 10)) as int)",
     "p1_window_pivots": f"select symbol, t, known_t, known_t + 14400 as known_close, round(price, 6) as price, kind from ({_PIVOTS}) q",
     "p6_swing_state": f"select symbol, case when hn < 2 or ln_ < 2 then 'insufficient' when h1 > h2 and l1 > l2 then 'HH_HL' when h1 <= h2 and l1 <= l2 then 'LH_LL' else 'mixed' end as swing from (select symbol, max(case when kind = 'high' and k = 1 then price end) as h1, max(case when kind = 'high' and k = 2 then price end) as h2, max(case when kind = 'low' and k = 1 then price end) as l1, max(case when kind = 'low' and k = 2 then price end) as l2, sum(case when kind = 'high' then 1 else 0 end) as hn, sum(case when kind = 'low' then 1 else 0 end) as ln_ from (select *, row_number() over (partition by symbol, kind order by t desc) as k from ({_PIVOTS}) q) z group by symbol) y",
     "p7_zone_range": f"select symbol, t, kind, round(price - greatest(0.001 * abs(price), 0.00000001) / 2, 6) as lower_, round(price + greatest(0.001 * abs(price), 0.00000001) / 2, 6) as upper_ from ({_PIVOTS}) q",
-    "r7_analogs": f"select symbol, t, round(dist, 8) as dist from (select *, row_number() over (partition by symbol order by dist, t) as k from (select a.symbol, a.t, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) as dist from (select symbol, t, n, sum(r) over (partition by symbol order by t rows between 11 preceding and current row) as x, sum(r) over (partition by symbol order by t rows between 23 preceding and current row) as y, sqrt(avg(r * r) over (partition by symbol order by t rows between 23 preceding and current row)) as z, max(n) over (partition by symbol) as last_n from ({_RET}) q) a join (select * from (select symbol, n, sum(r) over (partition by symbol order by t rows between 11 preceding and current row) as x, sum(r) over (partition by symbol order by t rows between 23 preceding and current row) as y, sqrt(avg(r * r) over (partition by symbol order by t rows between 23 preceding and current row)) as z, max(n) over (partition by symbol) as m from ({_RET}) q) l where n = m) b on a.symbol = b.symbol where a.n >= 81 and (a.n - 81) % 8 = 0 and a.n <= a.last_n - 10) d) e where k <= 5",
     "h4_compression": "select symbol, t, case when n >= 16 and (h8 - l8) < 0.6 * (ph - pl) then 1 else 0 end as compressed from (select symbol, t, row_number() over (partition by symbol order by t) as n, max(h) over w as h8, min(l) over w as l8, max(h) over p as ph, min(l) over p as pl from {bars} window w as (partition by symbol order by t rows between 7 preceding and current row), p as (partition by symbol order by t rows between 15 preceding and 8 preceding)) q",
-    "h7_accumulation": "select symbol, t, n12, upper_half, round(upv - downv, 6) as volume_balance from (select symbol, t, count(*) over w as n12, sum(case when c >= (h + l) / 2 then 1 else 0 end) over w as upper_half, sum(case when c >= o then v else 0 end) over w as upv, sum(case when c < o then v else 0 end) over w as downv from {bars} window w as (partition by symbol order by t rows between 11 preceding and current row)) q",
     "h10_evidence_score": "select symbol, round((e + 2 * k - x) * 1.0e0 / (e + x + k + 1), 8) as score from (select symbol, sum(case when c > o then 1 else 0 end) as e, sum(case when c < o then 1 else 0 end) as x, sum(case when h - l > 0 and (c - l) / (h - l) > 0.9 then 1 else 0 end) as k from (select symbol, t, o, h, l, c from {bars}) q where h > l group by symbol) z",
     "t1_rule_firing": "select symbol, min(case when c > lvl then t end) as close_above, min(case when c < lvl then t end) as close_below, min(case when h > lvl then t end) as high_above, min(case when l < lvl then t end) as low_below from (select *, avg(c) over (partition by symbol order by t rows between 20 preceding and 1 preceding) as lvl from {bars}) q where lvl is not null group by symbol",
-    "j4_outcomes": f"select symbol, t, h, round(y, 8) as realized, case when y > 0 then 1 else 0 end as above from ({_SCORED}) q",
     "j8_unjournaled_origins": f"select a.symbol, a.t from (select symbol, t, n from ({_GRID}) g where n >= 21) a left join (select symbol, t from ({_GRID}) g where n % 3 = 0) j on a.symbol = j.symbol and a.t = j.t where j.t is null",
     "q2_latest_forecast": f"select symbol, t, round(d, 8) as drift from (select *, row_number() over (partition by symbol order by t desc) as k from ({_DRIFT}) q where t + 14400 <= 1705276800) z where k = 1",
-    "e9_rollup_scores": f"select symbol, h, round(avg(abs(y - p)), 8) as mae from ({_SCORED}) q where origin = 1 group by rollup(symbol, h)",
     "f18_freshness": "select symbol, case when 1706659200 - (max(t) + 14400) <= 720 then 'live' else 'stale' end as freshness from {bars} group by symbol",
-    "h1_continuation": f"select symbol, h1, h2, l1, l2, case when h1 > h2 and l1 > l2 then 'bull_continuation' when h1 < h2 and l1 < l2 then 'bear_continuation' else 'none' end as pattern from (select symbol, round(max(case when kind = 'high' and k = 1 then price end), 6) as h1, round(max(case when kind = 'high' and k = 2 then price end), 6) as h2, round(max(case when kind = 'low' and k = 1 then price end), 6) as l1, round(max(case when kind = 'low' and k = 2 then price end), 6) as l2 from (select *, row_number() over (partition by symbol, kind order by t desc) as k from ({_PIVOTS}) q) z group by symbol) y",
+    "h1_continuation": f"select symbol, h1, h2, l1, l2, case when h1 > h2 and l1 > l2 then 'bull_continuation' when h1 <= h2 and l1 <= l2 then 'bear_continuation' else 'none' end as pattern from (select symbol, round(max(case when kind = 'high' and k = 1 then price end), 6) as h1, round(max(case when kind = 'high' and k = 2 then price end), 6) as h2, round(max(case when kind = 'low' and k = 1 then price end), 6) as l1, round(max(case when kind = 'low' and k = 2 then price end), 6) as l2 from (select *, row_number() over (partition by symbol, kind order by t desc) as k from ({_PIVOTS}) q) z group by symbol) y",
     "h2_flag_impulse": f"select symbol, t as impulse_t, round(move, 6) as impulse from (select *, row_number() over (partition by symbol order by abs(move) desc, t) as k from (select symbol, t, price - lag(price) over (partition by symbol order by t, kind) as move from ({_PIVOTS}) q) z where move is not null) y where k = 1",
     "h8_alternating_six": f"select symbol, count(*) as pivots, sum(case when kind <> pk or pk is null then 1 else 0 end) as alternating from (select symbol, kind, lag(kind) over (partition by symbol order by t, kind) as pk, row_number() over (partition by symbol order by t desc, kind desc) as k from ({_PIVOTS}) q) z where k <= 6 group by symbol",
-    "j5_matured_scores": f"select symbol, h, count(*) as n, case when count(*) >= 8 then round(avg(abs(y - p)), 8) end as mae, case when count(*) >= 8 then round(sqrt(avg((y - p) * (y - p))), 8) end as rmse from ({_SCORED}) q where origin = 1 and t + (h + 1) * 14400 <= 1705968000 group by symbol, h",
     "k20_simple_returns": f"select symbol, t, h, round(exp(d * h) - 1, 8) as simple_return from ({_DRIFT}) q cross join (select explode_(1, 10) as h) k where d is not null",
     "m4_in_sample_drift": f"select symbol, t, case when count(r) over w = 20 then round(avg(r) over w, 8) end as drift from ({_RET}) q window w as (partition by symbol order by t rows between 19 preceding and current row)",
     "m7_eligible_origins": f"select symbol, t, t + 11 * 14400 as matured from (select *, max(n) over (partition by symbol) as last_n from ({_GRID}) g) q where n >= 24 and n + 10 <= last_n",
@@ -74,8 +62,8 @@ PLANS = {
 }
 PLANS |= pattern_plans.plans(_PIVOTS)
 
-_SPARK = {"percentile_(": "percentile(", "sha2_(": "sha1(", "string_)": "string)", "explode_(": "explode(sequence("}
-_DUCK = {"percentile_(": "quantile_cont(", "sha2_(": "sha1(", "string_)": "varchar)", "explode_(": "unnest(generate_series("}
+_SPARK = {"percentile_(": "percentile(", "explode_(": "explode(sequence("}
+_DUCK = {"percentile_(": "quantile_cont(", "explode_(": "unnest(generate_series("}
 
 
 def _dialect(body: str, words: dict[str, str]) -> str:

@@ -110,12 +110,16 @@ def p14_tracked_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The feature query's hourly bars, parents, and the series that stand for the two companions.
-PARENTS, COMPANIONS, SYMBOLS = {"2h": 120, "4h": 240, "8h": 480, "1d": 1440}, {"btc": "click", "eth": "view"}, ["click", "error", "purchase", "signup", "view"]
+PARENTS, COMPANIONS = {"2h": 120, "4h": 240, "8h": 480, "1d": 1440}, {"btc": "click", "eth": "view"}
+
+
+def _symbols(bars: DataFrame) -> list[str]:
+    return sorted(r["symbol"] for r in bars.select("symbol").distinct().collect())
 
 
 def a6_feature_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 179 columns for every hourly bar."""
-    return _rounded(feature_history(bars_from_events(spark, sf_dir, 60), 60, PARENTS, COMPANIONS, SYMBOLS, "avax", "1h"))
+    return _rounded(feature_history(bars_from_events(spark, sf_dir, 60), 60, PARENTS, COMPANIONS, _symbols(bars_from_events(spark, sf_dir, 60)), "avax", "1h"))
 
 
 def s3_immutable_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -411,6 +415,61 @@ def h12_rule_firings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.firings(_rules(spark, sf_dir), bars_from_events(spark, sf_dir).withColumn("timeframe", F.lit("4h")), pivots)
 
 
+def _drift_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth bar from the index 80 on with all its outcomes, by horizon: y, and p of the drift (0 without one)."""
+    rows = forecasts.origins(forecasts.outcomes(forecasts.drifts(bars_from_events(spark, sf_dir))), 80, 10)
+    return rows.withColumn("p", F.coalesce("drift", F.lit(0.0)) * F.col("h"))
+
+
+def e5_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits by sign, where 0 counts as a rise; and among predictions with a sign."""
+    y, p = F.col("y"), F.col("p")
+    share = lambda test: F.avg(test.cast("double"))
+    out = _drift_origins(spark, sf_dir).groupBy("symbol", "h").agg(share((y >= 0) == (p >= 0)).alias("accuracy"), F.count(F.when(p != 0, 1)).alias("signed_n"), share(F.when(p != 0, (y > 0) == (p > 0))).alias("signed_accuracy"))
+    return _rounded(out)
+
+
+def e9_rollup_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _drift_origins(spark, sf_dir).rollup("symbol", "h").agg(F.round(F.avg(F.abs(F.col("y") - F.col("p"))), 8).alias("mae"))
+
+
+def j5_matured_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of the drift over outcomes that were known four fifths into the series; null below eight of them."""
+    rows = _drift_origins(spark, sf_dir).where((F.col("n") + F.col("h")) * 5 <= F.col("last") * 4)
+    e = F.col("y") - F.col("p")
+    enough = lambda c: F.when(F.count("*") >= 8, F.round(c, 8))
+    return rows.groupBy("symbol", "h").agg(F.count("*").alias("n"), enough(F.avg(F.abs(e))).alias("mae"), enough(F.sqrt(F.avg(e * e))).alias("rmse"))
+
+
+def _judged_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = m10_signed_probability(spark, sf_dir).where("p_up is not null").withColumn("up", (F.col("y") > 0).cast("double"))
+    return rows.withColumn("bin", F.least(F.lit(9), F.floor(F.col("p_up") * 10)).cast("int"))
+
+
+def e2_brier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged_probabilities(spark, sf_dir).groupBy("symbol", "h").agg(F.round(F.avg((F.col("p_up") - F.col("up")) ** 2), 6).alias("brier"))
+
+
+def e8_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged_probabilities(spark, sf_dir).groupBy("symbol", "bin").agg(F.count("*").alias("n"), F.round(F.avg("p_up"), 6).alias("mean_predicted"), F.round(F.avg("up"), 6).alias("mean_actual"))
+
+
+def e7_calibration_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bins = _judged_probabilities(spark, sf_dir).groupBy("symbol", "bin").agg(F.count("*").alias("k"), F.abs(F.avg("p_up") - F.avg("up")).alias("off"))
+    return bins.groupBy("symbol").agg(F.round(F.sum(F.col("k") * F.col("off")) / F.sum("k"), 6).alias("ece"))
+
+
+def j4_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every bar's realised returns, and whether they rose."""
+    rows = forecasts.outcomes(forecasts.drifts(bars_from_events(spark, sf_dir)))
+    return rows.select("symbol", "t", "h", F.round("y", 8).alias("realized"), (F.col("y") > 0).cast("int").alias("above"))
+
+
+def h7_accumulation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every bar's box of twelve bars: closes in its upper half, volume of rises less falls, and the decision with the last three pivots of each kind known at the bar."""
+    return _rounded(regimes.accumulation(bars_from_events(spark, sf_dir)))
+
+
 def h5_level_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What came of the level of every pivot, from the bar on that confirmed it."""
     bars, pivots = bars_from_events(spark, sf_dir), _pivots(spark, sf_dir)
@@ -420,7 +479,7 @@ def h5_level_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("symbol", "kind", F.round("level", 6).alias("level"), "side", "cross_t", "run", "outcome")
 
 
-def h13_evaluated_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+def h13_evaluated_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rule pair for each high pivot, confirmed by a close above it and invalidated by one below the last low known by then; the invalidation wins."""
     bars, pivots = bars_from_events(spark, sf_dir), _pivots(spark, sf_dir)
     lows = pivots.where("kind = 'low'").select("symbol", F.col("known_t").alias("low_known"), F.col("price").alias("invalid"))
@@ -471,14 +530,14 @@ def model_names(base: str = "5m", parents: tuple[str, ...] = ("15m", "1h", "4h",
 
 def a8_model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feature history's 18 model inputs; what is null or not finite is 0."""
-    history = feature_history(bars_from_events(spark, sf_dir, 60), 60, PARENTS, COMPANIONS, SYMBOLS, "avax", "1h")
+    history = feature_history(bars_from_events(spark, sf_dir, 60), 60, PARENTS, COMPANIONS, _symbols(bars_from_events(spark, sf_dir, 60)), "avax", "1h")
     sound = lambda c: F.when(F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf")), 0.0).otherwise(F.col(c))
     return _rounded(history.select("symbol", "t", *[sound(c).alias(c) for c in model_names("1h", tuple(PARENTS))]))
 
 
 def _model_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = bars_from_events(spark, sf_dir, 60)
-    return durable(model_inputs(bars, feature_history(bars, 60, PARENTS, COMPANIONS, SYMBOLS, "avax", "1h"), model_names("1h", tuple(PARENTS))))
+    return durable(model_inputs(bars, feature_history(bars, 60, PARENTS, COMPANIONS, _symbols(bars_from_events(spark, sf_dir, 60)), "avax", "1h"), model_names("1h", tuple(PARENTS))))
 
 
 def m8_model_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -557,7 +616,7 @@ _OWN = (p4_zone_clusters, m8_quantile_forecast, m12_walk_forward_ridge, a6_featu
 _OWN += (r1_timeframe_state, r2_r3_r4_parent_context, r5_regime_scores, r6_parent_child, t8_transitions, s6_manifest, s7_payload_hashes)
 _OWN += (m3_walk_forward_mae, m5_gated_drift, m6_gated_walk_forward, m10_signed_probability, m11_probability_scores, e3_pinball, e4_coverage, s12_fixture, b2_b3_swing_anchors, b4_measured_moves, b5_fib_levels, p5_zone_ids, p10_plateaus, p12_band_position)
 _OWN += (f15_integrity_issues, f16_integrity_report, f17_verified, f19_last_prints, x3_vol_regime, x6_cross_market, m13_outcomes, m14_journal_scores, q9_catch_up, e9_merged_scores, e11_inspected_horizons)
-_OWN += (p8_specs_at_formation, p9_specs_now, j11_pivot_zones, h6_level_resolution, h5_level_outcomes, h13_evaluated_pivots, h11_relations, h12_rule_firings, h15_fingerprints, a8_model_rows, a10_availability, w1_sliding_bars, w2_sessions)
+_OWN += (p8_specs_at_formation, p9_specs_now, j11_pivot_zones, e2_brier, e5_direction, e7_calibration_error, e8_reliability, e9_rollup_scores, j4_outcomes, j5_matured_scores, h7_accumulation, h6_level_resolution, h5_level_outcomes, h13_evaluated_rules, h11_relations, h12_rule_firings, h15_fingerprints, a8_model_rows, a10_availability, w1_sliding_bars, w2_sessions)
 QUERIES = {name: _plan(name) for name in bar_plans.PLANS} | {f.__name__: f for f in (*_OWN, m15_walk_windows)}
 
 _A = {s: f"({2 / (s + 1)!r})::double" for s in (9, 20, 200)}
@@ -967,7 +1026,7 @@ ORACLES["h5_level_outcomes"] = f"""with {_V}, b as materialized (select *, row_n
     e as (select s.*, (select min(x.n) from x where x.symbol = s.symbol and x.kind = s.kind and x.level = s.level and x.n > s.n and case s.side when 'above' then x.c <= x.level else x.c >= x.level end) as ended from s),
     r as (select e.*, coalesce(ended, (select max(n) + 1 from b where b.symbol = e.symbol)) - n as run, exists (select 1 from x where x.symbol = e.symbol and x.kind = e.kind and x.level = e.level and x.n > e.ended and x.c > x.level and x.before > x.level) as back from e)
     select lv.symbol, lv.kind, round(lv.level, 6) as level, side, cross_t, run, case when run < 2 and ended is not null then 'failed_breakout' when side = 'below' and run >= 2 and back then 'successful_reclaim' end as outcome from lv left join r using (symbol, kind, level)"""
-ORACLES["h13_evaluated_pivots"] = f"""with {_V}, b as (select * from ({bars_sql()})), r as (select h.symbol, h.t, h.known_t, h.price as confirm, (select arg_max(price, known_t) from v l where l.symbol = h.symbol and l.kind = 'low' and l.known_t <= h.known_t) as invalid from v h where h.kind = 'high'),
+ORACLES["h13_evaluated_rules"] = f"""with {_V}, b as (select * from ({bars_sql()})), r as (select h.symbol, h.t, h.known_t, h.price as confirm, (select arg_max(price, known_t) from v l where l.symbol = h.symbol and l.kind = 'low' and l.known_t <= h.known_t) as invalid from v h where h.kind = 'high'),
     f as (select r.*, (select min(b.t) from b where b.symbol = r.symbol and b.t > r.known_t and b.c > confirm) as up_t, (select min(b.t) from b where b.symbol = r.symbol and b.t > r.known_t and b.c < invalid) as down_t from r where invalid is not null)
     select symbol, t, round(confirm, 6) as confirm, round(invalid, 6) as invalid, case when down_t is not null then 'invalidated' when up_t is not null then 'confirmed' else 'open' end as status, coalesce(down_t, up_t) as closed_t from f"""
 
@@ -975,3 +1034,24 @@ ORACLES["h13_evaluated_pivots"] = f"""with {_V}, b as (select * from ({bars_sql(
 _PAYLOAD = f"""(select symbol, t, '{{"close":' || c || ',"high":' || h || ',"low":' || l || ',"open":' || o || ',"open_time":"' || strftime(make_timestamp(t * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') || '","symbol":"' || symbol || '","timeframe":"4h","volume":' || v || '}}' as p from ({bars_sql()}))"""
 ORACLES["s6_manifest"] = f"select symbol, count(*) as bars, min(t) as first_t, max(t) as last_t, sha256(string_agg(p || chr(10), '' order by t)) as sha256 from {_PAYLOAD} group by 1"
 ORACLES["s7_payload_hashes"] = f"select symbol, t, sha256(p) as payload_sha256 from {_PAYLOAD}"
+
+#: Drift origins by joins on the bars' numbers.
+_DRIFTED = f"""dr as materialized (select *, case when n > 20 then avg(r) over (partition by symbol order by n rows between 18 preceding and current row) end as drift from (select symbol, t, c, row_number() over s as n, count(*) over (partition by symbol) as last, ln(c / lag(c) over s) as r from ({bars_sql()}) window s as (partition by symbol order by t))),
+    fu as materialized (select a.*, b.n - a.n as h, ln(b.c / a.c) as y, coalesce(a.drift, 0) * (b.n - a.n) as p from dr a join dr b on a.symbol = b.symbol and b.n between a.n + 1 and a.n + 10),
+    og as (select * from fu where n > 80 and (n - 81) % 10 = 0 and n + 10 <= last)"""
+ORACLES["j4_outcomes"] = f"with {_DRIFTED} select symbol, t, h::int as h, round(y, 8) as realized, (y > 0)::int as above from fu"
+ORACLES["e5_direction"] = f"with {_DRIFTED} select symbol, h::int as h, round(avg(((y >= 0) = (p >= 0))::int), 6) as accuracy, count(*) filter (p <> 0) as signed_n, round(avg(((y > 0) = (p > 0))::int) filter (p <> 0), 6) as signed_accuracy from og group by 1, 2"
+ORACLES["e9_rollup_scores"] = f"with {_DRIFTED} select symbol, h::int as h, round(avg(abs(y - p)), 8) as mae from og group by 1, 2 union all select symbol, null, round(avg(abs(y - p)), 8) from og group by 1 union all select null, null, round(avg(abs(y - p)), 8) from og"
+ORACLES["j5_matured_scores"] = f"with {_DRIFTED}, m as (select * from og where (n + h) * 5 <= last * 4) select symbol, h::int as h, count(*) as n, case when count(*) >= 8 then round(avg(abs(y - p)), 8) end as mae, case when count(*) >= 8 then round(sqrt(avg((y - p) ** 2)), 8) end as rmse from m group by 1, 2"
+_JUDGED = f"jp as (select *, (y > 0)::int as up, least(9, floor(p_up * 10))::int as bin from ({ORACLES['m10_signed_probability']}) where p_up is not null)"
+ORACLES["e2_brier"] = f"with {_JUDGED} select symbol, h, round(avg((p_up - up) ** 2), 6) as brier from jp group by 1, 2"
+ORACLES["e8_reliability"] = f"with {_JUDGED} select symbol, bin, count(*) as n, round(avg(p_up), 6) as mean_predicted, round(avg(up), 6) as mean_actual from jp group by 1, 2"
+ORACLES["e7_calibration_error"] = f"with {_JUDGED} select symbol, round(sum(k * off) / sum(k), 6) as ece from (select symbol, bin, count(*) as k, abs(avg(p_up) - avg(up)) as off from jp group by 1, 2) group by 1"
+ORACLES["h7_accumulation"] = f"""with {_V}, b as materialized (select *, row_number() over (partition by symbol order by t) as n from ({bars_sql()})),
+    x as (select a.symbol, a.t, a.n, max(b.h) as hi, min(b.l) as lo, sum(case when b.c >= b.o then b.v else -b.v end) as balance, list(b.c) as cs from b a join b on b.symbol = a.symbol and b.n between a.n - 11 and a.n group by 1, 2, 3 having count(*) = 12),
+    y as (select x.*, len(list_filter(cs, lambda c: c >= (hi + lo) / 2)) as upper_half, (select list(price order by t desc)[1:3] from v where v.symbol = x.symbol and v.kind = 'low' and v.known_t <= x.t) as lows, (select list(price order by t desc)[1:3] from v where v.symbol = x.symbol and v.kind = 'high' and v.known_t <= x.t) as highs from x)
+    select symbol, t, upper_half::bigint as upper_half, round(balance, 6) as volume_balance, case when hi <= lo then 'none' when len(lows) > 1 and lows[1] > lows[len(lows)] and upper_half >= 6 and balance >= 0 then 'accumulation' when len(highs) > 1 and highs[1] < highs[len(highs)] and upper_half <= 6 and balance <= 0 then 'distribution' else 'none' end as decision from y"""
+ORACLES["x1_move_class"] = f"""with p as (select b.symbol as other, a.t, ln(a.c / lag(a.c) over s) as ar, ln(b.c / lag(b.c) over s) as br from ({bars_sql()}) a join ({bars_sql()}) b on a.t = b.t and a.symbol < b.symbol where a.symbol = (select min(event_type) from events) window s as (partition by b.symbol order by a.t))
+    select other, t, case when ar is null or br is null then 'unknown' when least(abs(ar), abs(br)) < 0.001::double then 'quiet' when sign(ar) <> sign(br) then 'decoupled' when ar > 0 then 'synchronized_breakout' else 'synchronized_breakdown' end as move from p"""
+ORACLES["h1_continuation"] = f"""with {_V}, l as (select symbol, list(price order by t desc) filter (kind = 'high') as hs, list(price order by t desc) filter (kind = 'low') as ls from v group by 1)
+    select symbol, round(hs[1], 6) as h1, round(hs[2], 6) as h2, round(ls[1], 6) as l1, round(ls[2], 6) as l2, case when round(hs[1], 6) > round(hs[2], 6) and round(ls[1], 6) > round(ls[2], 6) then 'bull_continuation' when round(hs[1], 6) <= round(hs[2], 6) and round(ls[1], 6) <= round(ls[2], 6) then 'bear_continuation' else 'none' end as pattern from l"""
