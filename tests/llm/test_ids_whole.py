@@ -62,3 +62,14 @@ def test_owners_and_repositories_are_counted_apart(spark):
     d = spark.createDataFrame([(k, key, f"repo{k}", "one") for k in range(5)], "doc_id long, text string, repo string, who string")
     found = secret_scan.scan(d, "repo", "who")
     assert [(r.n_repositories, r.n_owners, r.live) for r in secret_scan.ownership(found).collect()] == [(5, 1, True)]
+
+
+def test_edits_with_nulls(spark):
+    from tidebar.llm import token_counts
+
+    docs = spark.createDataFrame([(1, "one two three"), (2, None)], "doc_id long, text string")
+    edits = spark.createDataFrame([(1, 1, None, 4, "x "), (1, 2, 3, None, "y"), (1, 3, None, None, None), (2, 1, None, None, "z")], "doc_id long, no int, at int, cut int, put string")
+    got = {r.doc_id: r.tokens_after for r in token_counts.recount(docs, edits).collect()}
+    count = lambda t: len(token_counts.encoding(None).encode_ordinary(t))
+    assert got == {1: count("x tywo three"), 2: count("z")}
+    assert token_counts.recount(docs.limit(0), edits).count() == 0

@@ -7,7 +7,7 @@ updates the sums on the way up; no other text is encoded again.
 
 A leaf ends where white space follows another character: there every split of the text
 into pre-tokens has a boundary, whatever stands further on.
-Defined results: null texts are empty; edits beyond the text are clipped to it; edits of one document are applied by
+Defined results: null texts are empty; an edit's null place or cut is 0, its null text empty; an empty table gives an empty result; edits beyond the text are clipped to it; edits of one document are applied by
 their number; repeated rows each get a row and all edits of their doc_id; other columns are ignored.
 """
 
@@ -103,7 +103,7 @@ def _recount(path: str | None, size: int):
                 tree = Tree(r.text or "", lambda t: len(encode(t)), size)
                 before, n_leaves, first = tree.total, len(tree.leaves), tree.encoded
                 for e in r.edits if r.edits is not None else ():
-                    tree.edit(e["at"], e["cut"], e["put"] or "")
+                    tree.edit(e["at"] or 0, e["cut"] or 0, e["put"] or "")
                 out.append((r.doc_id, before, tree.total, n_leaves, first, tree.encoded - first))
             yield pd.DataFrame(out, columns=["doc_id", "tokens_before", "tokens_after", "n_leaves", "chars_before", "chars_again"])
 
