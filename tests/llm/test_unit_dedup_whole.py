@@ -34,3 +34,10 @@ def test_units_are_in_order_and_whole():
     assert [u[0] for u in own] == list(range(len(own)))
     assert " ".join(" ".join(text[a:b] for _, a, b, *_ in own).split()) == " ".join(text.split())
     assert [text[a:b] for _, a, b, _, _, line in found if line] == ["One two. Three", sentence(8, 9)]
+
+
+def test_rows_without_an_id_keep_nothing_that_others_have(spark):
+    shared, alone = sentence(31, 30), sentence(32, 30)
+    rows = [(None, f"{shared}\n{alone}"), (5, shared), (3, shared), (None, alone)]
+    out = unit_dedup.repeated_passages(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((str(r.doc_id), r.kept_doc_ids) for r in out) == [("5", [3]), ("None", []), ("None", [3])]

@@ -7,7 +7,7 @@ least (doc_id, start) is kept. Neighbouring repeated units of a document form on
 of at least ``least`` words are removed, with their offsets in the original text. Of shorter ones whole lines are removed whose line stands before, each for itself.
 
 Defined results: null and empty texts have no units; repeated rows (the same doc_id) count as one document's rows in
-order of their text; ties go to the least doc_id and start; other columns are ignored; an empty table gives an
+order of their text; ties go to the least doc_id and start; a row with a null doc_id comes after all others; other columns are ignored; an empty table gives an
 empty result.
 """
 
@@ -92,7 +92,8 @@ def repeated_passages(documents: DataFrame, least: int = LEAST) -> DataFrame:
 
 def _passages(docs: DataFrame, least: int) -> DataFrame:
     every = durable(as_long(docs.select("rid", as_text("doc_id"), "text").mapInPandas(_units(least), "rid long, doc_id string, no int, start int, end int, words int, digest long, line boolean"), "doc_id"))
-    place = F.struct("doc_id", "rid", "start")
+    # a row without a doc_id keeps a unit only where no other row has it
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "rid", "start")
     firsts = durable(every.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"))
     heavy = F.col("n") * HOT_SHARE > every.count()
     hot, rest = F.broadcast(firsts.where(heavy).drop("n")), firsts.where(~heavy).drop("n")
