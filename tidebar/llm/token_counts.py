@@ -94,6 +94,11 @@ class Tree:
             self._sums(old[:lo] + counts + old[hi + 1 :])
 
 
+def _whole(x: float | None) -> int:
+    """A null beside numbers arrives as NaN and makes them floats."""
+    return 0 if x is None or x != x else int(x)
+
+
 def _recount(path: str | None, size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoding(path).encode_ordinary
@@ -103,7 +108,7 @@ def _recount(path: str | None, size: int):
                 tree = Tree(r.text or "", lambda t: len(encode(t)), size)
                 before, n_leaves, first = tree.total, len(tree.leaves), tree.encoded
                 for e in r.edits if r.edits is not None else ():
-                    tree.edit(e["at"] or 0, e["cut"] or 0, e["put"] or "")
+                    tree.edit(_whole(e["at"]), _whole(e["cut"]), e["put"] or "")
                 out.append((r.doc_id, before, tree.total, n_leaves, first, tree.encoded - first))
             yield pd.DataFrame(out, columns=["doc_id", "tokens_before", "tokens_after", "n_leaves", "chars_before", "chars_again"])
 
