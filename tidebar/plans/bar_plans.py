@@ -56,7 +56,6 @@ PLANS = {
     "k20_simple_returns": f"select symbol, t, h, round(exp(d * h) - 1, 8) as simple_return from ({_DRIFT}) q cross join (select explode_(1, 10) as h) k where d is not null",
     "m4_in_sample_drift": f"select symbol, t, case when count(r) over w = 20 then round(avg(r) over w, 8) end as drift from ({_RET}) q window w as (partition by symbol order by t rows between 19 preceding and current row)",
     "m7_eligible_origins": f"select symbol, t, t + 11 * 14400 as matured from (select *, max(n) over (partition by symbol) as last_n from ({_GRID}) g) q where n >= 24 and n + 10 <= last_n",
-    "q6_chart_rows": "select symbol, t, o, h, l, c, v from (select *, row_number() over (partition by symbol order by t desc) as k from {bars}) q where k <= 50",
     "t4_structure_extreme": f"select b.symbol, round(coalesce(p.hi, b.hi), 6) as structure_high, round(coalesce(p.lo, b.lo), 6) as structure_low from (select symbol, max(h) as hi, min(l) as lo from {{bars}} group by symbol) b left join (select symbol, max(price) as hi, min(price) as lo from ({_PIVOTS}) q group by symbol) p on b.symbol = p.symbol",
     "x4_return_regime": f"select other, t, case when bc > 0 and lag(bc, 24) over s > 0 then case when ln(bc / lag(bc, 24) over s) > 0.005 then 'bullish' when ln(bc / lag(bc, 24) over s) < -0.005 then 'bearish' else 'neutral' end else 'unknown' end as regime from ({_PAIRS}) q window s as (partition by other order by t)",
 }

@@ -40,24 +40,6 @@ def plans(pivots: str) -> dict[str, str]:
     waves = f"""select *, case when {sign} * (w2 - w0) > 0 then 1 else 0 end as holds_origin, case when {sign} * (w4 - w1) > 0 then 1 else 0 end as no_overlap,
         case when abs(w3 - w2) > least(abs(w1 - w0), abs(w5 - w4)) then 1 else 0 end as not_shortest from ({six}) w"""
 
-    # every level of the last six pivots against the symbol's closes: the first crossing, its run, and what followed
-    levels = f"select distinct symbol, kind, price from ({ranked}) p where pr <= 6"
-    closes = f"select l.symbol, l.kind, l.price, b.t, b.c, lag(b.c) over (partition by l.symbol, l.kind, l.price order by b.t) as p from ({levels}) l join {{bars}} b on b.symbol = l.symbol"
-    first = f"""select *, min(case when (p <= price and c > price) or (p >= price and c < price) then t end) over v as start_t from ({closes}) c window v as (partition by symbol, kind, price)"""
-    sided = f"""select *, max(case when t = start_t then case when c > price then 1 else -1 end end) over v as side from ({first}) c where start_t is not null window v as (partition by symbol, kind, price)"""
-    ended = f"select *, min(case when t > start_t and (c - price) * side <= 0 then t end) over v as end_t from ({sided}) c window v as (partition by symbol, kind, price)"
-    resolved = f"""select symbol, kind, price, max(side) as side, sum(case when t >= start_t and (end_t is null or t < end_t) then 1 else 0 end) as run, max(end_t) as end_t,
-        max(case when t > end_t and c > price and p > price then 1 else 0 end) as back from ({ended}) c group by symbol, kind, price"""
-    outcome = "case when run < 2 and end_t is not null then 'failed_breakout' when side = -1 and run >= 2 and back = 1 then 'successful_reclaim' end"
-
-    # a rule pair for each high pivot: confirmed by a close above it, invalidated by one below the last low known by then
-    lows = f"select symbol, known_t, price from ({pivots}) p where kind = 'low'"
-    pairs = f"""select h.symbol, h.t, h.known_t, h.price as confirm, max(l.known_t) as low_known from ({pivots}) h join ({lows}) l on l.symbol = h.symbol and l.known_t <= h.known_t
-        where h.kind = 'high' group by h.symbol, h.t, h.known_t, h.price"""
-    rules = f"select r.symbol, r.t, r.known_t, r.confirm, l.price as invalid from ({pairs}) r join ({lows}) l on l.symbol = r.symbol and l.known_t = r.low_known"
-    fired = f"""select r.symbol, r.t, r.confirm, r.invalid, min(case when b.c > r.confirm then b.t end) as up_t, min(case when b.c < r.invalid then b.t end) as down_t
-        from ({rules}) r left join {{bars}} b on b.symbol = r.symbol and b.t > r.known_t group by r.symbol, r.t, r.confirm, r.invalid"""
-
     score = "round((e + 2.0e0 * k - x) / (e + x + k + 1), 8)"
     kinds = f"""select symbol, case when subtype like '%wedge' then 'wedge' else 'triangle' end as kind, case when subtype in ('falling_wedge', 'ascending_triangle') then 'bull' when subtype = 'symmetrical_triangle' then 'neutral' else 'bear' end as direction, 3 as e, 0 as x, 0 as k from ({wedge}) w
         union all select symbol, 'flag', case when impulse_end > origin then 'bull' else 'bear' end, 2, case when (impulse_end > origin and flag_low < origin) or (impulse_end < origin and flag_high > origin) then 1 else 0 end, 0 from ({flag}) f
@@ -67,8 +49,6 @@ def plans(pivots: str) -> dict[str, str]:
     return {
         "h2_flag": f"select symbol, impulse_t, case when impulse_end > origin then 'bull' else 'bear' end as direction, round(origin, 6) as origin, round(flag_high, 6) as flag_high, round(flag_low, 6) as flag_low, case when (impulse_end > origin and flag_low < origin) or (impulse_end < origin and flag_high > origin) then 1 else 0 end as lost_origin from ({flag}) f",
         "h3_wedge_triangle": f"select symbol, subtype, round(h0 - l0, 6) as early_width, round(h1 - l1, 6) as late_width, round(upper, 6) as upper, round(lower, 6) as lower from ({wedge}) w",
-        "h5_break_outcomes": f"select symbol, kind, round(price, 6) as level, case when side = 1 then 'above' else 'below' end as side, cast(run as bigint) as run, {outcome} as outcome from ({resolved}) r",
         "h8_five_waves": f"select symbol, case when start_kind = 'low' then 'bull' else 'bear' end as direction, {', '.join(f'round(w{k}, 6) as w{k}' for k in range(6))}, holds_origin, no_overlap, not_shortest from ({waves}) w",
         "h9_ranked_hypotheses": f"select symbol, kind, direction, {score} as score, cast(row_number() over (partition by symbol order by {score} desc, kind, direction) as bigint) as rank from ({kinds}) h",
-        "h13_evaluated_rules": f"select symbol, t, round(confirm, 6) as confirm, round(invalid, 6) as invalid, case when down_t is not null then 'invalidated' when up_t is not null then 'confirmed' else 'open' end as status, coalesce(down_t, up_t) as closed_t from ({fired}) f",
     }

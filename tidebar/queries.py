@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import features, forecasts, integrity, journal, regimes, rules, snapshots, swings, theses
+from .operators import bridge, features, forecasts, integrity, journal, regimes, rules, snapshots, swings, theses
 from .operators.analogs import analogs
 from .operators.asof import asof_attach
 from .operators.clusters import memberships, specs_at_formation, specs_now, zone_clusters
@@ -479,6 +479,13 @@ def h5_level_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("symbol", "kind", F.round("level", 6).alias("level"), "side", "cross_t", "run", "outcome")
 
 
+def h5_break_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the levels of each symbol's last six pivots those that were crossed."""
+    newest = F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("t").desc(), F.col("kind").desc()))
+    last = _pivots(spark, sf_dir).withColumn("k", newest).where("k <= 6").select("symbol", "kind", F.round("price", 6).alias("level")).distinct()
+    return h5_level_outcomes(spark, sf_dir).join(last, ["symbol", "kind", "level"], "left_semi").where("side is not null").select("symbol", "kind", "level", "side", "run", "outcome")
+
+
 def h13_evaluated_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rule pair for each high pivot, confirmed by a close above it and invalidated by one below the last low known by then; the invalidation wins."""
     bars, pivots = bars_from_events(spark, sf_dir), _pivots(spark, sf_dir)
@@ -551,6 +558,40 @@ def m12_quantile_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(quantile_scores(quantile_forecasts(_model_inputs(spark, sf_dir))))
 
 
+def a9_legacy_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(bridge.legacy_rows(bars_from_events(spark, sf_dir), BASE, {"8h": 480, "1d": 1440}))
+
+
+def k22_strategy_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(bridge.strategy_rows(bars_from_events(spark, sf_dir)))
+
+
+def r8_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = bars_from_events(spark, sf_dir, 60)
+    return bridge.analysis(snapshots.timeframe_columns(bars, 60, {"1d": 1440, "4h": 240}, "1h"), ["1d", "4h", "1h"])
+
+
+def _thesis_versions(bars: DataFrame) -> DataFrame:
+    states = theses.with_structure(bars).join(regimes.timeframe_states(bars).select("symbol", "t", "regime"), ["symbol", "t"]).withColumn("known", F.col("t") + 60 * BASE)
+    log = theses.rebuilt_theses(states, "4h").where("what = 'version' and status = 'active'")
+    return log.select("symbol", "thesis_id", "created_at", "invalidation_rules", "invalidation_fingerprint")
+
+
+def j10_bound_theses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Theses rebuilt on bars whose highs were moved by a hundredth, bound to those stored from the bars as they are: no stored price moves."""
+    bars = bars_from_events(spark, sf_dir)
+    moved = _thesis_versions(bars.withColumn("h", F.col("h") * 1.01))
+    bound = bridge.bound_theses(moved, durable(_thesis_versions(bars)))
+    return bound.select("symbol", "thesis_id", "created_at", F.round(F.get_json_object("invalidation_rules", "$[0].price").cast("double"), 6).alias("price"), "ledger")
+
+
+def q6_chart_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last fifty bars of each series with their averages."""
+    last = F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("t").desc()))
+    rows = with_recurrences(bars_from_events(spark, sf_dir)).withColumn("k", last).where("k <= 50")
+    return _rounded(rows.select("symbol", "t", *"ohlcv", "ema9", "ema20", "ema200"))
+
+
 def w1_sliding_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sliding_bars(_events(spark, sf_dir), 240, 60)
 
@@ -612,11 +653,11 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-_OWN = (p4_zone_clusters, m8_quantile_forecast, m12_walk_forward_ridge, a6_feature_history, s3_immutable_insert, q5_sync_counts, s4_bars, f6_resample, f12_gaps, k1_k2_k3_recurrences, j3_asof_parent, flagship_bar_state, p2_zigzag, p11_zone_lifecycle, p11_zone_modes, p14_tracked_zones, t3_theses, t2_ledger_events, r7_analogs, r4_snapshots, t5_t7_replay, t7_transitions, m8_model_quantiles, m12_quantile_walk_forward)
+_OWN = (p4_zone_clusters, m8_quantile_forecast, m12_walk_forward_ridge, a6_feature_history, s3_immutable_insert, q5_sync_counts, s4_bars, f6_resample, f12_gaps, k1_k2_k3_recurrences, j3_asof_parent, flagship_bar_state, p2_zigzag, p11_zone_lifecycle, p11_zone_modes, p14_tracked_zones, t3_theses, t2_ledger_events, r7_analogs, r4_snapshots, t5_t7_replay, t7_transitions, m8_model_quantiles, m12_quantile_walk_forward, a9_legacy_rows, k22_strategy_rows, r8_analysis, j10_bound_theses, q6_chart_rows)
 _OWN += (r1_timeframe_state, r2_r3_r4_parent_context, r5_regime_scores, r6_parent_child, t8_transitions, s6_manifest, s7_payload_hashes)
 _OWN += (m3_walk_forward_mae, m5_gated_drift, m6_gated_walk_forward, m10_signed_probability, m11_probability_scores, e3_pinball, e4_coverage, s12_fixture, b2_b3_swing_anchors, b4_measured_moves, b5_fib_levels, p5_zone_ids, p10_plateaus, p12_band_position)
 _OWN += (f15_integrity_issues, f16_integrity_report, f17_verified, f19_last_prints, x3_vol_regime, x6_cross_market, m13_outcomes, m14_journal_scores, q9_catch_up, e9_merged_scores, e11_inspected_horizons)
-_OWN += (p8_specs_at_formation, p9_specs_now, j11_pivot_zones, e2_brier, e5_direction, e7_calibration_error, e8_reliability, e9_rollup_scores, j4_outcomes, j5_matured_scores, h7_accumulation, h6_level_resolution, h5_level_outcomes, h13_evaluated_rules, h11_relations, h12_rule_firings, h15_fingerprints, a8_model_rows, a10_availability, w1_sliding_bars, w2_sessions)
+_OWN += (p8_specs_at_formation, p9_specs_now, j11_pivot_zones, e2_brier, e5_direction, e7_calibration_error, e8_reliability, e9_rollup_scores, j4_outcomes, j5_matured_scores, h7_accumulation, h6_level_resolution, h5_level_outcomes, h5_break_outcomes, h13_evaluated_rules, h11_relations, h12_rule_firings, h15_fingerprints, a8_model_rows, a10_availability, w1_sliding_bars, w2_sessions)
 QUERIES = {name: _plan(name) for name in bar_plans.PLANS} | {f.__name__: f for f in (*_OWN, m15_walk_windows)}
 
 _A = {s: f"({2 / (s + 1)!r})::double" for s in (9, 20, 200)}
@@ -1055,3 +1096,20 @@ ORACLES["x1_move_class"] = f"""with p as (select b.symbol as other, a.t, ln(a.c
     select other, t, case when ar is null or br is null then 'unknown' when least(abs(ar), abs(br)) < 0.001::double then 'quiet' when sign(ar) <> sign(br) then 'decoupled' when ar > 0 then 'synchronized_breakout' else 'synchronized_breakdown' end as move from p"""
 ORACLES["h1_continuation"] = f"""with {_V}, l as (select symbol, list(price order by t desc) filter (kind = 'high') as hs, list(price order by t desc) filter (kind = 'low') as ls from v group by 1)
     select symbol, round(hs[1], 6) as h1, round(hs[2], 6) as h2, round(ls[1], 6) as l1, round(ls[2], 6) as l2, case when round(hs[1], 6) > round(hs[2], 6) and round(ls[1], 6) > round(ls[2], 6) then 'bull_continuation' when round(hs[1], 6) <= round(hs[2], 6) and round(ls[1], 6) <= round(ls[2], 6) then 'bear_continuation' else 'none' end as pattern from l"""
+
+_LEGACY_PARENTS = "".join(f""", p{m} as (select symbol, t + {m * 60} as known, coalesce(case when c > 0 and lag(c) over s > 0 then ln(c / lag(c) over s) end, 0) as x from (select symbol, t // {m * 60} * {m * 60} as t, first(c order by t desc) as c from ({bars_sql()}) group by symbol, t // {m * 60} having count(*) >= {m // 240}) window s as (partition by symbol order by t))""" for m in (480, 1440))
+ORACLES["a9_legacy_rows"] = _RECURSIVE + _LEGACY_PARENTS + """, g as (select b.*, ema9, ema20, ln(b.c / lag(b.c) over (partition by b.symbol order by b.n)) as r from b join k using (symbol, n)),
+    q as (select g.*, avg(v) over w as mv, stddev_pop(r) over w as sd from g window w as (partition by symbol order by n rows between 11 preceding and current row))
+    select q.symbol, q.t, """ + ", ".join(f"round(coalesce(ln(q.c / lag(q.c, {n}) over s), 0), 6) as logret_{n}" for n in (1, 3, 12, 24)) + """, round((h - l) / q.c, 6) as range_pct, round(abs(q.c - o) / o, 6) as body_pct, case when n >= 12 then round(v / mv, 6) else 0 end as vol_ratio_12, round((q.c - ema9) / q.c, 6) as ema9_dist,
+        round((q.c - ema20) / q.c, 6) as ema20_dist, case when n >= 13 then round(sd, 6) else 0 end as realized_vol_12, round(coalesce(p480.x, 0), 6) as htf_8h_logret_1, round(coalesce(p1440.x, 0), 6) as htf_1d_logret_1
+    from q asof left join p480 on p480.symbol = q.symbol and q.t + 14400 >= p480.known asof left join p1440 on p1440.symbol = q.symbol and q.t + 14400 >= p1440.known window s as (partition by q.symbol order by n) qualify n >= 2"""
+ORACLES["k22_strategy_rows"] = _RECURSIVE + """ select b.symbol, b.t, round(rsi14, 6) as "%-rsi-period", round((b.c / lag(b.c, 14) over s - 1) * 100, 6) as "%-roc-period", case when b.n >= 14 then round(v / avg(v) over (partition by b.symbol order by b.n rows between 13 preceding and current row), 6) end as "%-rel-volume-period",
+    round(b.c / lag(b.c) over s - 1, 6) as "%-ret-1", round((h - l) / b.c, 6) as "%-range-pct", round((b.c - o) / o, 6) as "%-body-pct", v as "%-raw-volume", round(extract(hour from make_timestamp(b.t * 1000000)) / 23.0::double, 6) as "%-hour", round((isodow(make_timestamp(b.t * 1000000)) - 1) / 6.0::double, 6) as "%-day-of-week", """ + ", ".join(f'round(lead(b.c, {h}) over s / b.c - 1, 6) as "&-cum-ret-{h}"' for h in range(1, 11)) + """
+    from b join k using (symbol, n) window s as (partition by b.symbol order by b.n)"""
+ORACLES["q6_chart_rows"] = _RECURSIVE + """ select symbol, b.t, round(o, 6) as o, round(h, 6) as h, round(l, 6) as l, round(b.c, 6) as c, v, round(ema9, 6) as ema9, round(ema20, 6) as ema20, round(ema200, 6) as ema200 from b join k using (symbol, n) qualify row_number() over (partition by symbol order by n desc) <= 50"""
+_STORED = _THESES + " select symbol, symbol || ':4h:' || direction || ':' || case version when 1 then 'htf_continuation' else 'htf_continuation_reopened' end || ':v' || version as thesis_id, created, fail from tv"
+_MOVED = f"select symbol, t, o, h * 1.01::double as h, l, c, v from ({bars_sql()})"
+ORACLES["j10_bound_theses"] = f"""select m.symbol, m.thesis_id, coalesce(s.created, m.created) as created_at, round(coalesce(s.fail, m.fail), 6) as price, case when s.thesis_id is null then 'ephemeral' else 'journaled' end as ledger
+    from ({_STORED.replace(_state_sql("q", bars_sql(), 14400), _state_sql("q", _MOVED, 14400))}) m left join ({_STORED}) s using (symbol, thesis_id)"""
+
+ORACLES["h5_break_outcomes"] = f"""select symbol, kind, level, side, run, outcome from ({ORACLES['h5_level_outcomes']}) join (select distinct symbol, kind, round(price, 6) as level from (with {_V} select *, row_number() over (partition by symbol order by t desc, kind desc) as k from v) where k <= 6) using (symbol, kind, level) where side is not null"""
