@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.canonical import canonical
+
 
 def _fires() -> Column:
     kind, price = F.col("kind"), F.col("price")
@@ -24,8 +26,9 @@ def firings(rules: DataFrame, bars: DataFrame, pivots: DataFrame) -> DataFrame:
 
 
 def fingerprints(rules: DataFrame) -> DataFrame:
-    """rules with fingerprint, the SHA-256 of the rule's JSON with sorted keys and no spaces."""
-    return rules.withColumn("fingerprint", F.sha2(F.to_json(F.struct("description", "id", "kind", "price", "timeframe")), 256))
+    """rules with fingerprint, the SHA-256 of the rule's canonical JSON."""
+    rows = rules.withColumn("_rule", F.struct("description", "id", "kind", "price", "timeframe"))
+    return rows.withColumn("fingerprint", F.sha2(canonical(F.col("_rule"), rows.schema["_rule"].dataType), 256)).drop("_rule")
 
 
 def regime_relation(direction: Column, parent: Column) -> Column:
