@@ -1113,3 +1113,10 @@ ORACLES["j10_bound_theses"] = f"""select m.symbol, m.thesis_id, coalesce(s.creat
     from ({_STORED.replace(_state_sql("q", bars_sql(), 14400), _state_sql("q", _MOVED, 14400))}) m left join ({_STORED}) s using (symbol, thesis_id)"""
 
 ORACLES["h5_break_outcomes"] = f"""select symbol, kind, level, side, run, outcome from ({ORACLES['h5_level_outcomes']}) join (select distinct symbol, kind, round(price, 6) as level from (with {_V} select *, row_number() over (partition by symbol order by t desc, kind desc) as k from v) where k <= 6) using (symbol, kind, level) where side is not null"""
+
+_HORIZONS = "(select unnest(range(1, 11))::int as h)"
+ORACLES["m1_drift"] = f"with {_DRIFTED} select symbol, t, round(drift, 8) as drift from dr"
+ORACLES["m2_baseline_forecast"] = f"with {_DRIFTED} select symbol, t, h, round(drift * h, 8) as expected from dr, {_HORIZONS} where drift is not null"
+ORACLES["k20_simple_returns"] = f"with {_DRIFTED} select symbol, t, h, round(exp(drift * h) - 1, 8) as simple_return from dr, {_HORIZONS} where drift is not null"
+ORACLES["m7_eligible_origins"] = f"with {_DRIFTED} select symbol, t, t + 158400 as matured from dr where n between 24 and last - 10"
+ORACLES["t4_structure_extreme"] = f"""with {_V} select b.symbol, round(coalesce((select max(price) from v where v.symbol = b.symbol), max(h)), 6) as structure_high, round(coalesce((select min(price) from v where v.symbol = b.symbol), min(l)), 6) as structure_low from ({bars_sql()}) b group by b.symbol"""
