@@ -26,3 +26,9 @@ def test_specs_about_zero(spark, zero_dir):
     found = QUERIES["p8_specs_at_formation"](spark, zero_dir)
     assert found.where("lower = 0 and upper = 0").count()
     assert differences(found, zero_dir, ORACLES["p8_specs_at_formation"]) == []
+
+
+def test_tracked_zones_about_zero(spark, zero_dir):
+    found = QUERIES["p14_tracked_zones"](spark, zero_dir)
+    assert found.where("lower = 0 and upper = 0").count()
+    assert differences(found, zero_dir, ORACLES["p14_tracked_zones"]) == []
