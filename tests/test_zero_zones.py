@@ -1,8 +1,9 @@
-"""Zones about a price of 0 against their SQL."""
+"""Zones about a price of 0, and ids of halfway edges, against their SQL."""
 
 import pytest
 from oracle import differences
 
+from tidebar.operators.swings import zone_ids
 from tidebar.queries import ORACLES, QUERIES
 
 #: Lows at 0 (a), lows and highs on both sides of 0 (b), lows at and near 0 (c); one event for each bar of four hours.
@@ -32,3 +33,13 @@ def test_tracked_zones_about_zero(spark, zero_dir):
     found = QUERIES["p14_tracked_zones"](spark, zero_dir)
     assert found.where("lower = 0 and upper = 0").count()
     assert differences(found, zero_dir, ORACLES["p14_tracked_zones"]) == []
+
+
+def test_ids_of_edges_halfway_between_eight_places(spark):
+    import duckdb
+
+    edges = [1.5e-8, -5e-9, 1.25e-7, 222.285452315, 12.345678905, 490.388032815, 0.0]
+    zones = spark.createDataFrame([(x, x + 1, "support") for x in edges], "lower double, upper double, role string")
+    sql = "select substring(sha1(printf('%.8f:%.8f:%s', x, x + 1, 'support')), 1, 12) from (select unnest(?::double[]) as x)"
+    want = [r[0] for r in duckdb.execute(sql, [edges]).fetchall()]
+    assert sorted(r.zone_id for r in zone_ids(zones).collect()) == sorted(want)
