@@ -43,3 +43,11 @@ def test_ids_of_edges_halfway_between_eight_places(spark):
     sql = "select substring(sha1(printf('%.8f:%.8f:%s', x, x + 1, 'support')), 1, 12) from (select unnest(?::double[]) as x)"
     want = [r[0] for r in duckdb.execute(sql, [edges]).fetchall()]
     assert sorted(r.zone_id for r in zone_ids(zones).collect()) == sorted(want)
+
+
+def test_roles_by_bars_without_a_close(spark):
+    from tidebar.operators.clusters import specs_at_formation
+
+    pivots = spark.createDataFrame([("a", 0, 2, 10.0, "high"), ("a", 0, 3, 20.0, "high"), ("a", 0, -1, 30.0, "high")], "symbol string, t long, known_t long, price double, kind string")
+    bars = spark.createDataFrame([("a", 0, 15.0), ("a", 2, None), ("a", 3, 15.0)], "symbol string, t long, c double")
+    assert sorted((r.known_t, r.role) for r in specs_at_formation(pivots, bars).collect()) == [(-1, "resistance"), (2, "mixed"), (3, "resistance")]
